@@ -1 +1,371 @@
-"""x"""
+"""Noise in the text of scanned pages: broken words, misread characters, running furniture, page numbers.
+
+Words.  The vocabulary is counted over all pages that weren't scanned.  Tokens of scanned pages that it doesn't hold, the
+two halves of words broken at a line end and neighbours that may be one word are put to a character editor, an averaged
+perceptron over characters that keeps, deletes, replaces or inserts; it is trained on words of the vocabulary noised by
+the known confusions of scanners.  A proposal counts if it is a word of the vocabulary and the known confusions explain
+the token.  Only distinct tokens are edited, and the answers are joined back to their lines.
+
+Furniture.  Lines at the edges of a page are rated by an averaged perceptron over page-position and repetition features
+(position, pages of the document and documents with the same letters, share of edge lines among them, numbered first
+word, form).  It learns from what the partial cleaning already removed.
+
+Bounds.  The editor is trained on at most ``EDITOR_WORDS`` frequent words and the line model on ``SAMPLE_PAGES`` pages.
+The vocabulary is sent to the tasks as a filter only if it holds at most ``KNOWN_WORDS`` words; beyond that the tasks
+send all tokens on and the join alone decides, with the same result.
+
+Defined results: null and empty texts have no lines; pages without a method aren't scanned pages; without unscanned
+pages there is no vocabulary and no word is judged; repeated pages are judged each; lines of any length are read whole.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from specsift.llm.encoding_pages import repair
+from specsift.llm.lookalikes import INVISIBLE, plain, repaired
+from specsift.llm.perceptron import Editor, Perceptron, noises
+from specsift.llm.repeats import NO_LETTERS
+from specsift.runtime import cut
+
+EDITOR_WORDS, SAMPLE_PAGES, KNOWN_WORDS = 5_000, 3_000, 200_000
+MIN_COUNT, MIN_SHARE = 3, 2e-6
+EDGE = 4
+REMOVED = 0.3
+MARKS = "\u00ad¬\u2010\u2011–-"
+BROKEN = re.compile(rf"([^\W\d_][^\s{MARKS}]*?)[{MARKS}]\s*$")
+FIRST = re.compile(r"\s*([^\s\-–—/]+)")
+OUTER = ".,;:?()[]{}|*•“”„\"'’‘«»<>=…"
+PARTS = re.compile(r"[-/–—]")
+READ = re.compile(r"^(?=.*[a-z])[a-z0-9@!|$]+$")
+
+
+def scanned(raw: DataFrame) -> DataFrame:
+    return raw.where(F.col("extraction_method").startswith("ocr"))
+
+
+def vocabulary(raw: DataFrame) -> DataFrame:
+    """(word, n) of the words of pages that weren't scanned, compounds with their hyphen and their parts."""
+    text = F.lower(F.regexp_replace("raw_text", f"[{INVISIBLE}]", ""))
+    words = raw.where(~F.col("extraction_method").startswith("ocr")).select(F.explode(F.split(text, "[^\\p{L}-]+")).alias("word"))
+    counts = words.groupBy(F.regexp_replace("word", "^-+|-+$", "").alias("word")).agg(F.count(F.lit(1)).alias("n")).where("word <> ''")
+    parts = counts.select(F.explode(F.array_distinct(F.concat(F.array("word"), F.split("word", "-")))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return parts.join(F.broadcast(total), (F.col("n") >= MIN_COUNT) & (F.col("n") >= MIN_SHARE * F.col("total"))).select("word", "n")
+
+
+SUSPECTS = "tbl string, page_id bigint, line_no int, next_no int, kind string, token string, at int, compound string"
+
+
+def bare(token: str) -> str:
+    token = token.strip(OUTER).lower()
+    return token[:-2] if token[-2:] in ("'s", "’s") else token
+
+
+def normal(text: str) -> str:
+    return text.lower() if text.isascii() and "&" not in text else repaired(plain(repair().text(text)[0])[0], set()).lower()
+
+
+def suspects(text: str, known: frozenset[str] | None) -> Iterator[tuple[int, int, str, str, int, str]]:
+    """(line_no, next_no, kind, token, at, compound) of words, halves broken at a line end and likely gaps.
+
+    kind w: a word; g: two neighbours as one word; h: the halves at a line end as one word, with their hyphened form as
+    compound; b: the second half as a word of its own, unless the compound is a word.
+    """
+    lines = normal(text).split("\n")
+    skip = ""
+    for no, line in enumerate(lines, 1):
+        tokens = line.split()
+        begin, skip = (1 if skip and tokens else 0), ""
+        m = BROKEN.search(line)
+        if m and no < len(lines):
+            nxt = next((k for k in range(no, min(no + 2, len(lines))) if lines[k].strip()), None)
+            second = FIRST.match(lines[nxt]) if nxt is not None else None
+            if second:
+                a, b = PARTS.split(bare(m.group(1)))[-1], bare(second.group(1))
+                if a and b and (READ.match(a + b)):
+                    whole = bare(line[: m.end(1)].split()[-1])
+                    yield no, nxt + 1, "h", a + b, len(a), f"{whole}-{b}"
+                    if READ.match(b) and (known is None or (b not in known and a + b not in known)):
+                        yield nxt + 1, nxt + 1, "b", b, 0, a + b
+                    skip = "second"
+        if m:
+            tokens = tokens[:-1] if tokens else tokens
+        before = None
+        for token in tokens[begin:]:
+            word = bare(token)
+            for part in PARTS.split(word):
+                if READ.match(part) and (known is None or part not in known):
+                    stripped = part.rstrip("!")
+                    if known is None or stripped not in known:
+                        yield no, no, "w", part, 0, ""
+            fit = word if READ.match(word) else None
+            if fit and before and token[0] not in OUTER:
+                joined = before + fit
+                if len(joined) >= 5 and len(joined) <= 32 and (known is None or joined in known or (before not in known and fit not in known)):
+                    yield no, no, "g", joined, len(before), ""
+            before = fit if fit and token[-1] not in OUTER else None
+
+
+def _scan(known: object) -> object:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = known.value if known is not None else None
+        for batch in batches:
+            rows = [(t, p, *x) for t, p, text in zip(batch["tbl"], batch["page_id"], batch["text"], strict=True) if text for x in suspects(text, words)]
+            yield pd.DataFrame(rows, columns=["tbl", "page_id", "line_no", "next_no", "kind", "token", "at", "compound"])
+
+    return run
+
+
+@lru_cache(2)
+def editor(words: tuple[str, ...]) -> Editor:
+    return Editor(list(words))
+
+
+def corrections(tokens: DataFrame, words: DataFrame, sample: tuple[str, ...]) -> DataFrame:
+    """(token, word, first, last) of the distinct tokens that the editor turns into words of the vocabulary."""
+    model = tokens.sparkSession.sparkContext.broadcast(editor(sample)) if sample else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for t in batch["token"]:
+                most = 1 if len(t) <= 4 else 2
+                rows += [(t, w, a, b, k) for k, (w, a, b) in enumerate(model.value.propose(t)) if len(w) > 1 and noises(w, t, most)] if len(t) > 2 else []
+            yield pd.DataFrame(rows, columns=["token", "proposed", "first", "last", "rank"])
+
+    if model is None:
+        return tokens.sparkSession.createDataFrame([], "token string, proposed string, first int, last int")
+    found = tokens.select("token").distinct().mapInPandas(run, "token string, proposed string, first int, last int, rank int")
+    real = found.join(words.select(F.col("word").alias("proposed")), "proposed", "left_semi")
+    return real.groupBy("token").agg(F.min_by(F.struct("proposed", "first", "last"), "rank").alias("x")).select("token", "x.*")
+
+
+def judged(raw: DataFrame, cleaned: DataFrame | None) -> DataFrame:
+    """Suspects with their verdict: (tbl, page_id, line_no, next_no, kind, token, at, word, first, last)."""
+    words = cut(vocabulary(raw))
+    spark = raw.sparkSession
+    sample = tuple(r[0] for r in words.where("length(word) > 1 and not contains(word, '-')").orderBy(F.desc("n"), "word").limit(EDITOR_WORDS).collect())
+    known = spark.sparkContext.broadcast(frozenset(r[0] for r in words.select("word").collect())) if words.count() <= KNOWN_WORDS else None
+    rows = texts(raw, cleaned)
+    all_suspects = cut(rows.mapInPandas(_scan(known), SUSPECTS))
+    unknown = all_suspects.join(words.select(F.col("word").alias("token")), "token", "left_anti")
+    fixed = corrections(unknown, words, sample).select(F.col("token").alias("t"), "proposed", "first", "last")
+    plainly = words.select(F.col("word").alias("v"))
+    compounds = words.select(F.col("word").alias("c"))
+    x = all_suspects.join(plainly, F.col("token") == F.col("v"), "left").where("not (kind in ('w', 'b') and v is not null)")
+    x = x.join(compounds, (F.col("compound") == F.col("c")) & F.col("kind").isin("h", "b"), "left_anti")
+    x = x.join(fixed, (F.col("token") == F.col("t")) & F.col("v").isNull(), "left").where("v is not null or proposed is not null")
+    return x.select("tbl", "page_id", "line_no", "next_no", "kind", "token", "at", F.coalesce("v", "proposed").alias("word"), F.coalesce("first", F.lit(-1)).alias("first"), F.coalesce("last", F.lit(-1)).alias("last"))
+
+
+def texts(raw: DataFrame, cleaned: DataFrame | None) -> DataFrame:
+    """(tbl, page_id, doc_id, page_num, text) of scanned pages, as scanned and as cleaned."""
+    pages = scanned(raw).select(F.lit("raw_pages").alias("tbl"), "page_id", "doc_id", "page_num", F.col("raw_text").alias("text"))
+    if cleaned is None:
+        return pages
+    ids = scanned(raw).select("page_id")
+    return pages.unionByName(cleaned.join(ids, "page_id", "left_semi").select(F.lit("cleaned_pages").alias("tbl"), "page_id", "doc_id", "page_num", F.col("cleaned_text").alias("text")))
+
+
+# ---------------------------------------------------------------- furniture
+
+
+def _key(line: Column) -> Column:
+    return F.xxhash64(F.regexp_replace(F.lower(line), NO_LETTERS, ""))
+
+
+def page_lines(rows: DataFrame) -> DataFrame:
+    """Every line that isn't blank, with its place among them from the top (i) and from the bottom (j)."""
+    numbered = F.transform(F.split("text", "\n"), lambda x, k: F.struct((k + 1).alias("line_no"), F.regexp_replace(x, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "").alias("line")))
+    full = F.filter(numbered, lambda x: x["line"] != "")
+    one = rows.select("tbl", "page_id", "doc_id", "page_num", full.alias("full")).select("*", F.size("full").alias("n"), F.posexplode("full").alias("i", "x"))
+    return one.select("tbl", "page_id", "doc_id", "page_num", "n", "i", (F.col("n") - 1 - F.col("i")).alias("j"), "x.line_no", "x.line", F.when(F.col("i") > 0, F.get("full", F.col("i") - 1)["line"]).alias("above"))
+
+
+def _bucket(x: Column, *edges: float) -> Column:
+    out = F.lit(len(edges))
+    for k, e in reversed(list(enumerate(edges))):
+        out = F.when(x < e, F.lit(k)).otherwise(out)
+    return F.coalesce(out, F.lit(0)).cast("string")
+
+
+def rated_lines(raw: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edge lines of scanned pages with their features."""
+    pages = raw.select(F.lit("raw_pages").alias("tbl"), "page_id", "doc_id", "page_num", "extraction_method", F.col("raw_text").alias("text"))
+    is_edge = (F.col("i") < EDGE) | (F.col("j") < EDGE)
+    prefix = F.xxhash64(F.regexp_extract(F.lower("line"), "^\\W*(\\p{L}+ )\\d", 1))
+    numbered = F.col("line").rlike("^\\W*\\p{L}+ \\d")
+    every = page_lines(pages).where(F.length(F.regexp_replace("line", NO_LETTERS, "")) >= 3)
+    per_doc = every.where(is_edge).select("doc_id", _key(F.col("line")).alias("h"), "page_num").distinct().groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("pages"))
+    doc_pages = raw.select("doc_id", "page_num").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("of_pages"))
+    docs = per_doc.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.max("pages").alias("most"))
+    ocr_lines = page_lines(scanned(raw).select(F.lit("").alias("tbl"), "page_id", "doc_id", "page_num", F.col("raw_text").alias("text")))
+    place = ocr_lines.select(_key(F.col("line")).alias("h"), is_edge.cast("int").alias("e")).groupBy("h").agg(F.count(F.lit(1)).alias("lines"), F.avg("e").alias("edge"))
+    shapes = ocr_lines.where(numbered).select(prefix.alias("p"), is_edge.cast("int").alias("e")).groupBy("p").agg(F.count(F.lit(1)).alias("p_lines"), F.avg("e").alias("p_edge"))
+    x = page_lines(rows).where(is_edge).withColumn("h", _key(F.col("line"))).withColumn("p", F.when(numbered, prefix))
+    x = x.join(per_doc.select(F.col("doc_id").alias("d1"), F.col("h").alias("h1"), "pages"), (F.col("h") == F.col("h1")) & F.col("doc_id").eqNullSafe(F.col("d1")), "left")
+    x = x.join(doc_pages.select(F.col("doc_id").alias("d2"), "of_pages"), F.col("doc_id").eqNullSafe(F.col("d2")), "left")
+    x = x.join(docs.join(place, "h").select(F.col("h").alias("h3"), "docs", "most", "lines", "edge"), F.col("h") == F.col("h3"), "left")
+    x = x.join(shapes.select(F.col("p").alias("p4"), "p_lines", "p_edge"), F.col("p") == F.col("p4"), "left")
+    pos = F.when(F.col("i") < EDGE, F.concat(F.lit("T"), F.col("i"))).otherwise(F.concat(F.lit("B"), F.col("j")))
+    start = (
+        F.when(F.col("line").rlike("^\\d+(\\.\\d+)+ "), "heading").when(F.col("line").rlike("^[-•*+] ?\\S*\\d+:|^[-•+] "), "item").when(F.col("line").rlike("^\\W*\\p{Ll}"), "lower")
+        .when(numbered, "numbered").when(F.col("line").rlike("^\\W*\\p{Lu}"), "upper").otherwise("other")
+    )
+    end = F.when(F.col("line").rlike("[.!?:;,]$"), "stop").otherwise("open")
+    f = {
+        "pos": pos, "rep": _bucket(F.col("pages"), 1, 2, 3, 5, 8), "share": _bucket(F.col("pages") / F.col("of_pages"), 0.02, 0.1, 0.2, 0.4), "docs": _bucket(F.col("docs"), 1, 2, 5, 20),
+        "most": _bucket(F.col("most"), 2, 4, 8), "edge": F.when(F.col("lines") < 2, "few").otherwise(_bucket(F.col("edge"), 0.3, 0.6, 0.85, 0.97)),
+        "shape": F.when(F.col("p").isNull(), "none").when(F.col("p_lines") < 5, "few").otherwise(_bucket(F.col("p_edge"), 0.5, 0.8, 0.95)), "start": start, "end": end,
+        "words": _bucket(F.size(F.split("line", "\\s+")), 3, 5, 9, 13),
+    }
+    names = [F.concat(F.lit(k + "="), v) for k, v in f.items()]
+    both = [F.concat_ws("&", *(F.concat(F.lit(k + "="), f[k]) for k in pair)) for pair in (("edge", "start"), ("rep", "edge"), ("share", "edge"), ("rep", "start"), ("shape", "pos"), ("most", "start"), ("end", "words"), ("rep", "edge", "start"))]
+    repeated = (F.coalesce("pages", F.lit(1)) > 1) | (F.coalesce("docs", F.lit(1)) > 1) | (F.coalesce("p_edge", F.lit(0.0)) > 0.9)
+    letters = F.length(F.regexp_replace("line", NO_LETTERS, ""))
+    return x.withColumn("features", F.array(F.lit("bias"), *names, *both)).withColumn("repeated", repeated).withColumn("letters", letters)
+
+
+#: Lines of no page in particular, that the model knows from the start: features, whether furniture.
+KNOWN_LINES = (
+    ("T0", "5", "4", "4", "3", "4", "none", "upper", "open", "2", True), ("B0", "5", "4", "4", "3", "4", "none", "upper", "open", "2", True), ("B1", "3", "3", "2", "2", "3", "none", "upper", "open", "3", True),
+    ("T1", "4", "3", "3", "3", "4", "3", "numbered", "open", "1", True), ("T0", "2", "2", "4", "3", "4", "3", "numbered", "open", "1", True), ("T1", "1", "1", "4", "3", "3", "none", "heading", "open", "1", False),
+    ("T2", "2", "2", "4", "3", "4", "none", "heading", "open", "1", False), ("T0", "1", "1", "1", "0", "few", "none", "upper", "open", "3", False), ("B0", "1", "1", "1", "0", "few", "none", "lower", "stop", "2", False),
+    ("B1", "3", "2", "4", "2", "1", "none", "lower", "stop", "2", False), ("T3", "1", "1", "1", "0", "few", "none", "item", "open", "3", False), ("B2", "5", "4", "4", "3", "0", "none", "lower", "stop", "2", False),
+)
+
+
+def _of_known(line: tuple) -> list[str]:
+    f = dict(zip(("pos", "rep", "share", "docs", "most", "edge", "shape", "start", "end", "words"), line[:-1], strict=True))
+    both = ["&".join(f"{k}={f[k]}" for k in pair) for pair in (("edge", "start"), ("rep", "edge"), ("share", "edge"), ("rep", "start"), ("shape", "pos"), ("most", "start"), ("end", "words"), ("rep", "edge", "start"))]
+    return ["bias", *(f"{k}={v}" for k, v in f.items()), *both]
+
+
+def line_model(rated: DataFrame, raw: DataFrame, cleaned: DataFrame | None) -> dict[str, float]:
+    """Feature weights, learned from the edge lines of pages from which cleaning removed furniture.
+
+    Cleaning was partial: a kind of line is taken for furniture if it is gone from at least the share ``REMOVED`` of
+    these pages and stands elsewhere too (a line that stands once is gone because a repair changed it).
+    """
+    examples = [(_of_known(k), k[-1], (True, False)) for k in KNOWN_LINES for _ in range(5)]
+    if cleaned is not None:
+        some = cleaned.where(F.array_contains("removed_elements", "header")).select(F.col("page_id").alias("c_page"), F.transform(F.split("cleaned_text", "\n"), lambda x: F.regexp_replace(x, NO_LETTERS, "")).alias("kept"))
+        sample = some.join(scanned(raw).select("page_id"), F.col("c_page") == F.col("page_id"), "left_semi").orderBy(F.xxhash64("c_page"), "c_page").limit(SAMPLE_PAGES)
+        lines = rated.where("tbl = 'raw_pages' and letters >= 3").join(sample, F.col("page_id") == F.col("c_page")).select("features", "repeated", F.coalesce("p", "h").alias("same"), ~F.array_contains("kept", F.regexp_replace("line", NO_LETTERS, "")).alias("gone"))
+        got = sorted((list(r[0]), r[1], r[2], r[3]) for r in lines.collect())
+        seen: dict[int, list[int]] = {}
+        for _, _, same, gone in got:
+            n = seen.setdefault(same, [0, 0])
+            n[0] += gone
+            n[1] += 1
+        examples += [(f, repeated and seen[same][0] >= REMOVED * seen[same][1], (True, False)) for f, repeated, same, _ in got]
+    model = Perceptron().fit(examples, epochs=8)
+    yes, no = model.weights.get(True, {}), model.weights.get(False, {})
+    return {f: yes.get(f, 0.0) - no.get(f, 0.0) for f in yes.keys() | no.keys()}
+
+
+NUMBER = "^(\\[ ?\\d{1,4} ?\\]|\\( ?\\d{1,4} ?\\)|[-–—~·•*] ?\\d{1,4} ?[-–—~·•*]|\\d{1,4}( ?/ ?| of )\\d{1,4}|(page|pages|p\\.|pg\\.?|seite|s\\.|página|sheet) ?\\d{1,4}( ?(/|of|von|de|sur) ?\\d{1,4})?|[ivxlc]{1,6}|[IVXLC]{1,6})$"
+PLAIN_NUMBER = "^\\d{1,4}$"
+
+
+def page_numbers(lines: DataFrame) -> DataFrame:
+    """Lines at the very edge of a page that hold only its number; a number under a short label is content."""
+    line = F.regexp_replace("line", "[\\s\\p{Z}]+", " ")
+    outer = (F.col("i") == 0) | (F.col("j") == 0)
+    label = (F.col("j") == 0) & F.col("above").rlike("^\\p{Lu}[\\p{L}]*( \\p{Ll}+){0,3}$") & (F.col("n") > 2)
+    sure = line.rlike(f"(?i){NUMBER}")
+    bare_number = line.rlike(PLAIN_NUMBER) & ~label
+    return lines.where(outer & (sure | bare_number)).select("tbl", "page_id", "line_no")
+
+
+def furniture(raw: DataFrame, cleaned: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """(tbl, page_id, line_no, kind) of running headers and footers and of page numbers."""
+    rated = cut(rated_lines(raw, rows).select("tbl", "page_id", "line_no", "line", "above", "n", "i", "j", "features", "repeated", "letters", "h", "p"))
+    weights = line_model(rated, raw, cleaned)
+    table = F.create_map(*[F.lit(x) for kv in sorted(weights.items()) for x in kv])
+    score = F.aggregate("features", F.lit(0.0), lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(0.0)))
+    numbers = page_numbers(rated)
+    headers = rated.where((F.col("letters") >= 3) & F.col("repeated") & (score > 0)).join(numbers, ["tbl", "page_id", "line_no"], "left_anti").select("tbl", "page_id", "line_no")
+    return headers.withColumn("kind", F.lit("header")).unionByName(numbers.withColumn("kind", F.lit("page_number")))
+
+
+def found(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """(tbl, page_id, line_no, kind) of the noisy lines of scanned pages."""
+    rows = texts(raw, cleaned)
+    lines = cut(furniture(raw, cleaned, rows))
+    x = cut(judged(raw, cleaned))
+    hyphens = x.where("kind = 'h'").select("tbl", "page_id", "line_no", F.lit("hyphen").alias("kind"))
+    here = x.where("kind <> 'h' or (first >= 0 and first < at)").select("tbl", "page_id", "line_no")
+    there = x.where("kind = 'h' and last >= at").select("tbl", "page_id", F.col("next_no").alias("line_no"))
+    misread = here.unionByName(there).distinct().join(lines.select("tbl", "page_id", "line_no"), ["tbl", "page_id", "line_no"], "left_anti")
+    return lines.unionByName(hyphens).unionByName(misread.withColumn("kind", F.lit("misread"))).distinct()
+
+
+def paragraphs(raw: DataFrame) -> DataFrame:
+    """(page_id, text): scanned pages as continuous paragraphs, furniture and page numbers taken out."""
+    rows = texts(raw, None)
+    drop = furniture(raw, None, rows).groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
+    fixes = judged(raw, None).groupBy("page_id").agg(F.collect_list(F.struct("line_no", "next_no", "kind", "token", "at", "word")).alias("fixes"))
+    joined = rows.join(drop.withColumnRenamed("page_id", "d"), F.col("page_id") == F.col("d"), "left").join(fixes.withColumnRenamed("page_id", "f"), F.col("page_id") == F.col("f"), "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [rebuilt(t, set() if d is None else set(d), [] if f is None else list(f)) for t, d, f in zip(batch["text"], batch["drop"], batch["fixes"], strict=True)]
+            yield pd.DataFrame({"page_id": batch["page_id"], "text": out})
+
+    return joined.select("page_id", "text", "drop", "fixes").mapInPandas(run, "page_id bigint, text string")
+
+
+def _like(model: str, word: str) -> str:
+    letters = [c for c in model if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return word.upper()
+    return word[:1].upper() + word[1:] if model[:1].isupper() else word
+
+
+def rebuilt(text: str | None, drop: set[int], fixes: list) -> str | None:
+    """One page: corrections by line, broken words joined, lines run together up to a paragraph's end."""
+    if text is None:
+        return None
+    lines = dict(enumerate(repaired(plain(repair().text(text)[0])[0], set()).split("\n"), 1))
+    joins: dict[int, str] = {}
+    for f in fixes:
+        no, token, word, at = f["line_no"], f["token"], f["word"], f["at"]
+        if f["kind"] == "h":
+            joins[no] = word
+        elif f["kind"] == "g":
+            lines[no] = re.sub(rf"(?i)(?<!\w){re.escape(token[:at])}\s+{re.escape(token[at:])}(?!\w)", lambda m, w=word: _like(m.group(), w), lines[no], count=1)
+        else:
+            lines[no] = re.sub(rf"(?i)(?<!\w){re.escape(token)}(?!\w)", lambda m, w=word: _like(m.group(), w), lines[no])
+    out: list[str] = []
+    carry = False
+    for no, line in lines.items():
+        body = line.strip()
+        if no in drop:
+            continue
+        if not body:
+            carry = False
+            continue
+        fresh = not carry or re.match(r"([-•*+]|\d+[.)])\s", body)
+        if no in joins and (m := BROKEN.search(line)):
+            head = line[: m.end(1)].strip()
+            stem = re.split(r"[\s\-]", head)[-1]
+            body = head[: len(head) - len(stem)] + _like(stem, joins[no]) + "\x00"
+        if fresh or not out:
+            out.append(body)
+        elif out[-1].endswith("\x00"):
+            rest = FIRST.match(body)
+            tail = body[rest.end(1) :] if rest else ""
+            kept = re.search(r"[^\w]*$", rest.group(1)).group() if rest else ""
+            out[-1] = out[-1][:-1] + kept + tail
+        else:
+            out[-1] += " " + body
+        carry = True
+    return "\n\n".join(x.replace("\x00", "-") for x in out)
