@@ -2,26 +2,179 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from specsift.operators import nested
+from specsift import lexicons as L
+from specsift.functions import equations as Q
+from specsift.functions import requirements as R
+from specsift.functions import text as T
+from specsift.operators import diagrams, equations, ingest, issues, nested, overview, pages, similarity, structure
+from specsift.plans import oracle, synthetic
 from specsift.runtime import spread, table
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "conflict_rule_layer"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _with_views(s: SparkSession, d: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
+    """A SELECT of the synthetic inputs over tables read from a folder."""
+    text = sql.replace("chr(10)", "char(10)").replace("\\", "\\\\")
+    args = {f"t_{t}": table(s, d, t) for t in tables}
+    for t in tables:
+        text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{t_{t}}}", text)
+    return s.sql(_escape(text, args), **args)
+
+
+def _escape(text: str, args: dict[str, DataFrame]) -> str:
+    """Braces of the text are doubled, those of the tables kept."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    for a in args:
+        text = text.replace("{{" + a + "}}", "{" + a + "}")
+    return text
+
+
 def queries() -> dict[str, Query]:
     t = table
+    stories = lambda s, d: t(s, d, "user_stories")
+    models = lambda s, d: spread(t(s, d, "requirements_models"))
+    raw = lambda s, d: t(s, d, "raw_pages")
+    body = R.body("raw_text")
+
+    def story(name: str, *columns: object) -> Query:
+        return lambda s, d: stories(s, d).select("story_uid", *[c() if callable(c) else c for c in columns])
+
+    def rule(*columns: Callable) -> Query:
+        return lambda s, d: structure.ledger(stories(s, d)).select("story_uid", "rule_pos", *[c() for c in columns])
+
+    def page(column: Callable) -> Query:
+        return lambda s, d: raw(s, d).select("page_id", column())
+
+    latex = lambda s, d: _with_views(s, d, synthetic.LATEX, ("part",))
+    markdown = lambda s, d: _with_views(s, d, synthetic.MARKDOWN, ("part",))
+    nodes = lambda s, d: _with_views(s, d, synthetic.NODES, ("supplier",))
+    flow = lambda s, d: _with_views(s, d, synthetic.FLOW_NODES, ("supplier",))
+    edges = lambda s, d: _with_views(s, d, synthetic.EDGES, ("supplier",))
+    cells = lambda s, d: nodes(s, d).select("*", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target")).unionByName(edges(s, d).select("diagram_id", F.lit(0).cast("bigint").alias("pos"), "id", F.lit("standard.Link").alias("type"), "source", "target"), allowMissingColumns=True)
     return {
         "p3_found": lambda s, d: nested.links(spread(t(s, d, "requirements_models"))),
         "p3_stories": lambda s, d: nested.stories(nested.tagged(spread(t(s, d, "requirements_models")))),
         "p3_criteria": lambda s, d: nested.criteria(nested.tagged(spread(t(s, d, "requirements_models")))),
         "p3_logic": lambda s, d: nested.logic_blocks(nested.tagged(spread(t(s, d, "requirements_models")))),
+        # structuring
+        "extract_id": story("id", lambda: R.extract_id(body).alias("req_id")),
+        "req_type": story("type", lambda: R.type_of(R.extract_id(body)).alias("req_type")),
+        "extract_condition": story("condition", lambda: R.extract_condition(body).alias("condition")),
+        "extract_action": story("action", lambda: R.extract_action(body).alias("action")),
+        "extract_actor": story("actor", lambda: R.extract_actor(body).alias("actor")),
+        "actor_normalize": story("role", lambda: R.normalize_actor("role").alias("actor")),
+        "req_confidence": story("confidence", lambda: R.confidence(body).alias("score")),
+        "req_validity": story("valid", lambda: R.is_requirement(body).alias("valid")),
+        "extract_logic": lambda s, d: structure.logic(stories(s, d)),
+        "story_structuring": lambda s, d: structure.structured(stories(s, d)).select("story_uid", "id", "type", "goal", "reason"),
+        "inf_ids": lambda s, d: structure.inferred_ids(structure.structured(stories(s, d))),
+        "actors_per_doc": lambda s, d: structure.actors(stories(s, d)).select("doc_id", F.array_join("actors", "|").alias("actors")),
+        "req_blocks": lambda s, d: structure.blocks(t(s, d, "documents"), "doc_id", "text"),
+        "ac_tree_parents": lambda s, d: structure.criteria(stories(s, d)).select("story_uid", "pos", "parent", "level", "type", "text"),
+        "rule_ledger": lambda s, d: structure.ledger(stories(s, d)).select("story_uid", "rule_pos", "story_id", "condition", "action", "confidence"),
+        "model_rule_ledger": lambda s, d: structure.model_ledger(models(s, d)).select(F.col("story_uid").alias("model_id"), F.col("rule_pos").alias("path"), "story_id", "condition", "action", "confidence"),
+        # rules
+        "core_action": rule(lambda: R.core_action("action").alias("core")),
+        "polarity": rule(lambda: R.polarity("action").alias("polarity")),
+        "extract_context": rule(lambda: R.context("action").alias("context")),
+        "concept_groups": rule(lambda: R.concept(R.context("action")).alias("concept")),
+        "primary_object": rule(lambda: R.primary_object("action").alias("object")),
+        "condition_logic": rule(lambda: R.condition_logic("raw_text")["variable"].alias("variable"), lambda: R.condition_logic("raw_text")["operator"].alias("operator"), lambda: R.condition_logic("raw_text")["value"].alias("value")),
+        "module_prefix": rule(lambda: R.module_of("story_id").alias("module")),
+        "conflict_rule_layer": lambda s, d: issues.opposed(structure.model_ledger(models(s, d))),
+        "conflict_semantic": lambda s, d: similarity.alike_conflicts(structure.model_ledger(models(s, d))),
+        # ambiguities, gaps, report
+        "ambiguity_vague_terms": lambda s, d: issues.story_texts(stories(s, d)).select("story_uid", "src", F.explode(issues.vague_terms("text")).alias("x")).select("story_uid", "src", "x.term", "x.severity"),
+        "ambiguity_weak_verbs": lambda s, d: issues.story_texts(stories(s, d)).select("story_uid", "src", F.explode(issues.weak_verbs("text")).alias("x")).select("story_uid", "src", "x.term"),
+        "ambiguity_missing_reason": lambda s, d: issues.ambiguity_hits(stories(s, d)).where("category = 'missing_reason'").select("story_uid", "text"),
+        "ambiguities_dedup": lambda s, d: issues.ambiguities(stories(s, d)),
+        "gap_no_testable_ac": lambda s, d: issues.gap_no_logic(stories(s, d)).select("story_uid"),
+        "gap_missing_error_handling": lambda s, d: issues.gap_no_errors(stories(s, d), 2).select("story_uid"),
+        "gap_duplicate_ac": lambda s, d: issues.gap_duplicates(stories(s, d)).select("story_uid", "pos", "owner"),
+        "gaps_dedup": lambda s, d: issues.gaps(stories(s, d)),
+        "issues_report": lambda s, d: issues.report(stories(s, d), structure.model_ledger(models(s, d))),
+        "documents_overview": lambda s, d: overview.documents(stories(s, d), structure.model_ledger(models(s, d))),
+        "missing_actors": lambda s, d: overview.missing_actors(stories(s, d)),
+        "insights_topk": lambda s, d: overview.hints(stories(s, d)),
+        "srs_context": lambda s, d: overview.context(stories(s, d)),
+        # pages
+        "clean_page_numbers": page(lambda: T.without_lines("raw_text", *L.PAGE_NUMBER).alias("text")),
+        "clean_toc": page(lambda: T.without_lines("raw_text", L.TOC).alias("text")),
+        "clean_references": page(lambda: pages.without_references("raw_text").alias("text")),
+        "dehyphenate": page(lambda: T.dehyphenate("raw_text").alias("text")),
+        "collapse_whitespace": page(lambda: T.collapse_whitespace("raw_text").alias("text")),
+        "fix_ligatures": page(lambda: T.fix_ligatures("raw_text").alias("text")),
+        "count_tables": lambda s, d: t(s, d, "documents").where("text is not null").select("doc_id", T.count_tables("text").alias("tables")),
+        "count_figures": lambda s, d: t(s, d, "documents").where("text is not null").select("doc_id", T.count_figures("text").alias("figures")),
+        "page_cleaning": lambda s, d: pages.cleaned(raw(s, d)),
+        "repeated_headers": lambda s, d: pages.repeated_headers(raw(s, d), 1250.0),
+        "clean_running_headers": lambda s, d: pages.running_headers(raw(s, d), 1250.0),
+        "cleaning_stats": lambda s, d: pages.cleaning_stats(raw(s, d), 1250.0),
+        "asof_section": lambda s, d: pages.sections(raw(s, d)),
+        "html_strip": lambda s, d: markdown(s, d).select("k", T.strip_html("text").alias("text")),
+        "md_symbols": lambda s, d: markdown(s, d).select("k", T.markdown_symbols("text").alias("text")),
+        "md_line_filters": lambda s, d: markdown(s, d).select("k", T.markdown_lines("text").alias("text")),
+        "md_rules": lambda s, d: markdown(s, d).select("k", T.markdown_rules("text").alias("text")),
+        "token_loss_audit": lambda s, d: pages.token_losses(raw(s, d)),
+        "markdown_assembly": lambda s, d: pages.markdown_pages(raw(s, d)),
+        "detect_columns": lambda s, d: pages.columns(raw(s, d)),
+        "page_text_assembly": lambda s, d: pages.assembled(raw(s, d)),
+        "font_block_stats": lambda s, d: pages.font_stats(raw(s, d)),
+        # ingest
+        "ingest_dedup": lambda s, d: ingest.first_of_content(t(s, d, "documents")),
+        "doc_id_slug": lambda s, d: ingest.manifest(t(s, d, "doc_manifest")).select("doc_id", T.slug("file_path").alias("slug")),
+        "manifest_latest": lambda s, d: ingest.manifest(t(s, d, "doc_manifest")),
+        "classify_doc_type": lambda s, d: ingest.document_types(t(s, d, "doc_manifest"), raw(s, d)),
+        "detect_extraction_path": lambda s, d: ingest.extraction_paths(raw(s, d)),
+        "processing_flags": lambda s, d: ingest.flags(raw(s, d)),
+        "page_coverage_check": lambda s, d: ingest.coverage(t(s, d, "doc_manifest"), raw(s, d)),
+        "extract_stats": lambda s, d: ingest.extract_stats(raw(s, d)),
+        # equations
+        "eq_prefilter": lambda s, d: equations.scored_lines(raw(s, d)).where("likely").select("page_id", "line_no"),
+        "eq_score": lambda s, d: equations.scored_lines(raw(s, d)).select("page_id", "line_no", "score"),
+        "eq_context": lambda s, d: equations.equations(raw(s, d)).select("page_id", "line_no", "context"),
+        "eq_text": lambda s, d: equations.equations(raw(s, d)).select("page_id", "line_no", "text"),
+        "eq_symbols": lambda s, d: equations.equations(raw(s, d)).select("page_id", "line_no", "normal"),
+        "eq_variables": lambda s, d: equations.equations(raw(s, d)).select("page_id", "line_no", "variables"),
+        "eq_preprocess": lambda s, d: equations.equations(raw(s, d)).select("page_id", "line_no", "ascii"),
+        "eq_dedup": lambda s, d: equations.distinct_equations(raw(s, d)),
+        "eq_ids": lambda s, d: equations.equation_ids(raw(s, d)),
+        "eq_stats": lambda s, d: equations.equation_stats(raw(s, d)),
+        "eq_assemble": lambda s, d: raw(s, d).select("page_id", F.posexplode(equations.assembled("raw_text")).alias("pos", "text")),
+        "eq_latex": lambda s, d: latex(s, d).select("k", F.array_join(Q.latex_parts("text"), "|").alias("parts")),
+        "math_merge_blocks": lambda s, d: latex(s, d).select("k", Q.merge_blocks("text").alias("text")),
+        "latex_normalize": lambda s, d: latex(s, d).select("k", Q.latex_to_text(F.regexp_extract("text", r"(?s)\$\$(.+?)\$\$", 1)).alias("text")),
+        "eq_number": lambda s, d: latex(s, d).select("k", Q.number_after("text").alias("number")),
+        "eq_classify": lambda s, d: t(s, d, "raw_pages").select("page_id", Q.classify("raw_text").alias("kind")),
+        "math_inline_pages": lambda s, d: equations.inline_math(latex(s, d).select(F.lit(1).alias("doc"), "page", "text"), "doc").select("expr", "pages"),
+        # diagrams
+        "diagram_type": lambda s, d: _with_views(s, d, synthetic.REQUESTS, ("documents",)).select("doc_id", diagrams.diagram_type("request").alias("kind")),
+        "diagram_parse": lambda s, d: diagrams.parsed(_with_views(s, d, synthetic.ANSWERS, ("supplier",)), "k", "text").select("k", "pos", F.get_json_object("cell", "$.id").alias("id")),
+        "diagram_validate": lambda s, d: diagrams.violations(cells(s, d)),
+        "diagram_split": lambda s, d: cells(s, d).groupBy("diagram_id").agg(F.count_if(diagrams.is_link("type")).alias("links"), F.count_if(~diagrams.is_link("type")).alias("shapes")),
+        "shape_defaults": lambda s, d: diagrams.sized(nodes(s, d)).select("diagram_id", "id", "width", "height"),
+        "shape_width": lambda s, d: diagrams.sized(nodes(s, d)).select("diagram_id", "id", diagrams.width("type", "label", "width").alias("width")),
+        "link_routing": lambda s, d: diagrams.routed(nodes(s, d), edges(s, d)),
+        "layout_usecase": lambda s, d: diagrams.usecase_layout(nodes(s, d), edges(s, d)),
+        "layout_boundary": lambda s, d: diagrams.boundary(nodes(s, d), edges(s, d)),
+        "layout_dfd": lambda s, d: diagrams.dataflow_layout(flow(s, d), edges(s, d)),
+        # state, similarity
+        "progress_latest": lambda s, d: overview.latest_state(t(s, d, "events")),
+        "history_last_n": lambda s, d: overview.history(t(s, d, "events")),
+        "text_to_pseudo_story": lambda s, d: overview.pseudo_stories(t(s, d, "documents")),
+        "cosine_similarity": lambda s, d: t(s, d, "embeddings").alias("a").join(t(s, d, "embeddings").alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id").alias("vec_id"), F.round(similarity.cosine("a.embedding", "b.embedding"), 6).alias("cosine")),
+        "seqmatch_ratio": lambda s, d: stories(s, d).where("goal is not null and reason is not null").select("story_uid", similarity.ratio("goal", "reason").alias("ratio")),
+        "knn_candidate_pairs": lambda s, d: similarity.candidate_pairs(t(s, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
