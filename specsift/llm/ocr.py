@@ -39,6 +39,7 @@ MIN_COUNT, MIN_SHARE = 3, 2e-6
 EDGE = 4
 REMOVED = 0.3
 MARKS = "\u00ad¬\u2010\u2011–-"
+MARK_SET = set(MARKS)
 BROKEN = re.compile(rf"([^\W\d_][^\s{MARKS}]*?)[{MARKS}]\s*$")
 FIRST = re.compile(r"\s*([^\s\-–—/]+)")
 OUTER = ".,;:?()[]{}|*•“”„\"'’‘«»<>=…"
@@ -51,10 +52,14 @@ def scanned(raw: DataFrame) -> DataFrame:
 
 
 def vocabulary(raw: DataFrame) -> DataFrame:
-    """(word, n) of the words of pages that weren't scanned, compounds with their hyphen and their parts."""
-    text = F.lower(F.regexp_replace("raw_text", f"[{INVISIBLE}]", ""))
-    words = raw.where(~F.col("extraction_method").startswith("ocr")).select(F.explode(F.split(text, "[^\\p{L}-]+")).alias("word"))
-    counts = words.groupBy(F.regexp_replace("word", "^-+|-+$", "").alias("word")).agg(F.count(F.lit(1)).alias("n")).where("word <> ''")
+    """(word, n) of the words of pages that weren't scanned, compounds with their hyphen and their parts.
+
+    Tokens are counted as they stand; only the distinct ones are taken apart.
+    """
+    tokens = raw.where(~F.col("extraction_method").startswith("ocr")).select(F.explode(F.split(F.translate("raw_text", "\n\t", "  "), " ")).alias("token"))
+    distinct = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words = F.split(F.lower(F.regexp_replace("token", f"[{INVISIBLE}]", "")), "[^\\p{L}-]+")
+    counts = distinct.select(F.explode(words).alias("word"), "n").groupBy(F.regexp_replace("word", "^-+|-+$", "").alias("word")).agg(F.sum("n").alias("n")).where("word <> ''")
     parts = counts.select(F.explode(F.array_distinct(F.concat(F.array("word"), F.split("word", "-")))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return parts.join(F.broadcast(total), (F.col("n") >= MIN_COUNT) & (F.col("n") >= MIN_SHARE * F.col("total"))).select("word", "n")
@@ -72,52 +77,62 @@ def normal(text: str) -> str:
     return text.lower() if text.isascii() and "&" not in text else repaired(plain(repair().text(text)[0])[0], set()).lower()
 
 
-def suspects(text: str, known: frozenset[str] | None) -> Iterator[tuple[int, int, str, str, int, str]]:
+Token = tuple[str, str | None, tuple[str, ...]]
+
+
+def token_of(token: str, known: frozenset[str] | None) -> Token:
+    """(bare word, the word if a scanner may have read it, its parts that aren't known)."""
+    word = bare(token)
+    parts = tuple(p for p in PARTS.split(word) if READ.match(p) and (known is None or (p not in known and p.rstrip("!") not in known)))
+    return word, word if READ.match(word) else None, parts
+
+
+def suspects(text: str, known: frozenset[str] | None, seen: dict[str, Token]) -> Iterator[tuple[int, int, str, str, int, str]]:
     """(line_no, next_no, kind, token, at, compound) of words, halves broken at a line end and likely gaps.
 
     kind w: a word; g: two neighbours as one word; h: the halves at a line end as one word, with their hyphened form as
     compound; b: the second half as a word of its own, unless the compound is a word.
     """
     lines = normal(text).split("\n")
-    skip = ""
+    skip = False
     for no, line in enumerate(lines, 1):
         tokens = line.split()
-        begin, skip = (1 if skip and tokens else 0), ""
-        m = BROKEN.search(line)
-        if m and no < len(lines):
+        begin, skip = (1 if skip and tokens else 0), False
+        if line.rstrip()[-1:] in MARK_SET and (m := BROKEN.search(line)):
             nxt = next((k for k in range(no, min(no + 2, len(lines))) if lines[k].strip()), None)
             second = FIRST.match(lines[nxt]) if nxt is not None else None
             if second:
                 a, b = PARTS.split(bare(m.group(1)))[-1], bare(second.group(1))
-                if a and b and (READ.match(a + b)):
+                if a and b and READ.match(a + b):
                     whole = bare(line[: m.end(1)].split()[-1])
                     yield no, nxt + 1, "h", a + b, len(a), f"{whole}-{b}"
                     if READ.match(b) and (known is None or (b not in known and a + b not in known)):
                         yield nxt + 1, nxt + 1, "b", b, 0, a + b
-                    skip = "second"
-        if m:
-            tokens = tokens[:-1] if tokens else tokens
+                    skip = True
+            tokens = tokens[:-1]
         before = None
         for token in tokens[begin:]:
-            word = bare(token)
-            for part in PARTS.split(word):
-                if READ.match(part) and (known is None or part not in known):
-                    stripped = part.rstrip("!")
-                    if known is None or stripped not in known:
-                        yield no, no, "w", part, 0, ""
-            fit = word if READ.match(word) else None
-            if fit and before and token[0] not in OUTER:
+            t = seen.get(token)
+            if t is None:
+                t = seen[token] = token_of(token, known)
+            word, fit, parts = t
+            for part in parts:
+                yield no, no, "w", part, 0, ""
+            if fit is not None and before is not None and token[0] not in OUTER:
                 joined = before + fit
-                if len(joined) >= 5 and len(joined) <= 32 and (known is None or joined in known or (before not in known and fit not in known)):
+                if 5 <= len(joined) <= 32 and (known is None or joined in known or (before not in known and fit not in known)):
                     yield no, no, "g", joined, len(before), ""
-            before = fit if fit and token[-1] not in OUTER else None
+            before = fit if fit is not None and token[-1] not in OUTER else None
 
 
 def _scan(known: object) -> object:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = known.value if known is not None else None
+        seen: dict[str, Token] = {}
         for batch in batches:
-            rows = [(t, p, *x) for t, p, text in zip(batch["tbl"], batch["page_id"], batch["text"], strict=True) if text for x in suspects(text, words)]
+            rows = [(t, p, *x) for t, p, text in zip(batch["tbl"], batch["page_id"], batch["text"], strict=True) if text for x in suspects(text, words, seen)]
+            if len(seen) > 200_000:
+                seen.clear()
             yield pd.DataFrame(rows, columns=["tbl", "page_id", "line_no", "next_no", "kind", "token", "at", "compound"])
 
     return run
@@ -181,12 +196,17 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.lower(line), NO_LETTERS, ""))
 
 
-def page_lines(rows: DataFrame) -> DataFrame:
+def page_lines(rows: DataFrame, edges_only: bool = False) -> DataFrame:
     """Every line that isn't blank, with its place among them from the top (i) and from the bottom (j)."""
-    numbered = F.transform(F.split("text", "\n"), lambda x, k: F.struct((k + 1).alias("line_no"), F.regexp_replace(x, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "").alias("line")))
+    numbered = F.transform(F.split("text", "\n"), lambda x, k: F.struct((k + 1).alias("line_no"), F.trim(x).alias("line")))
     full = F.filter(numbered, lambda x: x["line"] != "")
-    one = rows.select("tbl", "page_id", "doc_id", "page_num", full.alias("full")).select("*", F.size("full").alias("n"), F.posexplode("full").alias("i", "x"))
-    return one.select("tbl", "page_id", "doc_id", "page_num", "n", "i", (F.col("n") - 1 - F.col("i")).alias("j"), "x.line_no", "x.line", F.when(F.col("i") > 0, F.get("full", F.col("i") - 1)["line"]).alias("above"))
+    one = rows.select("tbl", "page_id", "doc_id", "page_num", full.alias("full")).withColumn("n", F.size("full"))
+    above = lambda k: F.when(k > 0, F.get("full", k - 1)["line"])
+    placed = F.transform("full", lambda x, k: F.struct(k.alias("i"), x["line_no"].alias("line_no"), x["line"].alias("line"), above(k).alias("above")))
+    if edges_only:
+        placed = F.filter(placed, lambda x: (x["i"] < EDGE) | (x["i"] >= F.col("n") - EDGE))
+    each = one.select("tbl", "page_id", "doc_id", "page_num", "n", F.explode(placed).alias("x"))
+    return each.select("tbl", "page_id", "doc_id", "page_num", "n", "x.i", (F.col("n") - 1 - F.col("x.i")).alias("j"), "x.line_no", "x.line", "x.above")
 
 
 def _bucket(x: Column, *edges: float) -> Column:
@@ -202,14 +222,13 @@ def rated_lines(raw: DataFrame, rows: DataFrame) -> DataFrame:
     is_edge = (F.col("i") < EDGE) | (F.col("j") < EDGE)
     prefix = F.xxhash64(F.regexp_extract(F.lower("line"), "^\\W*(\\p{L}+ )\\d", 1))
     numbered = F.col("line").rlike("^\\W*\\p{L}+ \\d")
-    every = page_lines(pages).where(F.length(F.regexp_replace("line", NO_LETTERS, "")) >= 3)
-    per_doc = every.where(is_edge).select("doc_id", _key(F.col("line")).alias("h"), "page_num").distinct().groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("pages"))
+    per_doc = page_lines(pages, True).select("doc_id", _key(F.col("line")).alias("h"), "page_num").distinct().groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("pages"))
     doc_pages = raw.select("doc_id", "page_num").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("of_pages"))
     docs = per_doc.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.max("pages").alias("most"))
     ocr_lines = page_lines(scanned(raw).select(F.lit("").alias("tbl"), "page_id", "doc_id", "page_num", F.col("raw_text").alias("text")))
     place = ocr_lines.select(_key(F.col("line")).alias("h"), is_edge.cast("int").alias("e")).groupBy("h").agg(F.count(F.lit(1)).alias("lines"), F.avg("e").alias("edge"))
     shapes = ocr_lines.where(numbered).select(prefix.alias("p"), is_edge.cast("int").alias("e")).groupBy("p").agg(F.count(F.lit(1)).alias("p_lines"), F.avg("e").alias("p_edge"))
-    x = page_lines(rows).where(is_edge).withColumn("h", _key(F.col("line"))).withColumn("p", F.when(numbered, prefix))
+    x = page_lines(rows, True).withColumn("h", _key(F.col("line"))).withColumn("p", F.when(numbered, prefix))
     x = x.join(per_doc.select(F.col("doc_id").alias("d1"), F.col("h").alias("h1"), "pages"), (F.col("h") == F.col("h1")) & F.col("doc_id").eqNullSafe(F.col("d1")), "left")
     x = x.join(doc_pages.select(F.col("doc_id").alias("d2"), "of_pages"), F.col("doc_id").eqNullSafe(F.col("d2")), "left")
     x = x.join(docs.join(place, "h").select(F.col("h").alias("h3"), "docs", "most", "lines", "edge"), F.col("h") == F.col("h3"), "left")
