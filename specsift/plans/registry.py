@@ -42,7 +42,7 @@ def queries() -> dict[str, Query]:
     stories = lambda s, d: t(s, d, "user_stories")
     models = lambda s, d: spread(t(s, d, "requirements_models"))
     raw = lambda s, d: t(s, d, "raw_pages")
-    body = R.body("raw_text")
+    body = lambda: R.body("raw_text")
 
     def story(name: str, *columns: object) -> Query:
         return lambda s, d: stories(s, d).select("story_uid", *[c() if callable(c) else c for c in columns])
@@ -65,14 +65,14 @@ def queries() -> dict[str, Query]:
         "p3_criteria": lambda s, d: nested.criteria(nested.tagged(spread(t(s, d, "requirements_models")))),
         "p3_logic": lambda s, d: nested.logic_blocks(nested.tagged(spread(t(s, d, "requirements_models")))),
         # structuring
-        "extract_id": story("id", lambda: R.extract_id(body).alias("req_id")),
-        "req_type": story("type", lambda: R.type_of(R.extract_id(body)).alias("req_type")),
-        "extract_condition": story("condition", lambda: R.extract_condition(body).alias("condition")),
-        "extract_action": story("action", lambda: R.extract_action(body).alias("action")),
-        "extract_actor": story("actor", lambda: R.extract_actor(body).alias("actor")),
+        "extract_id": story("id", lambda: R.extract_id(body()).alias("req_id")),
+        "req_type": story("type", lambda: R.type_of(R.extract_id(body())).alias("req_type")),
+        "extract_condition": story("condition", lambda: R.extract_condition(body()).alias("condition")),
+        "extract_action": story("action", lambda: R.extract_action(body()).alias("action")),
+        "extract_actor": story("actor", lambda: R.extract_actor(body()).alias("actor")),
         "actor_normalize": story("role", lambda: R.normalize_actor("role").alias("actor")),
-        "req_confidence": story("confidence", lambda: R.confidence(body).alias("score")),
-        "req_validity": story("valid", lambda: R.is_requirement(body).alias("valid")),
+        "req_confidence": story("confidence", lambda: R.confidence(body()).alias("score")),
+        "req_validity": story("valid", lambda: R.is_requirement(body()).alias("valid")),
         "extract_logic": lambda s, d: structure.logic(stories(s, d)),
         "story_structuring": lambda s, d: structure.structured(stories(s, d)).select("story_uid", "id", "type", "goal", "reason"),
         "inf_ids": lambda s, d: structure.inferred_ids(structure.structured(stories(s, d))),

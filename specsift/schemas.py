@@ -1,0 +1,10 @@
+"""Schemas of the records that move between stages."""
+
+MANIFEST = "doc_id string, file_path string, doc_type string, extraction_path string, page_count int, metadata map<string,string>, hash string, processing_flags array<string>"
+FONT_BLOCK = "struct<text:string, font_size:double, is_heading:boolean, x0:double, y0:double, x1:double, y1:double>"
+RAW_PAGE = f"doc_id string, page_num int, raw_text string, extraction_method string, ocr_confidence double, layout_type string, font_metadata array<{FONT_BLOCK}>"
+CLEANED_PAGE = "doc_id string, page_num int, cleaned_text string, removed_elements array<string>, tables_detected int, figures_detected int"
+EQUATION = "eq_id string, doc_id string, page int, section string, raw_text string, latex string, sympy_expr string, variables array<string>, equation_type string, surrounding_context string, parse_success boolean"
+STORY = "id string, type string, role string, goal string, reason string, confidence double, acceptance_criteria variant, logic variant, raw_text string"
+MODEL = "document_name string, actors array<string>, user_stories variant, metadata map<string,string>"
+PROGRESS = "doc_id string, status string, stage string, message string, percent int, updated_at timestamp"
