@@ -137,6 +137,7 @@ def refill(run: str, codec: str = "cp1252") -> str | None:
 @dataclass
 class Repair:
     model: Garble = field(default_factory=Garble)
+    _judged: dict[tuple[str, ...], tuple[list[str], bool]] = field(default_factory=dict)
 
     def line(self, line: str) -> tuple[str, bool]:
         """The repaired line and whether anything in it was garbled, also where the garble was escaped as entities."""
@@ -150,16 +151,22 @@ class Repair:
         runs = list(RUN.finditer(line))
         if not runs:
             return line, False
-        with_context = [line[max(0, m.start() - 1) : m.end() + 1] for m in runs]
-        total = sum((self.model.scores(x) for x in with_context), np.zeros(len(CHAINS) + 2))
-        out, last, bad = [], 0, False
-        for m, ctx in zip(runs, with_context, strict=True):
-            out.append(line[last : m.start()])
-            fixed, garbled = self._run(m.group(), ctx, total)
-            bad |= garbled
-            out.append(fixed)
+        key = tuple([line[max(0, m.start() - 1) : m.end() + 1] for m in runs])
+        judged = self._judged.get(key)
+        if judged is None:
+            if len(self._judged) > 100_000:
+                self._judged.clear()
+            total = sum((self.model.scores(x) for x in key), np.zeros(len(CHAINS) + 2))
+            each = [self._run(m.group(), ctx, total) for m, ctx in zip(runs, key, strict=True)]
+            judged = self._judged[key] = ([x for x, _ in each], any(b for _, b in each))
+        fixed, bad = judged
+        if not bad:
+            return line, False
+        out, last = [], 0
+        for m, x in zip(runs, fixed, strict=True):
+            out += [line[last : m.start()], x]
             last = m.end()
-        return "".join([*out, line[last:]]), bad
+        return "".join([*out, line[last:]]), True
 
     def _run(self, run: str, ctx: str, total: np.ndarray) -> tuple[str, bool]:
         own = self.model.scores(ctx)
