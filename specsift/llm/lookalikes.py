@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specsift.llm.encoding_pages import repair
+from specsift.runtime import cut
 
 LONG = 4
 #: Letters that render as a Latin letter.
@@ -35,7 +36,8 @@ PLAIN = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in SPACES} | {0x2
 ODD = re.compile("[" + "".join(map(re.escape, map(chr, PLAIN))) + "]")
 MARK = re.compile("[\u0300-\u036f]")
 OTHER = re.compile("[\u0370-\u052f]")
-WORD = re.compile(r"[^\W\d_]+")
+#: Words that hold a Greek or Cyrillic letter.
+MIXED = re.compile("[^\\W\\d_]*[\u0370-\u052f][^\\W\\d_]*")
 VOCABULARY_WORD = "[^A-Za-z\\u00c0-\\u024f]+"
 
 
@@ -87,15 +89,15 @@ def latin(token: str) -> str | None:
 
 def candidates(text: str) -> list[str]:
     """Latin forms of the tokens of mixed script."""
-    return [x for m in WORD.finditer(text) if OTHER.search(m.group()) and (x := latin(m.group()))] if OTHER.search(text) else []
+    return [x for m in MIXED.finditer(text) if (x := latin(m.group()))]
 
 
 def repaired(text: str, words: set[str]) -> str:
     def one(m: re.Match) -> str:
-        x = latin(m.group()) if OTHER.search(m.group()) else None
+        x = latin(m.group())
         return x if x and (len(x) >= LONG or x.lower() in words) else m.group()
 
-    return WORD.sub(one, text) if OTHER.search(text) else text
+    return MIXED.sub(one, text) if OTHER.search(text) else text
 
 
 SCAN = "tbl string, row_id bigint, garbled boolean, changed boolean, sure boolean, candidates array<string>"
@@ -121,13 +123,18 @@ def texts(pages: DataFrame, stories: DataFrame) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """The words of ``of``(word) that stand somewhere in the corpus in Latin letters only."""
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), VOCABULARY_WORD))).alias("word")).where("length(word) between 1 and 3")
+    """The words of ``of``(word) that stand somewhere in the corpus in Latin letters only.
+
+    Tokens are told apart as they stand; only the distinct ones are cut into words.
+    """
+    tokens = rows.select(F.explode(F.split(F.translate("text", "\n\t", "  "), " ")).alias("token")).distinct()
+    words = tokens.select(F.explode(F.split(F.lower("token"), VOCABULARY_WORD)).alias("word")).where(F.length("word").between(1, LONG - 1))
     return of.select("word").distinct().join(words.distinct(), "word", "left_semi")
 
 
 def scanned(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("text").rlike("[^\\x00-\\x7f]")).mapInPandas(_scan, SCAN)
+    """The texts that change or hold tokens of mixed script: few against all texts, so they are kept for their uses."""
+    return cut(rows.where(F.octet_length("text") > F.length("text")).mapInPandas(_scan, SCAN))
 
 
 def found(pages: DataFrame, stories: DataFrame) -> DataFrame:
