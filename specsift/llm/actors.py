@@ -30,6 +30,8 @@ EMPTY_WORDS = {"a", "an", "the", "role", "actor", "user", "as", "of", "our", "an
 #: Words up to this length must match letter for letter, longer ones within one edit, long ones within two.
 EXACT_UP_TO, ONE_UP_TO = 3, 5
 MIN_SCORE = 0.75
+#: A value written as one word may differ from a name by edits up to this length; no name is as long.
+WHOLE_UP_TO = 60
 
 
 def key(value: str) -> str:
@@ -51,7 +53,7 @@ def tokens(value: str) -> list[str]:
 def deletions(word: str) -> list[str]:
     """The word and its forms with up to as many letters deleted as it may differ by."""
     forms = {word}
-    for _ in range(tolerance(word)):
+    for _ in range(tolerance(word) if len(word) <= WHOLE_UP_TO else 0):
         forms |= {w[:i] + w[i + 1 :] for w in forms for i in range(len(w))}
     return sorted(forms)
 
@@ -105,7 +107,7 @@ def value_forms(values: DataFrame) -> DataFrame:
                     forms = set(deletions(bare)) | ({bare + "."} if x.endswith(".") else set()) | ({bare[:-1]} if bare.endswith("s") else set()) | ({bare[:-2]} if bare.endswith("es") else set())
                     rows += [(v, len(t), i, x, False, f) for f in sorted(forms)]
                 one = "".join(x.rstrip(".") for x in t)
-                rows += [(v, len(t), -1, one, True, f) for f in deletions(one)]
+                rows += [(v, len(t), -1, one, True, f) for f in (deletions(one) if len(one) <= WHOLE_UP_TO else [one])]
             yield pd.DataFrame(rows, columns=["value", "n", "pos", "token", "whole", "form"])
 
     return values.mapInPandas(run, FORMS)

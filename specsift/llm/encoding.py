@@ -33,6 +33,8 @@ CHAINS: tuple[tuple[str, ...], ...] = (
     ("cp1252",), ("latin-1",), ("cp1250",), ("cp1251",), ("cp437",), ("cp850",), ("mac-roman",), ("cp866",), ("koi8-r",),
     ("iso8859-15",), ("cp1254",), ("cp1252", "cp1252"), ("latin-1", "latin-1"), ("latin-1", "cp1252"), ("cp1252", "latin-1"), ("cp437", "cp437"),
 )
+#: Log priors: readings as Windows or ISO Latin are the usual ones, the last code pages of the list rare.
+PRIOR = tuple(0.0 if c in (("cp1252",), ("latin-1",)) else -4.0 if c[0] in ("cp866", "koi8-r", "iso8859-15", "cp1254") else -2.0 if len(c) == 1 else -3.0 for c in CHAINS) + (0.0, 0.0)
 CLEAN, LOSSY = len(CHAINS), len(CHAINS) + 1
 #: Readings whose characters are also runs of sound text: they need more evidence than a strict inversion.
 FREQUENT_AS_TEXT = ("cp866", "koi8-r", "mac-roman", "cp437", "cp850")
@@ -106,11 +108,12 @@ class Garble:
         if got is None:
             if len(self._cache) > 50_000:
                 self._cache.clear()
-            got = self._cache[run] = self.logp[:, features(run)].sum(1)
+            got = self._cache[run] = self.logp[:, features(run)].sum(1) + PRIOR
         return got
 
 
-#: Bytes that some decoders drop because their code page leaves them undefined.
+#: Characters whose last byte may have been dropped, likeliest first; and bytes that some decoders drop because their code page leaves them undefined.
+CLOSERS = "”‑‐"
 DROPPED = b"\x81\x8d\x8f\x90\x9d"
 
 
@@ -129,9 +132,9 @@ def refill(run: str, codec: str = "cp1252") -> str | None:
             text = (raw + bytes([extra])).decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if text[-1] in "”‐‑":
+        if text[-1] in CLOSERS:
             fits.append(text)
-    return fits[0] if fits else None
+    return min(fits, key=lambda x: CLOSERS.index(x[-1])) if fits else None
 
 
 @dataclass
