@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specsift.runtime import cut
+
 #: A length is a hidden limit if this share of a source's texts, and at least so many, have exactly it.
 LIMIT_SHARE, LIMIT_TEXTS = 0.03, 5
 SHORT_LINE = 6
@@ -23,6 +25,8 @@ SENTENCE_END = "[.!?。！？。।؟։။።][\"'”’»›«“)\\]]*$"
 OMISSION = "\\s*(…|\\.\\.\\.|\\[…\\]|\\[\\.\\.\\.\\]|\\(…\\)|\\(\\.\\.\\.\\)|\\[(cut|truncated|more|continued)\\]|\\((cut|truncated|more|continued)\\))$"
 CLOSED = "^\\|.*\\|$|^\\(.*\\)$|^\\[.*\\]$|^([-=*_~#]{2,}).*\\1$|[\\p{So}\\p{Sk}]$|^\\W+$"
 OPEN_ITEM = "^([-*•+–]|\\d+[.)])\\s|^[\\p{L}_ ]{1,30} = \\S+$|^\\[\\d+\\]|^ref\\."
+#: White space and invisible marks that may trail a text.
+BLANK = " \t\n\r\f\v\u001c\u001d\u001e\u001f\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 BREAK = "\\n+|(?<=[.!?…])[\"'”’»)\\]]*\\s+"
 
 
@@ -37,10 +41,13 @@ def _start(words: Column, n: int) -> Column:
 def measures(documents: DataFrame) -> DataFrame:
     """(doc_id, source, measure, length) of every text, under each way in which a store may have counted it."""
     t = F.col("text")
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("bigint")
     chars, bytes_ = F.length(t).cast("bigint"), F.octet_length(t).cast("bigint")
-    lines, quotes, beyond, astral = count("\n"), count("[\"\\\\]"), count("[^\\x00-\\x7f]"), count("[\\x{10000}-\\x{10ffff}]")
-    entities = count("&") * 4 + count("[<>]") * 3 + count("[\"']") * 5
+    number = lambda c: bytes_ - F.octet_length(F.replace(t, F.lit(c), F.lit("")))
+    some = lambda pattern: F.when(bytes_ > chars, F.regexp_count(t, F.lit(pattern)).cast("bigint")).otherwise(F.lit(0))
+    lines, doubles = number("\n"), number('"')
+    quotes = doubles + number("\\")
+    beyond, astral = some("[^\\x00-\\x7f]"), some("[\\x{10000}-\\x{10ffff}]")
+    entities = number("&") * 4 + (number("<") + number(">")) * 3 + (doubles + number("'")) * 5
     ways = {
         "characters": chars, "utf8": bytes_, "utf16": chars + astral, "html_characters": chars + entities, "html_utf8": bytes_ + entities,
         "json_characters": chars + lines + quotes, "json_utf8": bytes_ + lines + quotes, "json_ascii": chars + lines + quotes + beyond * 5 + astral * 6,
@@ -57,9 +64,10 @@ def limits(documents: DataFrame) -> DataFrame:
     return top.where((F.col("texts") >= LIMIT_TEXTS) & (F.col("texts") >= LIMIT_SHARE * F.col("all"))).select("source", "measure", "limit_length", "texts", (F.col("texts") / F.col("all")).alias("share"))
 
 
-def at_limit(documents: DataFrame) -> DataFrame:
-    """doc_id of the texts whose length is a hidden limit of their source."""
-    m, lim = measures(documents), limits(documents).select(F.col("source").alias("of"), F.col("measure").alias("by"), "limit_length")
+def at_limit(documents: DataFrame, some: DataFrame) -> DataFrame:
+    """doc_id of the documents of some(doc_id) whose length is a hidden limit of their source, found over all documents."""
+    m = measures(documents.select("doc_id", "source", "text").join(some, "doc_id", "left_semi"))
+    lim = limits(documents).select(F.col("source").alias("of"), F.col("measure").alias("by"), "limit_length")
     return m.join(lim, m["source"].eqNullSafe(lim["of"]) & (m["measure"] == lim["by"]) & (m["length"] == lim["limit_length"]), "left_semi").select("doc_id").distinct()
 
 
@@ -70,7 +78,7 @@ def endings(documents: DataFrame) -> DataFrame:
     word is tested) or open (of which the last word and the start are tested: three words, two of a longer line
     without a mark, or all but the last of a shorter one).
     """
-    t = F.regexp_replace("text", "[\\s\\p{Z}\\x{200b}\\x{feff}]+$", "")
+    t = F.rtrim("text", F.lit(BLANK))
     line = F.trim(F.substring_index(F.col("t"), "\n", -1))
     marked = F.col("line").rlike(OMISSION)
     bare = F.regexp_replace(F.col("line"), OMISSION, "")
@@ -97,15 +105,17 @@ def endings(documents: DataFrame) -> DataFrame:
 
 
 def corpus_words(documents: DataFrame) -> DataFrame:
-    """Every word that stands inside a text, before its last line's last word."""
-    inner = F.regexp_replace("text", "\\S+\\s*$", "")
-    return documents.where(F.length("text") > 0).select(F.explode(F.array_distinct(_words(inner))).alias("word"))
+    """Every word that stands inside a text, before its last token; only distinct tokens are cut into words."""
+    tokens = F.split(F.rtrim(F.translate("text", "\n\t\r", "   ")), " ")
+    inner = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
+    distinct = documents.where(F.length("text") > 0).select(F.explode(inner).alias("token")).distinct()
+    return distinct.select(F.explode(_words(F.col("token"))).alias("word"))
 
 
 def sentence_starts(documents: DataFrame) -> DataFrame:
     """The first words, up to three, of every finished sentence."""
     parts = F.filter(F.split("text", BREAK), lambda s: s.rlike(SENTENCE_END) & ~s.rlike(OMISSION))
-    starts = F.array_distinct(F.transform(parts, lambda s: _start(_words(s), 3)))
+    starts = F.array_distinct(F.transform(parts, lambda s: _start(_words(F.substring_index(s, " ", 8)), 3)))
     three = documents.where(F.length("text") > 0).select(F.explode(starts).alias("s")).distinct()
     words = F.split("s", " ")
     return three.select(F.explode(F.array(_start(words, 1), _start(words, 2), _start(words, 3))).alias("start")).where("start <> ''")
@@ -113,20 +123,20 @@ def sentence_starts(documents: DataFrame) -> DataFrame:
 
 def found(documents: DataFrame) -> DataFrame:
     """doc_id of the texts that stop before their last word or sentence is complete."""
-    e = endings(documents)
+    e = cut(endings(documents).where("kind <> 'whole'"))
     ends = e.where("kind in ('open', 'item')")
     known = ends.select("word").distinct().join(corpus_words(documents).distinct(), "word", "left_semi").select(F.col("word").alias("known"))
     begun = ends.where("kind = 'open'").select("start").distinct().join(sentence_starts(documents).distinct(), "start", "left_semi").select(F.col("start").alias("begun"))
     tested = ends.join(known, F.col("word") == F.col("known"), "left").join(begun, F.col("start") == F.col("begun"), "left")
-    cut = tested.where((F.col("known").isNull() & ~F.col("word").contains("0")) | ((F.col("kind") == "open") & F.col("begun").isNotNull())).select("doc_id")
+    broken_off = tested.where((F.col("known").isNull() & ~F.col("word").contains("0")) | ((F.col("kind") == "open") & F.col("begun").isNotNull())).select("doc_id")
     numbers = e.where("kind = 'number'").select("doc_id")
-    broken = numbers.join(at_limit(documents), "doc_id", "left_semi")
-    return e.where("kind = 'cut'").select("doc_id").unionByName(cut).unionByName(broken)
+    broken = at_limit(documents, numbers)
+    return e.where("kind = 'cut'").select("doc_id").unionByName(broken_off).unionByName(broken)
 
 
 def sources(documents: DataFrame) -> DataFrame:
     """(source, texts, cut_texts, share, hidden_limits): how often each source truncates and the limits it shows."""
-    flag = documents.join(found(documents).select(F.col("doc_id").alias("cut_id")).distinct(), F.col("doc_id") == F.col("cut_id"), "left")
+    flag = documents.select("doc_id", "source").join(found(documents).select(F.col("doc_id").alias("cut_id")).distinct(), F.col("doc_id") == F.col("cut_id"), "left")
     per = flag.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.count("cut_id").alias("cut_texts"))
     lim = limits(documents).groupBy(F.col("source").alias("of")).agg(F.array_sort(F.collect_list(F.concat_ws(":", "measure", "limit_length"))).alias("hidden_limits"))
     return per.join(lim, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "texts", "cut_texts", (F.col("cut_texts") / F.col("texts")).alias("share"), "hidden_limits")
