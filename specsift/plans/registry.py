@@ -41,7 +41,7 @@ def queries() -> dict[str, Query]:
     t = table
     stories = lambda s, d: t(s, d, "user_stories")
     models = lambda s, d: spread(t(s, d, "requirements_models"))
-    raw = lambda s, d: t(s, d, "raw_pages")
+    raw = lambda s, d: spread(t(s, d, "raw_pages"))
     body = lambda: R.body("raw_text")
 
     def story(name: str, *columns: object) -> Query:
