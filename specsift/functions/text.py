@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -84,9 +85,22 @@ def markdown_rules(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), r"\n{3,}", "\n\n"), r"(?m)^[ \t]*[-_]{5,}[ \t]*$", "")
 
 
+#: Mathematics in Markdown: display blocks, bracketed blocks, inline spans of one line.
+MATH = r"(?s:\$\$.*?\$\$)|(?s:\\\[.*?\\\])|(?<!\$)\$(?!\$)(?d:.*?)(?<!\$)\$(?!\$)"
+HOLE = "\ue000"
+
+
+def around_math(c: Column | str, clean: Callable[[Column], Column]) -> Column:
+    """The text with everything but its mathematics cleaned; if cleaning drops a place of mathematics, all is cleaned."""
+    spans = F.regexp_extract_all(col(c), F.lit(MATH), 0)
+    rest = F.split(clean(F.regexp_replace(col(c), MATH, HOLE)), HOLE)
+    whole = F.array_join(F.transform(rest, lambda x, i: F.concat(x, F.coalesce(F.get(spans, i), F.lit("")))), "")
+    return F.when(F.size(rest) == F.size(spans) + 1, whole).otherwise(clean(col(c)))
+
+
 def clean_markdown(c: Column | str) -> Column:
     """The whole Markdown cleaning; mathematics is left as it is, prose between it is cleaned."""
-    return markdown_rules(markdown_lines(markdown_symbols(c)))
+    return around_math(c, lambda x: markdown_rules(markdown_lines(markdown_symbols(x))))
 
 
 def lost_tokens(before: Column | str, after: Column) -> Column:

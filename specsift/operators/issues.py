@@ -84,6 +84,29 @@ def opposed(rules: DataFrame) -> DataFrame:
     return a.join(b, a["doc_id"].eqNullSafe(b["d"]) & (a["cond_key"] == b["k"])).where("story_a <> story_b").select("doc_id", "cond_key", "permits", "denies", "story_a", "story_b", "rules_a", "rules_b")
 
 
+def overlapping(rules: DataFrame) -> DataFrame:
+    """Classes of numeric conditions of one document that overlap: one variable, one direction, at least two stories.
+
+    (doc_id, variable, direction, stories, conditions, low, high): every two members overlap, so a class stands for its
+    pairs; conditions of a number and a unit have no direction and overlap with none.
+    """
+    c = rules.select("doc_id", "story_id", R.condition_logic("condition").alias("c")).where("c.operator in ('<', '<=', '>', '>=')")
+    k = c.select("doc_id", "story_id", "c.variable", F.substring("c.operator", 1, 1).alias("direction"), "c.value").distinct()
+    n = k.groupBy("doc_id", "variable", "direction").agg(F.countDistinct("story_id").alias("stories"), F.countDistinct("value").alias("conditions"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return n.where("stories > 1")
+
+
+def numeric_contradictions(rules: DataFrame) -> DataFrame:
+    """Conditions of one document under which actions name different numbers of one unit or variable.
+
+    (doc_id, cond_key, variable, stories, amounts, low, high), one row for each class of such actions.
+    """
+    key = strip(F.replace(F.lower("condition"), F.lit("%"), F.lit(" percent")))
+    a = rules.select("doc_id", "story_id", key.alias("cond_key"), R.condition_logic("action").alias("a")).where("a is not null and cond_key <> ''")
+    n = a.select("doc_id", "story_id", "cond_key", "a.variable", "a.value").distinct().groupBy("doc_id", "cond_key", "variable").agg(F.countDistinct("story_id").alias("stories"), F.countDistinct("value").alias("amounts"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return n.where("stories > 1 and amounts > 1")
+
+
 def conditional(c: Column | str) -> Column:
     return F.lower(col(c)).rlike(r"\b(if|when|where)\b")
 

@@ -283,6 +283,11 @@ def sql() -> dict[str, str]:
     vague = "case " + " ".join(f"when contains(lower(goal), {lit(v)}) then {lit('vague: ' + v)}" for v in L.VAGUE_GOAL_VERBS) + " end"
     q["insights_topk"] = f"with {STORIES}, {AC}, h as (select doc_id, story_seq, story_uid, 0 as k, {vague} as hint from s union all select doc_id, story_seq, story_uid, 1, case when raw_text is not null and not exists (select 1 from acx where acx.story_uid = s.story_uid) then 'no criteria' end from s) select doc_id, row_number() over (partition by doc_id order by story_seq, story_uid, k) as rank, story_uid, hint from h where hint is not null qualify rank <= 4"
     q["srs_context"] = "with f as (select *, row_number() over (partition by doc_id order by story_seq, story_uid) as k from user_stories) select doc_id, coalesce(string_agg(coalesce(goal, raw_text), ', ' order by k), '') as context from f where k <= 10 group by 1"
+    rl = f"r as ({Y.RULES})"
+    cl = "lower(condition)"
+    cop = f"regexp_extract({cl}, {lit(COMPARE)}, 2)"
+    q["condition_overlap"] = f"with {rl}, c as (select distinct doc_id, story_id, regexp_extract({cl}, {lit(COMPARE)}, 1) as variable, case {cop} when 'under' then '<' when 'within' then '<' when 'exceeding' then '>' else {cop}[1:1] end as direction, regexp_extract({cl}, {lit(COMPARE)}, 3)::double as value from r where not {rx(cl, UNIT)} and {rx(cl, COMPARE)} and {cop} <> '==') select doc_id, variable, direction, count(distinct story_id) as stories, count(distinct value) as conditions, min(value) as low, max(value) as high from c group by all having stories > 1"
+    q["conflict_numeric"] = f"with {rl}, a as (select distinct doc_id, story_id, lower(condition) as cond_key, regexp_extract(action, {lit(UNIT)}, 2) as variable, regexp_extract(action, {lit(UNIT)}, 1)::double as value from r) select doc_id, cond_key, variable, count(distinct story_id) as stories, count(distinct value) as amounts, min(value) as low, max(value) as high from a group by all having stories > 1 and amounts > 1"
     # pages
     q["clean_page_numbers"] = f"select page_id, {_without(L.PAGE_NUMBER)} as text from raw_pages"
     q["clean_toc"] = f"select page_id, {_without((L.TOC,))} as text from raw_pages"
@@ -332,6 +337,10 @@ def sql() -> dict[str, str]:
     q["eq_latex"] = lx(rf"select k, array_to_string(list_concat({inner}, regexp_extract_all(text, '(?s)\$\$(.+?)\$\$', 1)), '|') as parts from x")
     q["math_merge_blocks"] = lx(r"select k, regexp_replace(text, '(?s)\$\$(.*?)\$\$\s*\n\s*\$\$(.*?)\$\$', '$$\1 \2$$', 'g') as text from x")
     q["latex_normalize"] = lx(f"select k, {latex_text(chr(32) + lit('') + ' || regexp_extract(text, ' + lit('(?s)' + chr(92) + '$' + chr(92) + '$(.+?)' + chr(92) + '$' + chr(92) + '$') + ', 1)')} as text from x")
+    pieces = r"string_split(regexp_replace(regexp_replace(t, '(?s)\$\$.*?\$\$', chr(1), 'g'), '\$[^$\n]*\$', chr(2), 'g'), chr(3))[1]"
+    # mathematics is set aside by kind, arrows are replaced, and the kinds are put back in order
+    q["md_math_protect"] = lx(rf"""select k, (list_reduce(list_prepend('', list_transform(range(1, len(p) + 1), lambda i: replace(replace(replace(p[i], '→', ' THEN '), '=>', ' THEN '), '->', ' THEN ') || coalesce(m[i], ''))), lambda a, b: a || b)) as text
+      from (select k, string_split({pieces.replace("string_split(", "", 1).replace(", chr(3))[1]", "").replace("chr(1)", "chr(2)")}, chr(2)) as p, regexp_extract_all(t, '(?s:\$\$.*?\$\$)|\$[^$\n]*\$') as m from (select k, text || ' -> $a -> b$ -> c' as t from x))""")
     q["eq_number"] = lx(r"select k, nullif(regexp_extract(regexp_extract(text, '(?s)\$\$.+?\$\$(.{0,30})', 1), '\((\d+\.\d+[a-z]?)\)', 1), '') as number from x")
     q["eq_classify"] = f"select page_id, case when {holds('raw_text', ('tau', 'dt', 'dq'))} then 'transient_equation' when contains(raw_text, 'V_DD') and contains(raw_text, 'C_L') then 'power_equation' when {holds('raw_text', ('i_', 'v_', 'V_', 'Vth'))} then 'transfer_equation' else 'general_equation' end as kind from raw_pages"
     q["math_inline_pages"] = lx(rf"select expr, string_agg(page::varchar, ',' order by page) as pages from (select distinct page, trim(unnest({inner})) as expr from x) where expr <> '' group by 1")

@@ -90,6 +90,8 @@ def queries() -> dict[str, Query]:
         "condition_logic": rule(lambda: R.condition_logic("raw_text")["variable"].alias("variable"), lambda: R.condition_logic("raw_text")["operator"].alias("operator"), lambda: R.condition_logic("raw_text")["value"].alias("value")),
         "module_prefix": rule(lambda: R.module_of("story_id").alias("module")),
         "conflict_rule_layer": lambda s, d: issues.opposed(structure.model_ledger(models(s, d))),
+        "condition_overlap": lambda s, d: issues.overlapping(_with_views(s, d, synthetic.RULES, ("part",))),
+        "conflict_numeric": lambda s, d: issues.numeric_contradictions(_with_views(s, d, synthetic.RULES, ("part",))),
         "conflict_semantic": lambda s, d: similarity.alike_conflicts(structure.model_ledger(models(s, d))),
         # ambiguities, gaps, report
         "ambiguity_vague_terms": lambda s, d: issues.story_texts(stories(s, d)).select("story_uid", "src", F.explode(issues.vague_terms("text")).alias("x")).select("story_uid", "src", "x.term", "x.severity"),
@@ -123,6 +125,7 @@ def queries() -> dict[str, Query]:
         "md_symbols": lambda s, d: markdown(s, d).select("k", T.markdown_symbols("text").alias("text")),
         "md_line_filters": lambda s, d: markdown(s, d).select("k", T.markdown_lines("text").alias("text")),
         "md_rules": lambda s, d: markdown(s, d).select("k", T.markdown_rules("text").alias("text")),
+        "md_math_protect": lambda s, d: latex(s, d).select("k", T.around_math(F.concat("text", F.lit(" -> $a -> b$ -> c")), T.markdown_symbols).alias("text")),
         "token_loss_audit": lambda s, d: pages.token_losses(raw(s, d)),
         "markdown_assembly": lambda s, d: pages.markdown_pages(raw(s, d)),
         "detect_columns": lambda s, d: pages.columns(raw(s, d)),
@@ -172,6 +175,7 @@ def queries() -> dict[str, Query]:
         "text_to_pseudo_story": lambda s, d: overview.pseudo_stories(t(s, d, "documents")),
         "cosine_similarity": lambda s, d: t(s, d, "embeddings").alias("a").join(t(s, d, "embeddings").alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id").alias("vec_id"), F.round(similarity.cosine("a.embedding", "b.embedding"), 6).alias("cosine")),
         "seqmatch_ratio": lambda s, d: stories(s, d).where("goal is not null and reason is not null").select("story_uid", similarity.ratio("goal", "reason").alias("ratio")),
+        "knn_indexed": lambda s, d: similarity.indexed_nearest(t(s, d, "embeddings")).select("query_id", "vec_id", "rank"),
         "knn_candidate_pairs": lambda s, d: similarity.candidate_pairs(t(s, d, "embeddings")),
     }
 

@@ -46,3 +46,10 @@ from supplier
 """
 #: Requests for a diagram, one for each document.
 REQUESTS = "select doc_id, concat(case when doc_id % 5 = 0 then 'Draw a use case diagram. ' when doc_id % 5 = 1 then 'A DFD: ' when doc_id % 5 = 2 then 'Flowchart of ' else '' end, coalesce(substring(text, 1, 80), '')) as request from documents"
+#: Numeric rules: one for each part, documents by brand, conditions and actions with numbers.
+RULES = """
+select p_brand as doc_id, concat('FR-', cast(p_partkey % 100 as varchar(10))) as story_id, p_partkey as story_uid,
+  concat(case when p_partkey % 3 = 0 then 'latency' when p_partkey % 3 = 1 then 'Capacity' else 'queue' end, case when p_partkey % 4 = 0 then ' under ' when p_partkey % 4 = 1 then ' exceeding ' else ' > ' end, cast(p_size % 9 as varchar(10))) as condition,
+  concat('stop within ', cast(p_size % 5 as varchar(10)), case when p_partkey % 2 = 0 then ' seconds' else ' minutes' end) as action
+from part
+"""

@@ -146,3 +146,19 @@ def test_nearest_equals_brute_force(spark):
 def test_null_text_gives_null(spark):
     df = spark.createDataFrame([(None,)], "c0 string")
     assert df.select(R.extract_condition("c0"), R.goal_of("c0", F.lit("user_story"))).first() == (None, None)
+
+
+def test_index_recall(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    v = spark.read.parquet(f"{folder}/embeddings.parquet")
+    exact = {(r.query_id, r.vec_id) for r in similarity.nearest(v).collect()}
+    found = {(r.query_id, r.vec_id) for r in similarity.indexed_nearest(v).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_mathematics_is_left_alone(spark):
+    assert one(spark, T.clean_markdown("c0"), "a -> b $x -> y$\n$$p -> q\n--->$$ <b>c</b>") == "a  THEN  b $x -> y$\n$$p -> q\n--->$$ c"
