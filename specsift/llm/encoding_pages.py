@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from specsift.llm.encoding import Repair
 
 #: Texts without any of these can't be garbled, so Python never sees them.
+LOST = "\ufffd"
+NOT_ASCII = re.compile("[^\\x00-\\x7f]")
 SUSPECT = "[^\\x00-\\x7f]|&#?\\w+;"
 
 
@@ -33,10 +36,36 @@ def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[hit, ["tbl", "page_id"]]
 
 
+#: A lost character is refilled if this share of the sound characters in its context are one.
+SURE = 0.9
+SIDE = 3
+
+
+def context(text: str, i: int) -> str:
+    """What stands beside a character: three on each side, lower case, digits alike."""
+    return "".join("0" if c.isdigit() else c for c in f"{text[max(0, i - SIDE) : i]}\x00{text[i + 1 : i + 1 + SIDE]}".lower())
+
+
+def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    r = repair()
+    for batch in batches:
+        rows = []
+        for t in batch["text"]:
+            fixed = r.text(t)[0]
+            rows += [(context(fixed, m.start()), m.group()) for m in NOT_ASCII.finditer(fixed)]
+        yield pd.DataFrame(rows, columns=["context", "c"])
+
+
 def _restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     r = repair()
     for batch in batches:
-        out = [r.text(t) for t in batch["text"]]
+        out = []
+        for t, fill in zip(batch["text"], batch["fill"], strict=True):
+            fixed, garbled = r.text(t)
+            if fixed and LOST in fixed and fill is not None and len(fill):
+                of = {x["context"]: x["c"] for x in fill}
+                fixed = "".join(of.get(context(fixed, i), c) if c == LOST else c for i, c in enumerate(fixed))
+            out.append((fixed, garbled))
         yield pd.DataFrame({"tbl": batch["tbl"], "page_id": batch["page_id"], "text": [x for x, _ in out], "garbled": [g for _, g in out]})
 
 
@@ -45,6 +74,27 @@ def found(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
     return _rows(raw, cleaned).where(F.col("text").rlike(SUSPECT)).mapInPandas(_found, "tbl string, page_id bigint")
 
 
+def lost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    r = repair()
+    for batch in batches:
+        rows = []
+        for tbl, k, t in zip(batch["tbl"], batch["page_id"], batch["text"], strict=True):
+            fixed = r.text(t)[0]
+            rows += [(tbl, k, c) for c in sorted({context(fixed, i) for i, c in enumerate(fixed) if c == LOST})]
+        yield pd.DataFrame(rows, columns=["tbl", "page_id", "context"])
+
+
 def restored(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """(tbl, page_id, text, garbled) of every page; sound pages pass through."""
-    return _rows(raw, cleaned).mapInPandas(_restored, "tbl string, page_id bigint, text string, garbled boolean")
+    """(tbl, page_id, text, garbled) of every page; sound pages pass through.
+
+    Characters that decoding lost are refilled by their context: the contexts of lost characters meet those of sound
+    ones in a join, and a context that nearly always holds one character gives it back.
+    """
+    rows = _rows(raw, cleaned)
+    gaps = rows.where(F.contains("text", F.lit(LOST))).mapInPandas(lost, "tbl string, page_id bigint, context string")
+    sound = rows.where(F.octet_length("text") > F.length("text")).mapInPandas(_contexts, "context string, c string").where(F.col("c") != LOST)
+    wanted = sound.join(gaps.select("context").distinct(), "context", "left_semi").groupBy("context", "c").agg(F.count(F.lit(1)).alias("n"))
+    best = wanted.groupBy("context").agg(F.max_by("c", F.struct("n", "c")).alias("c"), F.max("n").alias("n"), F.sum("n").alias("of")).where(F.col("n") >= SURE * F.col("of"))
+    fills = gaps.join(best.select("context", "c"), "context").groupBy(F.col("tbl").alias("f_tbl"), F.col("page_id").alias("f_page")).agg(F.collect_list(F.struct("context", "c")).alias("fill"))
+    x = rows.join(fills, (F.col("tbl") == F.col("f_tbl")) & (F.col("page_id") == F.col("f_page")), "left").select("tbl", "page_id", "text", "fill")
+    return x.mapInPandas(_restored, "tbl string, page_id bigint, text string, garbled boolean")

@@ -327,10 +327,13 @@ def found(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
     return lines.unionByName(hyphens).unionByName(misread.withColumn("kind", F.lit("misread"))).distinct()
 
 
-def paragraphs(raw: DataFrame) -> DataFrame:
-    """(page_id, text): scanned pages as continuous paragraphs, furniture and page numbers taken out."""
+def paragraphs(raw: DataFrame, cleaned: DataFrame | None = None) -> DataFrame:
+    """(page_id, text): scanned pages as continuous paragraphs, furniture and page numbers taken out.
+
+    Cleaned pages, where given, only teach what furniture is.
+    """
     rows = texts(raw, None)
-    drop = furniture(raw, None, rows).groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
+    drop = furniture(raw, cleaned, rows).groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
     fixes = judged(raw, None).groupBy("page_id").agg(F.collect_list(F.struct("line_no", "next_no", "kind", "token", "at", "word")).alias("fixes"))
     joined = rows.join(drop.withColumnRenamed("page_id", "d"), F.col("page_id") == F.col("d"), "left").join(fixes.withColumnRenamed("page_id", "f"), F.col("page_id") == F.col("f"), "left")
 

@@ -20,7 +20,7 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: chunking.found(spread(t(s, d, "knowledge_chunks"))),
         "p2_pieces": lambda s, d: chunking.pieces(spread(t(s, d, "knowledge_chunks"))),
         "p4_found": lambda s, d: ocr.found(t(s, d, "raw_pages"), t(s, d, "cleaned_pages")),
-        "p4_paragraphs": lambda s, d: ocr.paragraphs(t(s, d, "raw_pages")),
+        "p4_paragraphs": lambda s, d: ocr.paragraphs(t(s, d, "raw_pages"), t(s, d, "cleaned_pages")),
         "p5_found": lambda s, d: actors.found(t(s, d, "user_stories"), t(s, d, "requirements_models"), t(s, d, "actor_catalog")),
         "p5_unmatched": lambda s, d: actors.unmatched(t(s, d, "user_stories"), t(s, d, "requirements_models"), t(s, d, "actor_catalog")),
         "p6_found": lambda s, d: lookalikes.found(spread(t(s, d, "raw_pages")), spread(t(s, d, "user_stories"))),

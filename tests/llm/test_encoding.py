@@ -57,6 +57,14 @@ def test_edge_rows(spark):
     assert encoding_pages.found(raw.limit(0), cleaned).count() == 0
 
 
+def test_lost_characters_come_back_by_context(spark):
+    pages = [(k, f"the clerk’s consent {k}; costs €{k}50 now") for k in range(5)] + [(9, "the clerk\ufffds consent 7; costs \ufffd950 now, \ufffdx")]
+    raw = spark.createDataFrame(pages, "page_id bigint, raw_text string")
+    cleaned = spark.createDataFrame([], "page_id bigint, cleaned_text string")
+    out = {r.page_id: (r.text, r.garbled) for r in encoding_pages.restored(raw, cleaned).collect()}
+    assert out[9] == ("the clerk’s consent 7; costs €950 now, \ufffdx", True) and out[0] == (pages[0][1], False)
+
+
 def test_cache_gives_same_answer():
     a, b = Repair(), Repair()
     lines = [garble(TEXT, ("cp1252",)), TEXT] * 2
