@@ -89,7 +89,7 @@ def merge_blocks(text: Column | str) -> Column:
     return F.regexp_replace(col(text), r"(?s)\$\$(.*?)\$\$\s*\n\s*\$\$(.*?)\$\$", r"\$\$$1 $2\$\$")
 
 
-#: Rewrites of LaTeX to plain mathematics, in order, after the token table: pattern, replacement.
+#: Rewrites of LaTeX to plain mathematics, in order, after the token table: pattern, replacement.
 LATEX_REWRITES = (
     (r"_\{([^}]+)\}", "_$1"), (r"\^\{([^}]+)\}", "**($1)"), (r"\\frac\{(.*?)\}\{(.*?)\}", "($1)/($2)"), (r"_([a-zA-Z0-9]+),([a-zA-Z0-9]+)", "_$1_$2"), (r"\{", "("), (r"\}", ")"), (r"\[", "("),
     (r"\]", ")"), (r"\\", ""), (r"tag\(.*?\)", ""), (r"\([0-9]+\.[0-9]+[a-zA-Z]*\)$", ""), (r"exp\^\(([^)]+)\)", "exp($1)"), (r"exp\^([a-zA-Z0-9_]+)", "exp($1)"), (r"e\^\(([^)]+)\)", "exp($1)"),

@@ -96,6 +96,7 @@ def criteria_lines(c: Column | str) -> Column:
     return F.filter(after, lambda x: ~F.contains(x, F.lit("Acceptance Criteria")) & strip(x).rlike(r"^(-|\*|\d+\.)"))
 
 
+#: Fixed value: a bullet line of acceptance criteria.
 BULLET = r"(?d)^(\s*)([-*•]|\d+\.)\s+(.*)"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from specsift.functions import requirements as R
 from specsift.functions.text import strip
 
-#: A block starts at a line feed before a hyphenated id, or at a blank line.
+#: A block starts at a line feed before a hyphenated id, or at a blank line.
 BLOCK = r"\n(?=\s*(?:[-*•]|\*\*|__)?\s*[A-Z]{2,5}(?:-[A-Z]+)?-\d{1,3})|\n\s*\n"
 PARAGRAPH = r"\n\s*\n"
 

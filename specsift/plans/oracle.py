@@ -328,6 +328,13 @@ def sql() -> dict[str, str]:
     q["eq_score"] = f"with {EQ_LINES} select page_id, line_no, score from es"
     q["eq_context"] = f"with {EQ_LINES} select page_id, line_no, context from ee"
     q["eq_text"] = f"with {EQ_LINES} select page_id, line_no, text from ee"
+    table = "map {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in L.SYMBOLS.items()) + "}"
+    tokens = r"regexp_extract_all({x}, '[\p{{L}}\p{{M}}\p{{Nd}}_]+|[^\p{{L}}\p{{M}}\p{{Nd}}_]+')"
+    normal = f"array_to_string(list_transform({tokens.format(x='text')}, lambda w: coalesce({table}[w], w)), '')"
+    named = f"list_sort(list_distinct(list_filter({tokens.format(x='normal')}, lambda w: w in {listed(sorted(set(L.SYMBOLS.values())))})))"
+    q["eq_symbols"] = f"with {EQ_LINES} select page_id, line_no, {normal} as normal from ee"
+    q["eq_variables"] = f"with {EQ_LINES}, no as (select page_id, line_no, {normal} as normal from ee) select page_id, line_no, array_to_string({named}, ',') as variables from no"
+    q["eq_stats"] = f"with {EQ_DISTINCT}, no as (select doc_id, {normal} as normal from ed) select doc_id, count(*) as total, count(*) filter (where len({named}) > 0) as with_variables, round(count(*) filter (where len({named}) > 0) * 100 / count(*), 1) as share from no group by 1"
     first, rest = preprocess("text")
     q["eq_preprocess"] = f"with {EQ_LINES}, pp as (select page_id, line_no, {first} as r0 from ee) select page_id, line_no, {rest} as ascii from pp"
     q["eq_dedup"] = f"with {EQ_DISTINCT} select * from ed"

@@ -34,13 +34,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the session's own, or a local one only where the session runs in one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    shared, now = spark.conf.get("spark.checkpoint.dir", None), sc.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if now:
+            return now
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         shared = os.path.join(tempfile.gettempdir(), "specsift-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    spark.sparkContext.setCheckpointDir(shared)
+    if not now:
+        sc.setCheckpointDir(shared)
     return shared
 
 
