@@ -55,17 +55,20 @@ def cuts(cost: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> list[i
         return [0, n]
     pieces = 1 + -(-(n - limit) // step)
     target = n / pieces
+    size = BALANCE * ((np.arange(limit + 1) - target) / target) ** 2 + 0.25
+    longest_first = size[1 : step + 1][::-1]
     best = np.full(n + 1, np.inf)
     back = np.zeros(n + 1, dtype=np.int64)
     best[0] = 0.0
     for end in range(1, n + 1):
-        low = max(0, end - limit) if end <= limit else max(1, end - step)
-        starts = np.arange(low, end)
-        if low == 0 and end <= limit:
-            starts = starts[(starts == 0) | (end - starts <= step)]
-        total = best[starts] + BALANCE * ((end - starts - target) / target) ** 2 + 0.25
-        k = int(np.argmin(total))
-        best[end], back[end] = total[k] + cost[end], starts[k]
+        low, least, at = max(1, end - step), np.inf, 0
+        if low < end:
+            total = best[low:end] + longest_first[step - (end - low) :]
+            k = int(total.argmin())
+            least, at = total[k], low + k
+        if end <= limit and size[end] <= least:  # the first piece repeats nothing and may take the whole limit
+            least, at = size[end], 0
+        best[end], back[end] = least + cost[end], at
     out = [n]
     while out[-1]:
         out.append(int(back[out[-1]]))
