@@ -59,22 +59,27 @@ def deletions(word: str) -> list[str]:
 
 
 def tolerance(word: str) -> int:
-    return 0 if len(word) <= EXACT_UP_TO else 1 if len(word) <= ONE_UP_TO else 2 if len(word) < 12 else 3
+    return 0 if len(word) <= EXACT_UP_TO else 1 if len(word) <= ONE_UP_TO else 2
 
 
 def distance(a: str, b: str) -> int:
-    """Edits between two words; two neighbours swapped are one edit."""
-    before: list[int] = []
-    row = list(range(len(b) + 1))
+    """Edits between two words; two neighbours swapped are one edit, also where letters between them came or went."""
+    far = len(a) + len(b)
+    d = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
+    for i in range(len(a) + 1):
+        d[i + 1][1] = i
+    for j in range(len(b) + 1):
+        d[1][j + 1] = j
+    last_row: dict[str, int] = {}
     for i, x in enumerate(a, 1):
-        new = [i]
+        last_column = 0
         for j, y in enumerate(b, 1):
-            cost = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, before[j - 2] + 1)
-            new.append(cost)
-        before, row = row, new
-    return row[-1]
+            row, column = last_row.get(y, 0), last_column
+            if x == y:
+                last_column = j
+            d[i + 1][j + 1] = min(d[i][j] + (x != y), d[i + 1][j] + 1, d[i][j + 1] + 1, d[row][column] + (i - row - 1) + 1 + (j - column - 1))
+        last_row[x] = i
+    return d[-1][-1]
 
 
 def similar(token: str, word: str) -> float:
@@ -94,6 +99,11 @@ FORMS = "value string, n int, pos int, token string, whole boolean, form string"
 NAMES = "actor_id bigint, variant string, code boolean, n int, word string, whole boolean, form string"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Few rows that cost much each, dealt over all cores: their bytes alone would put them into one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def value_forms(values: DataFrame) -> DataFrame:
     """(value, n, pos, token, whole, form) of each token of each distinct value, and of the value written as one word."""
 
@@ -110,7 +120,7 @@ def value_forms(values: DataFrame) -> DataFrame:
                 rows += [(v, len(t), -1, one, True, f) for f in (deletions(one) if len(one) <= WHOLE_UP_TO else [one])]
             yield pd.DataFrame(rows, columns=["value", "n", "pos", "token", "whole", "form"])
 
-    return values.mapInPandas(run, FORMS)
+    return dealt(values).mapInPandas(run, FORMS)
 
 
 def name_forms(catalog: DataFrame) -> DataFrame:
@@ -140,6 +150,7 @@ def mapped(values: DataFrame, catalog: DataFrame) -> DataFrame:
     names = name_forms(catalog).select("actor_id", "variant", "code", F.col("n").alias("words"), "word", F.col("whole").alias("as_one"), F.col("form").alias("met"))
     meet = value_forms(values).join(names, (F.col("form") == F.col("met")) & (F.col("whole") == F.col("as_one")))
     pairs = meet.select("value", "n", "pos", "token", "whole", "actor_id", "variant", "words", "word", "code").distinct()
+    pairs = dealt(pairs)
     near = F.pandas_udf(lambda a, b: pd.Series([similar(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
     scored = pairs.withColumn("sim", near("token", "word")).where("sim > 0")
     # the weight of a word falls with the number of names that hold it

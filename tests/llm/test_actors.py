@@ -40,6 +40,6 @@ def test_long_value(spark):
     assert [r.actor_id for r in A.found(*tables(spark, ["word " * 3000])).collect()] == [0]
 
 
-@pytest.mark.parametrize(("a", "b", "d"), [("abc", "acb", 1), ("abc", "abc", 0), ("", "ab", 2), ("crane", "carne", 1)])
+@pytest.mark.parametrize(("a", "b", "d"), [("abc", "acb", 1), ("abc", "abc", 0), ("", "ab", 2), ("crane", "carne", 1), ("adjuster", "audster", 2)])
 def test_distance(a, b, d):
     assert A.distance(a, b) == d
