@@ -22,6 +22,7 @@ from specsift.runtime import cut
 LIMIT_SHARE, LIMIT_TEXTS = 0.03, 5
 SHORT_LINE = 6
 SENTENCE_END = "[.!?。！？。।؟։။።][\"'”’»›«“)\\]]*$"
+ENDS, CLOSERS = (".", "!", "?", "。", "！", "？", "।", "؟", "։"), ('"', "”", "’", "»", ")", "]")
 OMISSION = "\\s*(…|\\.\\.\\.|\\[…\\]|\\[\\.\\.\\.\\]|\\(…\\)|\\(\\.\\.\\.\\)|\\[(cut|truncated|more|continued)\\]|\\((cut|truncated|more|continued)\\))$"
 CLOSED = "^\\|.*\\|$|^\\(.*\\)$|^\\[.*\\]$|^([-=*_~#]{2,}).*\\1$|[\\p{So}\\p{Sk}]$|^\\W+$"
 OPEN_ITEM = "^([-*•+–]|\\d+[.)])\\s|^[\\p{L}_ ]{1,30} = \\S+$|^\\[\\d+\\]|^ref\\."
@@ -114,7 +115,12 @@ def corpus_words(documents: DataFrame) -> DataFrame:
 
 def sentence_starts(documents: DataFrame) -> DataFrame:
     """The first words, up to three, of every finished sentence."""
-    parts = F.filter(F.split("text", BREAK), lambda s: s.rlike(SENTENCE_END) & ~s.rlike(OMISSION))
+
+    def finished(s: Column) -> Column:
+        last = F.right(s, F.lit(1))
+        return (last.isin(*ENDS) & ~s.endswith("...")) | (last.isin(*CLOSERS) & s.rlike(SENTENCE_END) & ~s.rlike(OMISSION))
+
+    parts = F.filter(F.split("text", BREAK), finished)
     starts = F.array_distinct(F.transform(parts, lambda s: _start(_words(F.substring_index(s, " ", 8)), 3)))
     three = documents.where(F.length("text") > 0).select(F.explode(starts).alias("s")).distinct()
     words = F.split("s", " ")
