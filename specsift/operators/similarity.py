@@ -34,11 +34,41 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _nearest_of(ids: np.ndarray, q: np.ndarray, own: np.ndarray, m: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest rows of a batch for each query, ties by the smaller id.
+
+    Copies are one vector with its k + 1 smallest ids.  Matrix products only choose vectors, with a margin for rounding;
+    similarities are summed in the order of dimensions, so that equal rows are equal in every batch.
+    """
+    order = np.argsort(own, kind="stable")
+    own, m = own[order], m[order]
+    keys = np.ascontiguousarray(m).view(np.dtype((np.void, m.itemsize * m.shape[1]))).ravel()
+    _, first, group, sizes = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    members, starts = np.argsort(group, kind="stable"), np.cumsum(sizes) - sizes
+    u = m[first]
+    s = q @ u.T
+    top = min(k + 1, len(u))
+    margin = 4 * m.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(u, axis=1).max()
+    at, vec = np.nonzero(s >= (np.partition(s, len(u) - top, axis=1)[:, len(u) - top] - 2 * margin)[:, None])
+    exact = np.zeros(len(at))
+    for d in range(m.shape[1]):
+        exact += q[at, d] * u[vec, d]
+    n = np.minimum(sizes[vec], k + 1)
+    rows = members[np.repeat(starts[vec], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    at, exact = np.repeat(at, n), np.repeat(exact, n)
+    other = own[rows] != ids[at]
+    at, rows, exact = at[other], rows[other], exact[other]
+    order = np.lexsort((own[rows], -exact, at))
+    at, rows, exact = at[order], rows[order], exact[order]
+    kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return pd.DataFrame({"query_id": ids[at[kept]], "vec_id": own[rows[kept]], "similarity": exact[kept]})
+
+
 def nearest(vectors: DataFrame, k: int = 15, every: int = 20, block: int = 2048) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k nearest rows, by inner product, of each row whose id ``every`` divides.
 
     The stated queries are sent in blocks of bounded size; each block meets all rows in one pass of matrix products that
-    keeps k rows of each batch, and the kept rows are merged.  Ties go to the smaller id.
+    keeps k rows of each batch, and the kept rows are merged.  Ties go to the smaller id, however many rows are tied.
     """
     spark = vectors.sparkSession
     queries = vectors.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
@@ -54,13 +84,7 @@ def nearest(vectors: DataFrame, k: int = 15, every: int = 20, block: int = 2048)
         def run(batches: Iterator[pd.DataFrame], shared: object = shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
             for batch in batches:
-                own = batch["vec_id"].to_numpy()
-                m = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-                s = q @ m.T
-                s[ids[:, None] == own[None, :]] = -np.inf
-                top = min(k + 4, len(own))
-                best = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                yield pd.DataFrame({"query_id": np.repeat(ids, top), "vec_id": own[best].ravel(), "similarity": np.take_along_axis(s, best, 1).ravel()})
+                yield _nearest_of(ids, q, batch["vec_id"].to_numpy(), np.stack(batch["embedding"].to_numpy()).astype(np.float64), k)
 
         part = vectors.select("vec_id", "embedding").mapInPandas(run, "query_id bigint, vec_id bigint, similarity double")
         out = part if out is None else out.unionByName(part)
