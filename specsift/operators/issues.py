@@ -66,22 +66,32 @@ def representatives(rules: DataFrame) -> DataFrame:
     return keyed.groupBy("doc_id", "story_id", "cond_key", "action").agg(F.min(F.struct("story_seq", "story_uid", "rule_pos")).alias("at"), F.first("core").alias("core"), F.min("condition").alias("condition"), F.min("actor").alias("actor"), F.count(F.lit(1)).alias("members"))
 
 
-def classes(rules: DataFrame) -> DataFrame:
-    """One row for each (document, condition, class of action, action): its first rule and how many rules and stories share it."""
-    r = representatives(rules)
-    return r.groupBy("doc_id", "cond_key", "core", "action").agg(F.min(F.struct("at", "story_id")).alias("first"), F.sum("members").alias("rules"), F.count(F.lit(1)).alias("stories"))
+def classes(rules: DataFrame, *by: str) -> DataFrame:
+    """One row for each (document, condition, class of action, action, and ``by``): its first rule, another story than the first's if there is one, and how many rules and stories share it."""
+    r = representatives(rules).withColumn("module", R.module_of("story_id"))
+    c = r.groupBy("doc_id", "cond_key", "core", "action", *by).agg(F.min(F.struct("at", "story_id")).alias("first"), F.min("story_id").alias("least"), F.max("story_id").alias("most"), F.sum("members").alias("rules"), F.count(F.lit(1)).alias("stories"))
+    other = F.when(F.col("most") != F.col("first.story_id"), F.col("most")).when(F.col("least") != F.col("first.story_id"), F.col("least"))
+    return c.withColumn("other", other).drop("least", "most")
+
+
+def stories_of(first_a: Column | str, other_a: Column | str, first_b: Column | str, other_b: Column | str) -> Column:
+    """struct(a, b): two different stories of two classes, their first ones if these differ; null if both hold the same one only."""
+    first_a, other_a, first_b, other_b = map(col, (first_a, other_a, first_b, other_b))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    return F.when(first_a != first_b, pair(first_a, first_b)).when(other_b.isNotNull(), pair(first_a, other_b)).when(other_a.isNotNull(), pair(other_a, first_b))
 
 
 def opposed(rules: DataFrame) -> DataFrame:
     """Pairs of action classes of one document that the same condition permits and denies.
 
-    Rules with one condition and action are one class, so that copies aren't paired with each other; a class names its
-    first story and its members are its rules.
+    Rules with one condition and action are one class, so that copies aren't paired with each other; a pair of classes
+    names two different stories, the first ones if these differ, and a class's members are its rules.
     """
     c = classes(rules).where("cond_key <> '' and core in ('permit', 'deny')")
-    a = c.where("core = 'permit'").select("doc_id", "cond_key", F.col("action").alias("permits"), F.col("first.story_id").alias("story_a"), F.col("rules").alias("rules_a"))
-    b = c.where("core = 'deny'").select(F.col("doc_id").alias("d"), F.col("cond_key").alias("k"), F.col("action").alias("denies"), F.col("first.story_id").alias("story_b"), F.col("rules").alias("rules_b"))
-    return a.join(b, a["doc_id"].eqNullSafe(b["d"]) & (a["cond_key"] == b["k"])).where("story_a <> story_b").select("doc_id", "cond_key", "permits", "denies", "story_a", "story_b", "rules_a", "rules_b")
+    a = c.where("core = 'permit'").select("doc_id", "cond_key", F.col("action").alias("permits"), F.col("first.story_id").alias("first_a"), F.col("other").alias("other_a"), F.col("rules").alias("rules_a"))
+    b = c.where("core = 'deny'").select(F.col("doc_id").alias("d"), F.col("cond_key").alias("k"), F.col("action").alias("denies"), F.col("first.story_id").alias("first_b"), F.col("other").alias("other_b"), F.col("rules").alias("rules_b"))
+    met = a.join(b, a["doc_id"].eqNullSafe(b["d"]) & (a["cond_key"] == b["k"])).withColumn("s", stories_of("first_a", "other_a", "first_b", "other_b"))
+    return met.where("s is not null").select("doc_id", "cond_key", "permits", "denies", F.col("s.a").alias("story_a"), F.col("s.b").alias("story_b"), "rules_a", "rules_b")
 
 
 def overlapping(rules: DataFrame) -> DataFrame:

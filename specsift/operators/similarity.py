@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from specsift.functions import requirements as R
 from specsift.functions.text import col
-from specsift.operators.issues import classes
+from specsift.operators.issues import classes, stories_of
 
 
 @F.pandas_udf(DoubleType())
@@ -147,19 +147,24 @@ def alike_conflicts(rules: DataFrame) -> DataFrame:
     """Pairs of rule classes of one document and one condition that oppose each other by verb, polarity or number.
 
     Cheap gates come first (same condition, different story, opposite class of verb, polarity or numbers); ratios are
-    worked out for the pairs that are left.
+    worked out for the pairs that are left.  Classes meet as a whole and by module, as any two different stories of one
+    module pass the domain gate; a pair of classes is named once.
     """
-    c = classes(rules).where("cond_key <> ''").select("doc_id", "cond_key", "core", "action", F.col("first.story_id").alias("story"), R.polarity("action").alias("pol"), R.condition_logic("action").alias("num"), R.concept(R.context("action")).alias("ctx"), R.primary_object("action").alias("obj"))
+    whole = classes(rules).withColumn("module", F.lit(""))
+    c = whole.unionByName(classes(rules, "module").where("module <> ''")).where("cond_key <> ''").select("doc_id", "cond_key", "core", "action", "module", F.col("first.story_id").alias("story"), "other", R.polarity("action").alias("pol"), R.condition_logic("action").alias("num"), R.concept(R.context("action")).alias("ctx"), R.primary_object("action").alias("obj"))
     a = c.select(*[F.col(x).alias("a_" + x) for x in c.columns])
     b = c.select(*[F.col(x).alias("b_" + x) for x in c.columns])
     verbs = (F.col("a_core") == "permit") & (F.col("b_core") == "deny")
     signs = (F.col("a_pol") == "positive") & (F.col("b_pol") == "negative")
     numbers = (F.col("a_num.variable") == F.col("b_num.variable")) & (F.col("a_action") < F.col("b_action"))
-    pairs = a.join(b, F.col("a_doc_id").eqNullSafe(F.col("b_doc_id")) & (F.col("a_cond_key") == F.col("b_cond_key")) & (F.col("a_story") != F.col("b_story")) & (verbs | signs | numbers))
-    same_module = (R.module_of("a_story") != "") & (R.module_of("a_story") == R.module_of("b_story"))
+    pairs = a.join(b, F.col("a_doc_id").eqNullSafe(F.col("b_doc_id")) & (F.col("a_cond_key") == F.col("b_cond_key")) & (F.col("a_module") == F.col("b_module")) & (verbs | signs | numbers))
+    same_module = F.col("a_module") != ""
+    pairs = pairs.withColumn("s", stories_of("a_story", "a_other", "b_story", "b_other")).where("s is not null")
     rated = pairs.withColumn("act", ratio("a_action", "b_action")).withColumn("ctx", ratio("a_ctx", "b_ctx")).withColumn("obj", ratio("a_obj", "b_obj"))
     gated = rated.where(same_module | (F.col("obj") > 0.78))
     strong = (F.col("ctx") >= 0.75) & (F.col("act") >= F.when(F.col("ctx") > 0.92, 0.45).otherwise(0.70)) & (F.col("obj") >= 0.30)
     kind = F.when(verbs, "rule").when(signs & strong, "embedding").when(numbers & (F.col("act") >= 0.58), "numeric")
     conf = F.when(verbs, 0.95).when(signs & strong, F.round((F.col("ctx") + F.col("act")) / 2, 3)).otherwise(0.95)
-    return gated.select(F.col("a_doc_id").alias("doc_id"), F.col("a_cond_key").alias("cond_key"), F.col("a_story").alias("story_a"), F.col("b_story").alias("story_b"), F.col("a_action").alias("action_a"), F.col("b_action").alias("action_b"), kind.alias("source"), conf.alias("confidence")).where("source is not null")
+    named = gated.withColumn("source", kind).withColumn("confidence", conf).where("source is not null")
+    once = named.groupBy("a_doc_id", "a_cond_key", "a_core", "a_action", "b_core", "b_action").agg(F.min(F.struct("a_module", "s", "source", "confidence")).alias("x"))
+    return once.select(F.col("a_doc_id").alias("doc_id"), F.col("a_cond_key").alias("cond_key"), F.col("x.s.a").alias("story_a"), F.col("x.s.b").alias("story_b"), F.col("a_action").alias("action_a"), F.col("b_action").alias("action_b"), "x.source", "x.confidence")
