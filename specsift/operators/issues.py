@@ -82,16 +82,21 @@ def stories_of(first_a: Column | str, other_a: Column | str, first_b: Column | s
 
 
 def opposed(rules: DataFrame) -> DataFrame:
-    """Pairs of action classes of one document that the same condition permits and denies.
+    """Pairs of action classes of one document that one condition, or two that meet, permit and deny.
 
     Rules with one condition and action are one class, so that copies aren't paired with each other; a pair of classes
-    names two different stories, the first ones if these differ, and a class's members are its rules.
+    names two different stories, the first ones if these differ, and a class's members are its rules.  cond_key is the
+    condition of the permitting class, cond_key_b that of the denying one.
     """
+    from specsift.operators.similarity import meetings
+
     c = classes(rules).where("cond_key <> '' and core in ('permit', 'deny')")
-    a = c.where("core = 'permit'").select("doc_id", "cond_key", F.col("action").alias("permits"), F.col("first.story_id").alias("first_a"), F.col("other").alias("other_a"), F.col("rules").alias("rules_a"))
-    b = c.where("core = 'deny'").select(F.col("doc_id").alias("d"), F.col("cond_key").alias("k"), F.col("action").alias("denies"), F.col("first.story_id").alias("first_b"), F.col("other").alias("other_b"), F.col("rules").alias("rules_b"))
-    met = a.join(b, a["doc_id"].eqNullSafe(b["d"]) & (a["cond_key"] == b["k"])).withColumn("s", stories_of("first_a", "other_a", "first_b", "other_b"))
-    return met.where("s is not null").select("doc_id", "cond_key", "permits", "denies", F.col("s.a").alias("story_a"), F.col("s.b").alias("story_b"), "rules_a", "rules_b")
+    m = meetings(rules).select(F.col("doc_id").alias("md"), F.col("cond_key").alias("mk"), "meet")
+    c = c.join(m, c["doc_id"].eqNullSafe(m["md"]) & (c["cond_key"] == m["mk"]))
+    a = c.where("core = 'permit'").select("doc_id", "cond_key", "meet", F.col("action").alias("permits"), F.col("first.story_id").alias("first_a"), F.col("other").alias("other_a"), F.col("rules").alias("rules_a"))
+    b = c.where("core = 'deny'").select(F.col("doc_id").alias("d"), F.col("cond_key").alias("cond_key_b"), F.col("meet").alias("met"), F.col("action").alias("denies"), F.col("first.story_id").alias("first_b"), F.col("other").alias("other_b"), F.col("rules").alias("rules_b"))
+    pairs = a.join(b, a["doc_id"].eqNullSafe(b["d"]) & (a["meet"] == b["met"])).where("startswith(meet, '=') or cond_key <> cond_key_b").withColumn("s", stories_of("first_a", "other_a", "first_b", "other_b"))
+    return pairs.where("s is not null").select("doc_id", "cond_key", "cond_key_b", "permits", "denies", F.col("s.a").alias("story_a"), F.col("s.b").alias("story_b"), "rules_a", "rules_b")
 
 
 def overlapping(rules: DataFrame) -> DataFrame:

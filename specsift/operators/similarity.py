@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -9,11 +10,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType
 
 from specsift.functions import requirements as R
 from specsift.functions.text import col
-from specsift.operators.issues import classes, stories_of
+from specsift.operators.issues import classes, representatives, stories_of
+
+#: Conditions of at least this ratio meet; the key of rules without a condition.
+ALIKE, GLOBAL = 0.85, "global"
 
 
 @F.pandas_udf(DoubleType())
@@ -143,21 +147,60 @@ def candidate_pairs(vectors: DataFrame, k: int = 15) -> DataFrame:
     return n.select(F.least("query_id", "vec_id").alias("a"), F.greatest("query_id", "vec_id").alias("b")).distinct()
 
 
+@F.pandas_udf(BooleanType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether the ratio in either direction is at least ALIKE; cheap bounds of it are asked first."""
+
+    def one(x: str, y: str) -> bool:
+        m = SequenceMatcher(None, x, y)
+        return m.real_quick_ratio() >= ALIKE and m.quick_ratio() >= ALIKE and (m.ratio() >= ALIKE or SequenceMatcher(None, y, x).ratio() >= ALIKE)
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
+
+
+def meetings(rules: DataFrame) -> DataFrame:
+    """(doc_id, cond_key, meet): conditions of one document that share a ``meet`` apply together.
+
+    A condition meets itself (=), those that compare the same variable in the same direction (#) and, unless both are
+    numeric, those at least ALIKE to it (~, one key for each such pair).  Texts of that likeness differ in length by a
+    bounded factor, so only texts of one or neighbouring classes of length are compared.
+    """
+    r = representatives(rules).where("cond_key <> ''").groupBy("doc_id", "cond_key").agg(F.min("condition").alias("condition"))
+    r = r.select("doc_id", "cond_key", R.condition_logic("condition").alias("num"), F.floor(F.log(F.length("cond_key").cast("double")) / math.log(1.001 * (2 - ALIKE) / ALIKE)).alias("size"))
+    own = r.select("doc_id", "cond_key", F.concat(F.lit("="), "cond_key").alias("meet"))
+    classed = r.where("num.operator in ('<', '<=', '>', '>=')").select("doc_id", "cond_key", F.concat(F.lit("#"), "num.variable", F.substring("num.operator", 1, 1)).alias("meet"))
+    a = r.select("doc_id", "cond_key", F.col("num").isNotNull().alias("numeric"), F.explode(F.array("size", F.col("size") + 1)).alias("at"), "size")
+    b = a.select(*[F.col(c).alias("b_" + c) for c in a.columns])
+    near = a.join(b, a["doc_id"].eqNullSafe(b["b_doc_id"]) & (F.col("at") == F.col("b_at")) & (F.col("at") == F.greatest("size", "b_size")) & (F.col("cond_key") < F.col("b_cond_key")) & ~(F.col("numeric") & F.col("b_numeric")))
+    near = near.where(_alike("cond_key", "b_cond_key")).select("doc_id", "cond_key", "b_cond_key", F.concat(F.lit("~"), "cond_key", F.lit("\u0001"), "b_cond_key").alias("meet"))
+    both = near.select("doc_id", F.explode(F.array("cond_key", "b_cond_key")).alias("cond_key"), "meet")
+    return own.unionByName(classed).unionByName(both)
+
+
 def alike_conflicts(rules: DataFrame) -> DataFrame:
-    """Pairs of rule classes of one document and one condition that oppose each other by verb, polarity or number.
+    """Pairs of rule classes of one document that oppose each other by verb, polarity or number under conditions that meet.
 
-    Cheap gates come first (same condition, different story, opposite class of verb, polarity or numbers); ratios are
-    worked out for the pairs that are left.  Classes meet as a whole and by module, as any two different stories of one
-    module pass the domain gate; a pair of classes is named once.
+    Rules without a condition meet each other, but don't oppose by verb alone.  Cheap gates come first (conditions that
+    meet, different story, opposite class of verb, polarity or numbers, lengths); ratios are worked out for the pairs
+    that are left.  Classes meet as a whole and by module, as any two different stories of one module pass the domain
+    gate; a pair of classes is named once.
     """
     whole = classes(rules).withColumn("module", F.lit(""))
-    c = whole.unionByName(classes(rules, "module").where("module <> ''")).where("cond_key <> ''").select("doc_id", "cond_key", "core", "action", "module", F.col("first.story_id").alias("story"), "other", R.polarity("action").alias("pol"), R.condition_logic("action").alias("num"), R.concept(R.context("action")).alias("ctx"), R.primary_object("action").alias("obj"))
+    each = whole.unionByName(classes(rules, "module").where("module <> ''")).withColumn("cond_key", F.coalesce("cond_key", F.lit("")))
+    m = meetings(rules).select(F.col("doc_id").alias("md"), F.col("cond_key").alias("mk"), "meet")
+    placed = each.where("cond_key <> ''").join(m, each["doc_id"].eqNullSafe(m["md"]) & (each["cond_key"] == m["mk"])).drop("md", "mk").unionByName(each.where("cond_key = ''").withColumn("meet", F.lit(GLOBAL)))
+    c = placed.select("doc_id", "cond_key", "meet", "core", "action", "module", F.col("first.story_id").alias("story"), "other", R.polarity("action").alias("pol"), R.condition_logic("action").alias("num"), R.concept(R.context("action")).alias("ctx"), R.primary_object("action").alias("obj"))
     a = c.select(*[F.col(x).alias("a_" + x) for x in c.columns])
     b = c.select(*[F.col(x).alias("b_" + x) for x in c.columns])
-    verbs = (F.col("a_core") == "permit") & (F.col("b_core") == "deny")
-    signs = (F.col("a_pol") == "positive") & (F.col("b_pol") == "negative")
-    numbers = (F.col("a_num.variable") == F.col("b_num.variable")) & (F.col("a_action") < F.col("b_action"))
-    pairs = a.join(b, F.col("a_doc_id").eqNullSafe(F.col("b_doc_id")) & (F.col("a_cond_key") == F.col("b_cond_key")) & (F.col("a_module") == F.col("b_module")) & (verbs | signs | numbers))
+    likely = lambda x, least: 2 * F.least(F.length("a_" + x), F.length("b_" + x)) >= least * (F.length("a_" + x) + F.length("b_" + x))
+    conditional = F.col("a_meet") != GLOBAL
+    verbs = conditional & (F.col("a_core") == "permit") & (F.col("b_core") == "deny")
+    signs = (F.col("a_pol") == "positive") & (F.col("b_pol") == "negative") & likely("ctx", 0.75) & likely("action", 0.45)
+    turned = conditional & (F.col("a_core") == "deny") & (F.col("b_core") == "permit")
+    disjoint = ((F.col("a_num.operator") == "<") & (F.col("b_num.operator") == ">") & (F.col("a_num.value") < F.col("b_num.value"))) | ((F.col("a_num.operator") == ">") & (F.col("b_num.operator") == "<") & (F.col("a_num.value") > F.col("b_num.value")))
+    numbers = (F.col("a_num.variable") == F.col("b_num.variable")) & (F.col("a_action") < F.col("b_action")) & ~disjoint & ~turned & likely("action", 0.58)
+    met = (F.col("a_meet") == F.col("b_meet")) & (F.col("a_meet").startswith("=") | ~conditional | (F.col("a_cond_key") != F.col("b_cond_key")))
+    pairs = a.join(b, F.col("a_doc_id").eqNullSafe(F.col("b_doc_id")) & met & (F.col("a_module") == F.col("b_module")) & (verbs | signs | numbers))
     same_module = F.col("a_module") != ""
     pairs = pairs.withColumn("s", stories_of("a_story", "a_other", "b_story", "b_other")).where("s is not null")
     rated = pairs.withColumn("act", ratio("a_action", "b_action")).withColumn("ctx", ratio("a_ctx", "b_ctx")).withColumn("obj", ratio("a_obj", "b_obj"))
@@ -166,5 +209,8 @@ def alike_conflicts(rules: DataFrame) -> DataFrame:
     kind = F.when(verbs, "rule").when(signs & strong, "embedding").when(numbers & (F.col("act") >= 0.58), "numeric")
     conf = F.when(verbs, 0.95).when(signs & strong, F.round((F.col("ctx") + F.col("act")) / 2, 3)).otherwise(0.95)
     named = gated.withColumn("source", kind).withColumn("confidence", conf).where("source is not null")
-    once = named.groupBy("a_doc_id", "a_cond_key", "a_core", "a_action", "b_core", "b_action").agg(F.min(F.struct("a_module", "s", "source", "confidence")).alias("x"))
-    return once.select(F.col("a_doc_id").alias("doc_id"), F.col("a_cond_key").alias("cond_key"), F.col("x.s.a").alias("story_a"), F.col("x.s.b").alias("story_b"), F.col("a_action").alias("action_a"), F.col("b_action").alias("action_b"), "x.source", "x.confidence")
+    key = lambda x: F.struct(*[F.coalesce(x + c, F.lit("")).alias(c) for c in ("_cond_key", "_core", "_action")])
+    turn = F.when(F.col("source") == "rule", 0).when(F.col("source") == "embedding", 1).otherwise(2)
+    row = F.struct(turn.alias("turn"), F.col("a_module").alias("module"), F.col("a_cond_key").alias("cond_key"), F.col("b_cond_key").alias("cond_key_b"), F.col("s.a").alias("story_a"), F.col("s.b").alias("story_b"), F.col("a_action").alias("action_a"), F.col("b_action").alias("action_b"), "source", "confidence")
+    once = named.groupBy("a_doc_id", F.least(key("a"), key("b")).alias("one"), F.greatest(key("a"), key("b")).alias("two")).agg(F.min(row).alias("x"))
+    return once.select(F.col("a_doc_id").alias("doc_id"), "x.*").drop("turn", "module")

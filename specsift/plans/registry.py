@@ -89,7 +89,7 @@ def queries() -> dict[str, Query]:
         "primary_object": rule(lambda: R.primary_object("action").alias("object")),
         "condition_logic": rule(lambda: R.condition_logic("raw_text")["variable"].alias("variable"), lambda: R.condition_logic("raw_text")["operator"].alias("operator"), lambda: R.condition_logic("raw_text")["value"].alias("value")),
         "module_prefix": rule(lambda: R.module_of("story_id").alias("module")),
-        "conflict_rule_layer": lambda s, d: issues.opposed(structure.model_ledger(models(s, d))),
+        "conflict_rule_layer": lambda s, d: issues.opposed(structure.model_ledger(models(s, d))).drop("cond_key_b"),
         "condition_overlap": lambda s, d: issues.overlapping(_with_views(s, d, synthetic.RULES, ("part",))),
         "conflict_numeric": lambda s, d: issues.numeric_contradictions(_with_views(s, d, synthetic.RULES, ("part",))),
         "conflict_semantic": lambda s, d: similarity.alike_conflicts(structure.model_ledger(models(s, d))),

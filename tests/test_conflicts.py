@@ -22,3 +22,16 @@ def test_any_two_stories_of_one_module_pass_the_gate(spark):
     rows = [("R-A-1", "c", "allow early entry"), ("R-B-2", "c", "allow early entry"), ("R-C-3", "c", "deny payment"), ("R-B-4", "c", "deny payment")]
     (r,) = similarity.alike_conflicts(ledger(spark, rows)).collect()
     assert (r.story_a, r.story_b, r.source) == ("R-B-2", "R-B-4", "rule")
+
+
+def test_conditions_meet_by_number_and_by_likeness(spark):
+    rows = [("F-A-1", "latency > 5", "allow entry"), ("F-A-2", "latency > 9", "deny entry"), ("F-A-3", "latency < 9", "deny entry"), ("F-A-4", "the network link drops", "allow resend"), ("F-A-5", "the network link drop", "deny resend"), ("F-A-6", "the printer is offline", "deny resend"), ("F-A-7", "c" * 9, "allow x"), ("F-A-8", "c" * 12, "deny x"), ("F-A-9", "after 30 days", "deny y"), ("F-A-10", "after 31 days", "allow y")]
+    expected = {("F-A-1", "F-A-2", "latency > 5", "latency > 9"), ("F-A-4", "F-A-5", "the network link drops", "the network link drop"), ("F-A-7", "F-A-8", "c" * 9, "c" * 12)}
+    for df in (issues.opposed(ledger(spark, rows)), similarity.alike_conflicts(ledger(spark, rows))):
+        assert sorted((r.story_a, r.story_b, r.cond_key, r.cond_key_b) for r in df.collect()) == sorted(expected)
+
+
+def test_rules_without_a_condition_conflict_by_polarity_and_number_only(spark):
+    rows = [("F-A-1", None, "store the audit log"), ("F-A-2", None, "not store the audit log"), ("F-B-3", None, "stop the pump within 2 seconds"), ("F-B-4", "", "stop the pump within 3 seconds"), ("F-C-5", None, "allow zebra"), ("F-C-6", None, "deny umbrella")]
+    got = {(r.story_a, r.story_b, r.source) for r in similarity.alike_conflicts(ledger(spark, rows)).collect()}
+    assert got == {("F-A-1", "F-A-2", "embedding"), ("F-B-3", "F-B-4", "numeric")}
