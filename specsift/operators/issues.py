@@ -156,11 +156,17 @@ def gaps(stories: DataFrame) -> DataFrame:
     return n.select("doc_id", F.format_string("GAP-%03d", "number").alias("issue_id"), "story_id", "category")
 
 
-def report(stories: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, ambiguities, conflicts, gaps, issues) of each document that has any story."""
+def report(stories: DataFrame, rules: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ambiguities, conflicts, gaps, issues) of each document that has any story.
+
+    The conflicts are all those between the rules, or the rows ``found``.
+    """
+    from specsift.operators.similarity import conflicts
+
+    found = conflicts(rules) if found is None else found
     count = lambda df, name: df.groupBy(F.col("doc_id").alias("d_" + name)).agg(F.count(F.lit(1)).alias(name))
     out = stories.select("doc_id").distinct()
-    for name, df in (("ambiguities", ambiguities(stories)), ("conflicts", opposed(rules)), ("gaps", gaps(stories))):
+    for name, df in (("ambiguities", ambiguities(stories)), ("conflicts", found), ("gaps", gaps(stories))):
         out = out.join(count(df, name), F.col("doc_id").eqNullSafe(F.col("d_" + name)), "left").drop("d_" + name)
     zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("ambiguities", "conflicts", "gaps")]
     return out.select("doc_id", *zero).withColumn("issues", F.col("ambiguities") + F.col("conflicts") + F.col("gaps"))

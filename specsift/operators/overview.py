@@ -11,11 +11,11 @@ from specsift.functions.text import contains_any
 from specsift.operators import issues, structure
 
 
-def documents(stories: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, stories, actors, issues, has_issues) of each document with stories."""
+def documents(stories: DataFrame, rules: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(doc_id, stories, actors, issues, has_issues) of each document with stories; ``found`` as in the report."""
     n = stories.groupBy("doc_id").agg(F.count(F.lit(1)).alias("stories"))
     a = structure.actors(stories).select(F.col("doc_id").alias("da"), F.size("actors").cast("bigint").alias("actors"))
-    r = issues.report(stories, rules).select(F.col("doc_id").alias("dr"), "issues")
+    r = issues.report(stories, rules, found).select(F.col("doc_id").alias("dr"), "issues")
     x = n.join(a, F.col("doc_id").eqNullSafe(F.col("da")), "left").join(r, F.col("doc_id").eqNullSafe(F.col("dr")), "left")
     return x.select("doc_id", "stories", F.coalesce("actors", F.lit(0)).cast("bigint").alias("actors"), F.coalesce("issues", F.lit(0)).cast("bigint").alias("issues")).withColumn("has_issues", F.col("issues") > 0)
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType
 
 from specsift.functions import requirements as R
 from specsift.functions.text import col
-from specsift.operators.issues import classes, representatives, stories_of
+from specsift.operators.issues import classes, opposed, representatives, stories_of
 
 #: Conditions of at least this ratio meet; the key of rules without a condition.
 ALIKE, GLOBAL = 0.85, "global"
@@ -214,3 +214,12 @@ def alike_conflicts(rules: DataFrame) -> DataFrame:
     row = F.struct(turn.alias("turn"), F.col("a_module").alias("module"), F.col("a_cond_key").alias("cond_key"), F.col("b_cond_key").alias("cond_key_b"), F.col("s.a").alias("story_a"), F.col("s.b").alias("story_b"), F.col("a_action").alias("action_a"), F.col("b_action").alias("action_b"), "source", "confidence")
     once = named.groupBy("a_doc_id", F.least(key("a"), key("b")).alias("one"), F.greatest(key("a"), key("b")).alias("two")).agg(F.min(row).alias("x"))
     return once.select(F.col("a_doc_id").alias("doc_id"), "x.*").drop("turn", "module")
+
+
+def conflicts(rules: DataFrame) -> DataFrame:
+    """All conflicts between rule classes of one document: opposed verbs, else opposite polarity, else numbers.
+
+    (doc_id, cond_key, cond_key_b, story_a, story_b, action_a, action_b, source, confidence)
+    """
+    o = opposed(rules).select("doc_id", "cond_key", "cond_key_b", "story_a", "story_b", F.col("permits").alias("action_a"), F.col("denies").alias("action_b"), F.lit("rule").alias("source"), F.lit(0.95).alias("confidence"))
+    return o.unionByName(alike_conflicts(rules).where("source <> 'rule'"))

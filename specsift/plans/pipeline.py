@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specsift.operators import equations, issues, pages, structure
+from specsift.operators import equations, issues, pages, similarity, structure
 from specsift.sources.files import write_stage
 
 STAGES = {2: "pages", 3: "markdown", 4: "equations", 5: "stories", 6: "issues"}
@@ -58,7 +58,7 @@ def run(spark: SparkSession, raw_pages: DataFrame, out: str, last: int = 6) -> d
     if last < 6:
         return at
     keep("ambiguities", issues.ambiguities(stories))
-    keep("conflicts", issues.opposed(rules))
+    conflicts = keep("conflicts", similarity.conflicts(rules))
     keep("gaps", issues.gaps(stories))
-    keep("report", issues.report(stories, rules))
+    keep("report", issues.report(stories, rules, conflicts))
     return at

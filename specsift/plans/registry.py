@@ -42,6 +42,7 @@ def queries() -> dict[str, Query]:
     stories = lambda s, d: t(s, d, "user_stories")
     models = lambda s, d: spread(t(s, d, "requirements_models"))
     raw = lambda s, d: spread(t(s, d, "raw_pages"))
+    ledger = lambda s, d: structure.model_ledger(models(s, d))
     body = lambda: R.body("raw_text")
 
     def story(name: str, *columns: object) -> Query:
@@ -102,8 +103,12 @@ def queries() -> dict[str, Query]:
         "gap_missing_error_handling": lambda s, d: issues.gap_no_errors(stories(s, d), 2).select("story_uid"),
         "gap_duplicate_ac": lambda s, d: issues.gap_duplicates(stories(s, d)).select("story_uid", "pos", "owner"),
         "gaps_dedup": lambda s, d: issues.gaps(stories(s, d)),
-        "issues_report": lambda s, d: issues.report(stories(s, d), structure.model_ledger(models(s, d))),
-        "documents_overview": lambda s, d: overview.documents(stories(s, d), structure.model_ledger(models(s, d))),
+        # their SQL counts the conflicts of the rule layer only; the whole ones count all
+        "issues_report": lambda s, d: issues.report(stories(s, d), ledger(s, d), issues.opposed(ledger(s, d))),
+        "documents_overview": lambda s, d: overview.documents(stories(s, d), ledger(s, d), issues.opposed(ledger(s, d))),
+        "conflicts_whole": lambda s, d: similarity.conflicts(ledger(s, d)),
+        "issues_report_whole": lambda s, d: issues.report(stories(s, d), ledger(s, d)),
+        "documents_overview_whole": lambda s, d: overview.documents(stories(s, d), ledger(s, d)),
         "missing_actors": lambda s, d: overview.missing_actors(stories(s, d)),
         "insights_topk": lambda s, d: overview.hints(stories(s, d)),
         "srs_context": lambda s, d: overview.context(stories(s, d)),
