@@ -3,7 +3,9 @@
 Full-width forms, ligatures, combining accents, invisible marks and unusual spaces have one ordinary form each.
 Look-alike letters are repaired by script: a token's dominant script is determined, and letters of other scripts are
 replaced by the look-alikes of the dominant one only in tokens of mixed script, if the result is a word of the corpus;
-tokens of ``LONG`` letters and more, which a line end may have cut out of any vocabulary, need no word.  The vocabulary
+tokens of ``LONG`` letters and more, which a line end may have cut out of any vocabulary, need no word.  A token is Greek
+or Cyrillic if more of its letters are than Latin ones; one that could also be all-Latin is so unless the corpus holds
+its Greek or Cyrillic form.  The vocabulary
 is joined, never broadcast: it is counted over all texts and reduced to the candidates by a semi join.
 
 Defined results: null stays null and is no case; empty and ASCII-only texts are unchanged; words written wholly in
@@ -30,6 +32,8 @@ LONG = 4
 CYRILLIC = dict(zip("аеорсухіѕјһԁѵԛԝӏАВЕКМНОРСТХІЅЈУԌԚԜӀ", "aeopcyxisjhdvqwlABEKMHOPCTXISJYGQWI", strict=True))
 GREEK = dict(zip("οονρυικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oovpuikABEZHIKMNOPTYX", strict=True))
 LATIN_OF = CYRILLIC | GREEK
+#: The same the other way: the first letter of each pair, Cyrillic ones of living alphabets only.
+BACK = {"cyrillic": {x: c for c, x in reversed(CYRILLIC.items()) if c not in "һԁѵԛԝӏԌԚԜӀ"}, "greek": {x: c for c, x in reversed(GREEK.items())}}
 INVISIBLE = "".join(map(chr, [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x206A), 0xFEFF]))
 SPACES = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
 PLAIN = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in SPACES} | {0x2010: "-", 0x2011: "-"} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {0xFB00 + i: x for i, x in enumerate(("ff", "fi", "fl", "ffi", "ffl", "st", "st"))}
@@ -39,6 +43,7 @@ OTHER = re.compile("[\u0370-\u052f]")
 #: Words that hold a Greek or Cyrillic letter.
 MIXED = re.compile("[^\\W\\d_]*[\u0370-\u052f][^\\W\\d_]*")
 VOCABULARY_WORD = "[^A-Za-z\\u00c0-\\u024f]+"
+NATIVE_WORD = "(?<!\\p{L})(?:[\\u0370-\\u03ff]+|[\\u0400-\\u052f]+)(?!\\p{L})"
 
 
 def _pictograph(c: str) -> bool:
@@ -87,14 +92,40 @@ def latin(token: str) -> str | None:
     return out if len(out) == len(token) else None
 
 
+@lru_cache(100_000)
+def native(token: str) -> str | None:
+    """The all-Greek or all-Cyrillic form of a token in which that script outnumbers Latin, or None if there is none."""
+    scripts = [_script(c) for c in token]
+    count = {s: scripts.count(s) for s in ("latin", "greek", "cyrillic")}
+    script = max(("greek", "cyrillic"), key=count.get)
+    if count["latin"] + count["greek"] + count["cyrillic"] < len(token) or not len(token) > count[script] > max(n for s, n in count.items() if s != script):
+        return None
+    out = "".join(c if s == script else BACK[script].get(LATIN_OF.get(c, c), "") for c, s in zip(token, scripts, strict=True))
+    return out if len(out) == len(token) else None
+
+
+def forms(token: str) -> tuple[str | None, str | None]:
+    """The forms of a token of mixed script: the one to take as it stands, and another to take if it is a word."""
+    a, b = latin(token), native(token)
+    return (a, b) if a else (b, None)
+
+
 def candidates(text: str) -> list[str]:
-    """Latin forms of the tokens of mixed script."""
-    return [x for m in MIXED.finditer(text) if (x := latin(m.group()))]
+    """First forms of the tokens of mixed script."""
+    return [x for m in MIXED.finditer(text) if (x := forms(m.group())[0])]
+
+
+def asked(text: str) -> set[str]:
+    """Forms of tokens of mixed script whose use depends on the vocabulary."""
+    both = {forms(m.group()) for m in MIXED.finditer(text)}
+    return {x.lower() for x, _ in both if x and len(x) < LONG} | {y.lower() for _, y in both if y}
 
 
 def repaired(text: str, words: set[str]) -> str:
     def one(m: re.Match) -> str:
-        x = latin(m.group())
+        x, y = forms(m.group())
+        if y and y.lower() in words:
+            return y
         return x if x and (len(x) >= LONG or x.lower() in words) else m.group()
 
     return MIXED.sub(one, text) if OTHER.search(text) else text
@@ -112,7 +143,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = candidates(out)
             if changed or found:
                 garbled = tbl == "raw_pages" and fix.text(text)[1]
-                rows.append((tbl, k, garbled, changed, any(len(x) >= LONG for x in found), sorted({x.lower() for x in found if len(x) < LONG})))
+                rows.append((tbl, k, garbled, changed, any(len(x) >= LONG for x in found), sorted(asked(out))))
         yield pd.DataFrame(rows, columns=["tbl", "row_id", "garbled", "changed", "sure", "candidates"])
 
 
@@ -123,13 +154,14 @@ def texts(pages: DataFrame, stories: DataFrame) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """The words of ``of``(word) that stand somewhere in the corpus in Latin letters only.
+    """The words of ``of``(word) that stand somewhere in the corpus in letters of one script only.
 
     Tokens are told apart as they stand; only the distinct ones are cut into words.
     """
     tokens = rows.select(F.explode(F.split(F.translate("text", "\n\t", "  "), " ")).alias("token")).distinct()
     words = tokens.select(F.explode(F.split(F.lower("token"), VOCABULARY_WORD)).alias("word")).where(F.length("word").between(1, LONG - 1))
-    return of.select("word").distinct().join(words.distinct(), "word", "left_semi")
+    other = tokens.where(F.col("token").rlike(OTHER.pattern)).select(F.explode(F.regexp_extract_all(F.lower("token"), F.lit(NATIVE_WORD), F.lit(0))).alias("word"))
+    return of.select("word").distinct().join(words.unionByName(other).distinct(), "word", "left_semi")
 
 
 def scanned(rows: DataFrame) -> DataFrame:

@@ -34,3 +34,19 @@ def test_garbled_pages_are_left_out_but_stories_are_not(spark):
 def test_edge_rows(spark):
     assert found(spark, [(1, None), (2, ""), (3, "ｗ " * 50_000), (3, "ｗ")]) == {("raw_pages", 3)}
     assert found(spark, []) == set()
+
+
+@pytest.mark.parametrize(("text", "plain"), [("з\u0061дача", "задача"), ("требов\u0061ние", "требование"), ("λ\u006fγος", "λογος"), ("т\u0061к x", None), ("ΔV φf Δx", None), ("\u0441ontract", "contract")])
+def test_native_words_get_their_own_letters(spark, text, plain):
+    p = spark.createDataFrame([(1, text)], "page_id bigint, raw_text string")
+    s = spark.createDataFrame([], "story_uid bigint, raw_text string")
+    assert found(spark, [(1, text)]) == ({("raw_pages", 1)} if plain else set())
+    assert K.canonical(p, s).first().text == (plain or text)
+
+
+def test_native_words_are_looked_up(spark):
+    pages = [(1, "т\u0061к"), (2, "так"), (3, "рос\u0061"), (4, "роса"), (5, "\u0430\u0441\u0441\u0435ss")]
+    assert found(spark, pages) == {("raw_pages", 1), ("raw_pages", 3), ("raw_pages", 5)}
+    p = spark.createDataFrame(pages, "page_id bigint, raw_text string")
+    s = spark.createDataFrame([], "story_uid bigint, raw_text string")
+    assert {r.row_id: r.text for r in K.canonical(p, s).collect()} == {1: "так", 2: "так", 3: "роса", 4: "роса", 5: "access"}
