@@ -2,7 +2,7 @@
 
 Every distinct value is reduced to tokens (labels, articles, remarks in brackets and after a dash are set aside).  Each
 distinct token is joined to the words of the reference list by edit distance: both sides emit their forms with up to
-two letters deleted, equal forms meet in an equi-join, and the true distance (neighbours may be swapped) decides.
+three letters deleted, equal forms meet in an equi-join, and the true distance (neighbours may be swapped) decides.
 Corrected tokens then rank the entries' names by soft TF-IDF.  A name is meant if all its words are met and no other
 word of weight is left; a value written without its spaces is compared as one word; codes must match letter for letter.
 
@@ -27,7 +27,7 @@ from specsift.llm.lookalikes import plain, repaired
 
 #: Words that hold no part of a role.
 EMPTY_WORDS = {"a", "an", "the", "role", "actor", "user", "as", "of", "our", "any", "each"}
-#: Words up to this length must match letter for letter, longer ones within one edit, long ones within two.
+#: Words up to this length must match letter for letter, longer ones within one edit, long ones within two, from 12 letters on three.
 EXACT_UP_TO, ONE_UP_TO = 3, 5
 MIN_SCORE = 0.75
 #: A value written as one word may differ from a name by edits up to this length; no name is as long.
@@ -59,7 +59,7 @@ def deletions(word: str) -> list[str]:
 
 
 def tolerance(word: str) -> int:
-    return 0 if len(word) <= EXACT_UP_TO else 1 if len(word) <= ONE_UP_TO else 2
+    return 0 if len(word) <= EXACT_UP_TO else 1 if len(word) <= ONE_UP_TO else 2 if len(word) < 12 else 3
 
 
 def distance(a: str, b: str) -> int:

@@ -43,3 +43,10 @@ def test_long_value(spark):
 @pytest.mark.parametrize(("a", "b", "d"), [("abc", "acb", 1), ("abc", "abc", 0), ("", "ab", 2), ("crane", "carne", 1), ("adjuster", "audster", 2)])
 def test_distance(a, b, d):
     assert A.distance(a, b) == d
+
+
+def test_long_words_within_three_edits(spark):
+    values = ["CraneOperator", "CraenOpxraxor", "CraenOpxrxxor"]
+    assert A.tolerance("receptionist") == 3 and A.tolerance("technician") == 2
+    got = {r.row_id: r.actor_id for r in A.found(*tables(spark, values)).collect()}
+    assert got == {0: 1, 1: 1, 2: 0}
