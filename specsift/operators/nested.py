@@ -7,13 +7,16 @@ records are cut into tables by tag, each under its own schema.
 Defined results: null, blank or invalid JSON gives no rows; a lone object stands for an array of one; an array given as
 a JSON string counts as that array; null elements keep their position and give no row; elements that are no objects
 (numbers, strings) likewise; repeated input rows repeat their rows; an empty table gives empty tables; a field met
-under an unexpected type is kept as its JSON text.  Nesting depth is not bounded: the visitor keeps its own stack.
+under an unexpected type is kept as its JSON text.  Nesting depth is not bounded: the visitor keeps its own stack, and
+so does the parser that takes over where the interpreter's recursion ends.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,7 +32,89 @@ def _constant(name: str) -> None:
 
 def _loads(text: str) -> object:
     """Strict JSON: NaN and Infinity are no values."""
-    return json.loads(text, parse_constant=_constant)
+    try:
+        return json.loads(text, parse_constant=_constant)
+    except RecursionError:
+        return _deep(text)
+
+
+SPACE = re.compile(r"[ \t\n\r]*")
+#: What may begin a value that isn't an object, array or string.
+PLAIN_VALUE = re.compile(r"true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
+
+
+def _deep(text: str) -> object:
+    """The same for JSON nested beyond the interpreter's recursion: open objects and arrays are on a stack."""
+    at = 0
+    stack: list[tuple[object, str | None]] = []
+
+    def peek() -> str:
+        nonlocal at
+        at = SPACE.match(text, at).end()
+        return text[at : at + 1]
+
+    def take(c: str) -> None:
+        nonlocal at
+        if peek() != c:
+            raise ValueError(f"{c!r} expected at {at}")
+        at += 1
+
+    def name() -> str:
+        nonlocal at
+        take('"')
+        key, at = scanstring(text, at)
+        take(":")
+        return key
+
+    while True:
+        c = peek()
+        if c in ("{", "["):
+            at += 1
+            value: object = {} if c == "{" else []
+            if peek() != ("}" if c == "{" else "]"):
+                stack.append((value, name() if c == "{" else None))
+                continue
+            at += 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1)
+        elif m := PLAIN_VALUE.match(text, at):
+            value, at = json.loads(m.group()), m.end()
+        else:
+            raise ValueError(f"no value at {at}")
+        while stack:
+            within, key = stack.pop()
+            if key is None:
+                within.append(value)
+            else:
+                within[key] = value
+            if peek() == ",":
+                at += 1
+                stack.append((within, None if key is None else name()))
+                break
+            take("]" if key is None else "}")
+            value = within
+        else:
+            if peek():
+                raise ValueError(f"more text at {at}")
+            return value
+
+
+def _dumps(value: object) -> str:
+    """JSON text of a value of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False, sort_keys=True)
+    except RecursionError:
+        out, stack = [], [(False, value)]
+        while stack:
+            raw, x = stack.pop()
+            if raw or not x or not isinstance(x, (dict, list)):
+                out.append(x if raw else json.dumps(x, ensure_ascii=False))
+                continue
+            parts: list[tuple[bool, object]] = []
+            for k, v in sorted(x.items()) if isinstance(x, dict) else ((None, v) for v in x):
+                parts += [(True, ("{" if isinstance(x, dict) else "[") if not parts else ", "), *([] if k is None else [(True, json.dumps(k, ensure_ascii=False) + ": ")]), (False, v)]
+            stack += reversed([*parts, (True, "}" if isinstance(x, dict) else "]")])
+        return "".join(out)
 
 
 def _elements(value: object) -> list:
@@ -37,7 +122,7 @@ def _elements(value: object) -> list:
     if isinstance(value, str):
         try:
             value = _loads(value)
-        except (ValueError, RecursionError):
+        except ValueError:
             return []
     if isinstance(value, dict):
         return [value]
@@ -47,7 +132,7 @@ def _elements(value: object) -> list:
 def _scalar(value: object) -> str | None:
     if value is None or isinstance(value, str):
         return value
-    return json.dumps(value, ensure_ascii=False, sort_keys=True)
+    return _dumps(value)
 
 
 def visit(text: str | None) -> Iterator[tuple[str, str, str, int, int, dict[str, str | None]]]:
@@ -56,7 +141,7 @@ def visit(text: str | None) -> Iterator[tuple[str, str, str, int, int, dict[str,
         return
     try:
         top = _loads(text)
-    except (ValueError, RecursionError):
+    except ValueError:
         return
     stack = [("story", f"s{i}", "", i, 0, x) for i, x in reversed(list(enumerate(_elements(top))))]
     while stack:
