@@ -12,7 +12,7 @@ word, form).  It learns from what the partial cleaning already removed.
 
 Bounds.  The editor is trained on at most ``EDITOR_WORDS`` frequent words and the line model on ``SAMPLE_PAGES`` pages.
 The vocabulary is sent to the tasks as a filter only if it holds at most ``KNOWN_WORDS`` words; beyond that the tasks
-send all tokens on and the join alone decides, with the same result.
+send all tokens on and joins apply the same conditions.
 
 Defined results: null and empty texts have no lines; pages without a method aren't scanned pages; without unscanned
 pages there is no vocabulary and no word is judged; repeated pages are judged each; lines of any length are read whole.
@@ -162,6 +162,22 @@ def corrections(tokens: DataFrame, words: DataFrame, sample: tuple[str, ...]) ->
     return real.groupBy("token").agg(F.min_by(F.struct("proposed", "first", "last"), "rank").alias("x")).select("token", "x.*")
 
 
+def sifted(suspects: DataFrame, words: DataFrame) -> DataFrame:
+    """The suspects that tasks which know the vocabulary would send on, by joins.
+
+    A word is none if it is known without its last exclamation marks; a gap is none if a half is known and the whole isn't.
+    """
+    word = lambda name: words.select(F.col("word").alias(name))
+    apart = F.concat(F.lit("\u0001"), "token")  # equals no word
+    x = suspects.join(word("v"), F.col("token") == F.col("v"), "left")
+    gap = (F.col("kind") == "g") & F.col("v").isNull()
+    x = x.withColumn("bare", F.when(F.col("kind") == "w", F.regexp_replace("token", "!+$", "")).otherwise(apart))
+    x = x.withColumn("left", F.when(gap, F.expr("substring(token, 1, at)")).otherwise(apart)).withColumn("right", F.when(gap, F.expr("substring(token, at + 1)")).otherwise(apart))
+    for key in ("bare", "left", "right"):
+        x = x.join(word("k"), F.col(key) == F.col("k"), "left_anti")
+    return x.drop("v", "bare", "left", "right")
+
+
 def judged(raw: DataFrame, cleaned: DataFrame | None) -> DataFrame:
     """Suspects with their verdict: (tbl, page_id, line_no, next_no, kind, token, at, word, first, last)."""
     words = cut(vocabulary(raw))
@@ -169,7 +185,8 @@ def judged(raw: DataFrame, cleaned: DataFrame | None) -> DataFrame:
     sample = tuple(r[0] for r in words.where("length(word) > 1 and not contains(word, '-')").orderBy(F.desc("n"), "word").limit(EDITOR_WORDS).collect())
     known = spark.sparkContext.broadcast(frozenset(r[0] for r in words.select("word").collect())) if words.count() <= KNOWN_WORDS else None
     rows = texts(raw, cleaned)
-    all_suspects = cut(rows.mapInPandas(_scan(known), SUSPECTS))
+    all_suspects = rows.mapInPandas(_scan(known), SUSPECTS)
+    all_suspects = cut(all_suspects if known is not None else sifted(all_suspects, words))
     unknown = all_suspects.join(words.select(F.col("word").alias("token")), "token", "left_anti")
     fixed = corrections(unknown, words, sample).select(F.col("token").alias("t"), "proposed", "first", "last")
     plainly = words.select(F.col("word").alias("v"))

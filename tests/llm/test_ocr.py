@@ -60,6 +60,15 @@ def test_large_vocabulary_path_gives_the_same(spark, result, monkeypatch):
     assert at == {(10, "misread"), (10, "hyphen"), (12, "misread")}
 
 
+def test_both_paths_judge_gaps_and_marks_alike(spark, monkeypatch):
+    words = sorted({w.lower() for line in BODY for w in line.split() if len(w) > 4})
+    text = "\n".join([*BODY * 3, *(f"{w} {x}" for w in words for x in ("i", "1", "l", "r", "rn", "t")), *(f"{w}{x}" for w in words for x in ("!", "!!", "l")), "a nyth1ng", "a nything", "a nythlng"])
+    raw, cleaned = tables(spark, [(text, "ocr_a")])
+    with_words = {tuple(r) for r in ocr.judged(raw, cleaned).collect()}
+    monkeypatch.setattr(ocr, "KNOWN_WORDS", 0)
+    assert {tuple(r) for r in ocr.judged(raw, cleaned).collect()} == with_words
+
+
 def test_editor_restores_held_out_noise():
     words = ["document", "machine", "operator", "threshold", "channel", "current", "ledger", "consent", "manual", "value"]
     e = Editor(words)
