@@ -1,14 +1,19 @@
-"""Texts cut off by a field limit or a broken transfer: hidden limits by source, and endings inspected.
+"""Texts cut off by a field limit or a broken transfer: hidden limits by source first, then endings inspected.
 
 Lengths are recomputed under alternative encodings and escapings (characters, UTF-8 and UTF-16 sizes, HTML entities,
-JSON escapes, CR LF line ends); grouped by source and measure, a hidden limit shows as one length that far too many
-texts share.  Then endings are inspected: a text is whole if its last sentence ends, or if its last line is a closed or
-known form (table row, list item, label, reference, sign-off, deliberate trailing off).  A last line without an end is
-tested against the corpus: if its last word isn't a word of the corpus, or finished sentences start as it does, it was
-cut.  Words and sentence starts of all texts are counted; only the endings' own are kept, by semi joins.
-
-Defined results: null, empty and blank texts are no cases; repeated texts are judged alike; texts of one line, in any
-script, are judged by their end; a null source is a source of its own; extra columns are ignored.
+JSON escapes, CR LF line ends).  Grouped by source and measure, a hidden limit is a length that far more distinct texts
+share than the lengths around it; a source may have any number of limits, in any measures.  A text at a limit is cut
+unless its ending is complete.  Of the other texts (broken transfers) the ending alone decides: a text is whole if its
+last sentence ends, or if its last line is a closed or known form (table row, list item, label, reference, sign-off,
+deliberate trailing off).  A last line without an end is tested against the corpus: if its last word isn't a word of the
+corpus, or finished sentences start as it does, or a finished sentence stands before it in the same line, it was cut.
+Words and sentence starts of all texts are counted; only the endings' own are kept, by semi joins.
+
+One pass takes each text's lengths and ending down, one more the corpus words and sentence starts; both emit small rows.
+
+Defined results: null, empty and blank texts are no cases; repeated texts are judged alike and count once for a limit;
+texts of one line, in any script, are judged by their end; a null source is a source of its own; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -18,9 +23,9 @@ from pyspark.sql import functions as F
 
 from specsift.runtime import cut
 
-#: A length is a hidden limit if this share of a source's texts, and at least so many, have exactly it.
-LIMIT_SHARE, LIMIT_TEXTS = 0.03, 5
-SHORT_LINE = 6
+#: A hidden limit is a length with at least so many distinct texts, so many times as many as the lengths around it have on
+#: average, and beyond so many deviations of their chance.
+LIMIT_TEXTS, LIMIT_TIMES, DEVIATIONS, AROUND = 5, 8, 6, 64
 SENTENCE_END = "[.!?。！？。।؟։။።][\"'”’»›«“)\\]]*$"
 ENDS, CLOSERS = (".", "!", "?", "。", "！", "？", "।", "؟", "։"), ('"', "”", "’", "»", ")", "]")
 OMISSION = "\\s*(…|\\.\\.\\.|\\[…\\]|\\[\\.\\.\\.\\]|\\(…\\)|\\(\\.\\.\\.\\)|\\[(cut|truncated|more|continued)\\]|\\((cut|truncated|more|continued)\\))$"
@@ -39,9 +44,14 @@ def _start(words: Column, n: int) -> Column:
     return F.array_join(F.slice(words, 1, n), " ")
 
 
-def measures(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, measure, length) of every text, under each way in which a store may have counted it."""
-    t = F.col("text")
+#: What a sentence begins with, up to the end of its third word.
+THREE = "^[^\\p{L}\\p{M}\\p{N}'’=&-]*(?:[\\p{L}\\p{M}\\p{N}'’=&-]+[^\\p{L}\\p{M}\\p{N}'’=&-]*){0,3}"
+MEASURES = ("characters", "utf8", "utf16", "html_characters", "html_utf8", "json_characters", "json_utf8", "json_ascii", "crlf_characters", "crlf_utf8")
+
+
+def lengths(text: str) -> Column:
+    """The length of a text under each way in which a store may have counted it, in the order of MEASURES."""
+    t = F.col(text)
     chars, bytes_ = F.length(t).cast("bigint"), F.octet_length(t).cast("bigint")
     number = lambda c: bytes_ - F.octet_length(F.replace(t, F.lit(c), F.lit("")))
     some = lambda pattern: F.when(bytes_ > chars, F.regexp_count(t, F.lit(pattern)).cast("bigint")).otherwise(F.lit(0))
@@ -49,95 +59,106 @@ def measures(documents: DataFrame) -> DataFrame:
     quotes = doubles + number("\\")
     beyond, astral = some("[^\\x00-\\x7f]"), some("[\\x{10000}-\\x{10ffff}]")
     entities = number("&") * 4 + (number("<") + number(">")) * 3 + (doubles + number("'")) * 5
-    ways = {
-        "characters": chars, "utf8": bytes_, "utf16": chars + astral, "html_characters": chars + entities, "html_utf8": bytes_ + entities,
-        "json_characters": chars + lines + quotes, "json_utf8": bytes_ + lines + quotes, "json_ascii": chars + lines + quotes + beyond * 5 + astral * 6,
-        "crlf_characters": chars + lines, "crlf_utf8": bytes_ + lines,
-    }
-    every = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("length")) for k, v in ways.items()]))
-    return documents.where(F.length(F.trim(t)) > 0).select("doc_id", "source", every.alias("m")).select("doc_id", "source", "m.*")
-
-
-def limits(documents: DataFrame) -> DataFrame:
-    """(source, measure, limit_length, texts, share): the lengths that hidden limits expose."""
-    n = measures(documents).groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n"))
-    top = n.groupBy("source", "measure").agg(F.max_by("length", F.struct("n", "length")).alias("limit_length"), F.max("n").alias("texts"), F.sum("n").alias("all"))
-    return top.where((F.col("texts") >= LIMIT_TEXTS) & (F.col("texts") >= LIMIT_SHARE * F.col("all"))).select("source", "measure", "limit_length", "texts", (F.col("texts") / F.col("all")).alias("share"))
+    return F.array(
+        chars, bytes_, chars + astral, chars + entities, bytes_ + entities, chars + lines + quotes, bytes_ + lines + quotes,
+        chars + lines + quotes + beyond * 5 + astral * 6, chars + lines, bytes_ + lines,
+    )
 
 
-def at_limit(documents: DataFrame, some: DataFrame) -> DataFrame:
-    """doc_id of the documents of some(doc_id) whose length is a hidden limit of their source, found over all documents."""
-    m = measures(documents.select("doc_id", "source", "text").join(some, "doc_id", "left_semi"))
-    lim = limits(documents).select(F.col("source").alias("of"), F.col("measure").alias("by"), "limit_length")
-    return m.join(lim, m["source"].eqNullSafe(lim["of"]) & (m["measure"] == lim["by"]) & (m["length"] == lim["limit_length"]), "left_semi").select("doc_id").distinct()
-
-
-def endings(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind, word, start): how each text ends.
+def facts(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, same, lengths, kind, word, start) of each text: a hash, its lengths and how it ends.
 
     kind is whole, cut, number (ends in a number and a full stop), item (a list item or reference, of which the last
-    word is tested) or open (of which the last word and the start are tested: three words, two of a longer line
-    without a mark, or all but the last of a shorter one).
+    word is tested), prose (a finished sentence stands before the open one) or open (of which the last word and the
+    start are tested: three words, two of a longer line without a mark, or all but the last of a shorter one).
     """
     t = F.rtrim("text", F.lit(BLANK))
-    line = F.trim(F.substring_index(F.col("t"), "\n", -1))
-    marked = F.col("line").rlike(OMISSION)
-    bare = F.regexp_replace(F.col("line"), OMISSION, "")
-    sentence = F.element_at(F.split(bare, BREAK), -1)
+    x = documents.where(F.length(F.trim("text")) > 0).select("doc_id", "source", F.xxhash64("text").alias("same"), lengths("text").alias("lengths"), t.alias("t")).where("t <> ''")
+    x = x.withColumn("line", F.trim(F.substring_index(F.col("t"), "\n", -1))).withColumn("marked", F.col("line").rlike(OMISSION))
+    bare = F.when(F.col("marked"), F.regexp_replace(F.col("line"), OMISSION, "")).otherwise(F.col("line"))
     ended = F.col("line").rlike(SENTENCE_END)
-    x = documents.where(F.length(F.trim("text")) > 0).select("doc_id", t.alias("t")).where("t <> ''").withColumn("line", line)
-    x = x.withColumn("tail", F.when(marked, sentence).otherwise(F.col("line"))).withColumn("words", _words(F.col("tail")))
-    item = F.col("line").rlike(OPEN_ITEM)
-    long = F.size("words") > SHORT_LINE
+    x = x.withColumn("parts", F.when(F.col("marked") | ~ended, F.split(bare, BREAK))).withColumn("tail", F.element_at("parts", -1)).withColumn("words", _words(F.col("tail")))
+    before = F.exists(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), lambda s: s.rlike(SENTENCE_END) & (F.size(_words(s)) > 2))
+    n = F.size("words")
     kind = (
         F.when(F.col("line").rlike("\\x{fffd}$"), "cut")
-        .when(marked, F.when(F.size("words") < 4, "cut").otherwise("open"))
+        .when(F.col("marked"), F.when(n < 4, "cut").otherwise("open"))
         .when(ended & F.col("line").rlike("(^|\\s)\\d+\\.$"), "number")
         .when(ended, "whole")
         .when(F.col("line").rlike(CLOSED), "whole")
         .when(F.col("line").startswith("|"), "cut")
-        .when(item, "item")
-        .when(long | (F.size("words") < 2) | F.col("line").rlike("[,;:–—-]$"), "cut")
+        .when(F.col("line").rlike(OPEN_ITEM), "item")
+        .when((n < 2) | F.col("line").rlike("[,;:–—-]$"), "cut")
+        .when(before, "prose")
         .otherwise("open")
     )
-    n = F.size("words")
-    tested = F.when(marked | (n == 4), F.lit(3)).when(n > 4, F.lit(2)).otherwise(n - 1)
-    return x.select("doc_id", kind.alias("kind"), F.element_at("words", -1).alias("word"), F.array_join(F.slice("words", 1, F.greatest(tested, F.lit(1))), " ").alias("start"))
+    tested = F.when(F.col("marked") | (n == 4), F.lit(3)).when(n > 4, F.lit(2)).otherwise(n - 1)
+    return x.select("doc_id", "source", "same", "lengths", kind.alias("kind"), F.element_at("words", -1).alias("word"), F.array_join(F.slice("words", 1, F.greatest(tested, F.lit(1))), " ").alias("start"))
 
 
-def corpus_words(documents: DataFrame) -> DataFrame:
-    """Every word that stands inside a text, before its last token; only distinct tokens are cut into words."""
-    tokens = F.split(F.rtrim(F.translate("text", "\n\t\r", "   ")), " ")
-    inner = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    distinct = documents.where(F.length("text") > 0).select(F.explode(inner).alias("token")).distinct()
-    return distinct.select(F.explode(_words(F.col("token"))).alias("word"))
+def limits(documents: DataFrame) -> DataFrame:
+    """(source, measure, limit_length, texts, around): every length that a hidden limit exposes."""
+    return exposed(facts(documents))
+
+
+def exposed(seen: DataFrame) -> DataFrame:
+    """The limits, from facts; each text of a source counts once."""
+    each = seen.groupBy("source", "same").agg(F.first("lengths").alias("lengths")).select("source", F.posexplode("lengths").alias("measure", "length"))
+    n = each.groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n")).withColumn("near", F.floor(F.col("length") / AROUND))
+    near = n.groupBy("source", "measure", "near").agg(F.sum("n").alias("all")).select(F.col("source").alias("s"), F.col("measure").alias("m"), F.col("near").alias("k"), "all")
+    x = n.where(F.col("n") >= LIMIT_TEXTS).join(near, F.col("source").eqNullSafe(F.col("s")) & (F.col("measure") == F.col("m")) & (F.col("near") == F.col("k")))
+    x = x.withColumn("around", (F.col("all") - F.col("n")) / (AROUND - 1))
+    odd = F.col("n") >= F.greatest(LIMIT_TIMES * F.col("around"), F.col("around") + DEVIATIONS * F.sqrt(F.col("around") + 0.5))
+    name = F.get(F.array(*map(F.lit, MEASURES)), F.col("measure"))
+    return x.where(odd).select("source", name.alias("measure"), F.col("measure").alias("measure_no"), F.col("length").alias("limit_length"), F.col("n").alias("texts"), "around")
+
 
+def at_limit(seen: DataFrame, lim: DataFrame) -> DataFrame:
+    """doc_id of the texts of which a length is a hidden limit of their source."""
+    each = seen.select("doc_id", "source", F.posexplode("lengths").alias("measure_no", "length"))
+    lim = lim.select(F.col("source").alias("of"), F.col("measure_no").alias("by"), "limit_length")
+    return each.join(lim, each["source"].eqNullSafe(lim["of"]) & (each["measure_no"] == lim["by"]) & (each["length"] == lim["limit_length"]), "left_semi").select("doc_id").distinct()
 
-def sentence_starts(documents: DataFrame) -> DataFrame:
-    """The first words, up to three, of every finished sentence."""
+
+def corpus(documents: DataFrame) -> DataFrame:
+    """(start, piece), distinct: tokens inside the texts, before the last one, and the first three words of finished sentences."""
 
     def finished(s: Column) -> Column:
         last = F.right(s, F.lit(1))
         return (last.isin(*ENDS) & ~s.endswith("...")) | (last.isin(*CLOSERS) & s.rlike(SENTENCE_END) & ~s.rlike(OMISSION))
 
-    parts = F.filter(F.split("text", BREAK), finished)
-    starts = F.array_distinct(F.transform(parts, lambda s: _start(_words(F.substring_index(s, " ", 8)), 3)))
-    three = documents.where(F.length("text") > 0).select(F.explode(starts).alias("s")).distinct()
-    words = F.split("s", " ")
-    return three.select(F.explode(F.array(_start(words, 1), _start(words, 2), _start(words, 3))).alias("start")).where("start <> ''")
+    tokens = F.split(F.rtrim(F.translate("text", "\n\t\r", "   ")), " ")
+    inner = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
+    starts = F.transform(F.filter(F.split("text", BREAK), finished), lambda s: F.regexp_extract(s, THREE, 0))
+    piece = lambda is_start: lambda x: F.struct(F.lit(is_start).alias("start"), x.alias("piece"))
+    both = F.concat(F.transform(F.array_distinct(inner), piece(False)), F.transform(F.array_distinct(starts), piece(True)))
+    return documents.where(F.length("text") > 0).select(F.explode(both).alias("x")).select("x.*").distinct()
+
+
+def steps(documents: DataFrame) -> DataFrame:
+    """(doc_id, step) of the cut texts and what told: limit, ending, prose, word (unknown to the corpus) or start."""
+    seen = cut(facts(documents))
+    lim = exposed(seen)
+    odd = seen.where("kind <> 'whole'")
+    full = at_limit(odd, lim).select(F.col("doc_id").alias("full"))
+    rest = cut(odd.join(full, F.col("doc_id") == F.col("full"), "left").select("doc_id", "kind", "word", "start", F.col("full").isNotNull().alias("at_limit")))
+    ends = rest.where("not at_limit and kind in ('open', 'item')")
+    pieces = corpus(documents)
+    words = pieces.where("not start").select(F.explode(_words(F.col("piece"))).alias("known"))
+    three = F.split(F.array_join(_words(F.col("piece")), " "), " ")
+    starts = pieces.where("start").select(F.explode(F.array(*[_start(three, k) for k in (1, 2, 3)])).alias("begun"))
+    known = words.join(ends.select(F.col("word").alias("w")).distinct(), F.col("known") == F.col("w"), "left_semi").distinct()
+    begun = starts.join(ends.where("kind = 'open'").select(F.col("start").alias("s")).distinct(), F.col("begun") == F.col("s"), "left_semi").distinct()
+    tested = ends.join(known, F.col("word") == F.col("known"), "left").join(begun, F.col("start") == F.col("begun"), "left")
+    by = F.when(F.col("known").isNull() & ~F.col("word").contains("0"), "word").when((F.col("kind") == "open") & F.col("begun").isNotNull(), "start")
+    told = tested.select("doc_id", by.alias("step")).where("step is not null")
+    plainly = rest.select("doc_id", F.when(F.col("at_limit"), "limit").when(F.col("kind") == "cut", "ending").when(F.col("kind") == "prose", "prose").alias("step")).where("step is not null")
+    return plainly.unionByName(told)
 
 
 def found(documents: DataFrame) -> DataFrame:
     """doc_id of the texts that stop before their last word or sentence is complete."""
-    e = cut(endings(documents).where("kind <> 'whole'"))
-    ends = e.where("kind in ('open', 'item')")
-    known = ends.select("word").distinct().join(corpus_words(documents).distinct(), "word", "left_semi").select(F.col("word").alias("known"))
-    begun = ends.where("kind = 'open'").select("start").distinct().join(sentence_starts(documents).distinct(), "start", "left_semi").select(F.col("start").alias("begun"))
-    tested = ends.join(known, F.col("word") == F.col("known"), "left").join(begun, F.col("start") == F.col("begun"), "left")
-    broken_off = tested.where((F.col("known").isNull() & ~F.col("word").contains("0")) | ((F.col("kind") == "open") & F.col("begun").isNotNull())).select("doc_id")
-    numbers = e.where("kind = 'number'").select("doc_id")
-    broken = at_limit(documents, numbers)
-    return e.where("kind = 'cut'").select("doc_id").unionByName(broken_off).unionByName(broken)
+    return steps(documents).select("doc_id")
 
 
 def sources(documents: DataFrame) -> DataFrame:

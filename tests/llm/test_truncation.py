@@ -35,3 +35,21 @@ def test_rates(spark):
 def test_edge_rows(spark):
     assert cut(spark, None, "", " \n\t", "x. " * 100_000, "日本語。") == [False] * 5
     assert X.found(frame(spark, [])).count() == 0
+
+
+def test_every_limit_of_a_source_and_what_told(spark):
+    filler = [(i, WHOLE + " It was agreed" + " again" * (i % 90) + f" that part {i} stays.", "two") for i in range(300)]
+    at = [(1000 + 100 * size + k, (f"Number {k} of them was then agreed and " + "filed and " * 60)[:size], "two") for size in (150, 240) for k in range(9)]
+    whole = [(5000 + k, f"Part {k} " + "x" * (142 - len(str(k)) - 1) + "s.", "two") for k in range(2)]
+    assert all(len(t) == 150 for _, t, _ in [*at[:9]])
+    df = frame(spark, [*filler, *at, *whole])
+    got = {(r.measure, r.limit_length) for r in X.limits(df).where("measure = 'characters'").collect()}
+    assert {("characters", 150), ("characters", 240)} <= got
+    told = {r.doc_id: r.step for r in X.steps(df).collect()}
+    assert all(told[k] == "limit" for k, t, _ in at if not t.endswith(" "))
+    assert not told.keys() & {k for k, _, _ in [*filler, *whole]}
+
+
+def test_a_sentence_start_behind_many_signs(spark):
+    rows = [(1, ("- " * 40) + "Nobody could say why it failed.", "s"), (2, WHOLE + "\nThe clerk confirms.", "s"), (3, WHOLE + "\nNobody could say why", "s"), (4, WHOLE + "\nThe say why form", "s")]
+    assert {r.doc_id for r in X.found(frame(spark, rows)).collect()} == {3}
