@@ -45,7 +45,7 @@ def _start(words: Column, n: int) -> Column:
 
 
 #: What a sentence begins with, up to the end of its third word.
-THREE = "^[^\\p{L}\\p{M}\\p{N}'’=&-]*(?:[\\p{L}\\p{M}\\p{N}'’=&-]+[^\\p{L}\\p{M}\\p{N}'’=&-]*){0,3}"
+THREE = "^[^\\p{L}\\p{M}\\p{N}'’=&-]*+(?:[\\p{L}\\p{M}\\p{N}'’=&-]++[^\\p{L}\\p{M}\\p{N}'’=&-]*+){0,3}+"
 MEASURES = ("characters", "utf8", "utf16", "html_characters", "html_utf8", "json_characters", "json_utf8", "json_ascii", "crlf_characters", "crlf_utf8")
 
 
@@ -121,18 +121,24 @@ def at_limit(seen: DataFrame, lim: DataFrame) -> DataFrame:
 
 
 def corpus(documents: DataFrame) -> DataFrame:
-    """(start, piece), distinct: tokens inside the texts, before the last one, and the first three words of finished sentences."""
+    """Distinct pieces: w and a token inside the texts, before the last one, or s and the first three words of a finished sentence."""
 
     def finished(s: Column) -> Column:
         last = F.right(s, F.lit(1))
         return (last.isin(*ENDS) & ~s.endswith("...")) | (last.isin(*CLOSERS) & s.rlike(SENTENCE_END) & ~s.rlike(OMISSION))
 
-    tokens = F.split(F.rtrim(F.translate("text", "\n\t\r", "   ")), " ")
-    inner = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    starts = F.transform(F.filter(F.split("text", BREAK), finished), lambda s: F.regexp_extract(s, THREE, 0))
-    piece = lambda is_start: lambda x: F.struct(F.lit(is_start).alias("start"), x.alias("piece"))
-    both = F.concat(F.transform(F.array_distinct(inner), piece(False)), F.transform(F.array_distinct(starts), piece(True)))
-    return documents.where(F.length("text") > 0).select(F.explode(both).alias("x")).select("x.*").distinct()
+    tokens = F.split(F.rtrim("text", F.lit(BLANK)), "[ \n\t\r]")
+    inner = F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda x: F.concat(F.lit("w"), x))
+    starts = F.transform(F.filter(F.split("text", BREAK), finished), lambda s: F.concat(F.lit("s"), F.regexp_extract(s, THREE, 0)))
+    return documents.where(F.length("text") > 0).select(F.explode(F.concat(inner, starts)).alias("piece")).distinct()
+
+
+def met(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of wanted(key) that the corpus holds: w and a word, or s and the first one, two or three words of a sentence."""
+    words = _words(F.expr("substring(piece, 2)"))
+    three = F.split(F.array_join(words, " "), " ")
+    keys = F.when(F.col("piece").startswith("w"), F.transform(words, lambda w: F.concat(F.lit("w"), w))).otherwise(F.array(*[F.concat(F.lit("s"), _start(three, k)) for k in (1, 2, 3)]))
+    return corpus(documents).select(F.explode(keys).alias("key")).join(wanted.distinct(), "key", "left_semi").distinct()
 
 
 def steps(documents: DataFrame) -> DataFrame:
@@ -143,13 +149,10 @@ def steps(documents: DataFrame) -> DataFrame:
     full = at_limit(odd, lim).select(F.col("doc_id").alias("full"))
     rest = cut(odd.join(full, F.col("doc_id") == F.col("full"), "left").select("doc_id", "kind", "word", "start", F.col("full").isNotNull().alias("at_limit")))
     ends = rest.where("not at_limit and kind in ('open', 'item')")
-    pieces = corpus(documents)
-    words = pieces.where("not start").select(F.explode(_words(F.col("piece"))).alias("known"))
-    three = F.split(F.array_join(_words(F.col("piece")), " "), " ")
-    starts = pieces.where("start").select(F.explode(F.array(*[_start(three, k) for k in (1, 2, 3)])).alias("begun"))
-    known = words.join(ends.select(F.col("word").alias("w")).distinct(), F.col("known") == F.col("w"), "left_semi").distinct()
-    begun = starts.join(ends.where("kind = 'open'").select(F.col("start").alias("s")).distinct(), F.col("begun") == F.col("s"), "left_semi").distinct()
-    tested = ends.join(known, F.col("word") == F.col("known"), "left").join(begun, F.col("start") == F.col("begun"), "left")
+    word, start = F.concat(F.lit("w"), "word"), F.concat(F.lit("s"), "start")
+    wanted = ends.select(word.alias("key")).unionByName(ends.where("kind = 'open'").select(start.alias("key")))
+    held = cut(met(documents, wanted))
+    tested = ends.join(held.select(F.col("key").alias("known")), word == F.col("known"), "left").join(held.select(F.col("key").alias("begun")), start == F.col("begun"), "left")
     by = F.when(F.col("known").isNull() & ~F.col("word").contains("0"), "word").when((F.col("kind") == "open") & F.col("begun").isNotNull(), "start")
     told = tested.select("doc_id", by.alias("step")).where("step is not null")
     plainly = rest.select("doc_id", F.when(F.col("at_limit"), "limit").when(F.col("kind") == "cut", "ending").when(F.col("kind") == "prose", "prose").alias("step")).where("step is not null")

@@ -53,3 +53,7 @@ def test_every_limit_of_a_source_and_what_told(spark):
 def test_a_sentence_start_behind_many_signs(spark):
     rows = [(1, ("- " * 40) + "Nobody could say why it failed.", "s"), (2, WHOLE + "\nThe clerk confirms.", "s"), (3, WHOLE + "\nNobody could say why", "s"), (4, WHOLE + "\nThe say why form", "s")]
     assert {r.doc_id for r in X.found(frame(spark, rows)).collect()} == {3}
+
+
+def test_a_text_does_not_vouch_for_its_own_last_word(spark):
+    assert cut(spark, WHOLE + "\n- check met\n \t \n", WHOLE + "\n- check meters\n ") == [True, False]
