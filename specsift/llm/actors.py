@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specsift.llm.lookalikes import plain, repaired
+from specsift.llm.lookalikes import folded, plain
 
 #: Words that hold no part of a role.
 EMPTY_WORDS = {"a", "an", "the", "role", "actor", "user", "as", "of", "our", "any", "each"}
@@ -36,7 +36,7 @@ WHOLE_UP_TO = 60
 
 def key(value: str) -> str:
     """Case, width, look-alikes, accents and quotes set aside."""
-    text = repaired(plain(value)[0], set())
+    text = folded(plain(value)[0])
     text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return text.casefold()
 

@@ -1,12 +1,11 @@
 """Text that looks ordinary but is made of other characters: one consistent form, and the texts that needed it.
 
 Full-width forms, ligatures, combining accents, invisible marks and unusual spaces have one ordinary form each.
-Look-alike letters are repaired by script: a token's dominant script is determined, and letters of other scripts are
-replaced by the look-alikes of the dominant one only in tokens of mixed script, if the result is a word of the corpus;
-tokens of ``LONG`` letters and more, which a line end may have cut out of any vocabulary, need no word.  A token is Greek
-or Cyrillic if more of its letters are than Latin ones; one that could also be all-Latin is so unless the corpus holds
-its Greek or Cyrillic form.  The vocabulary
-is joined, never broadcast: it is counted over all texts and reduced to the candidates by a semi join.
+Look-alike letters are repaired by script: a token's dominant script is the one that most of its letters are of (Latin, if
+equally many), and in a token of mixed script the letters of other scripts are replaced by the look-alikes of the
+dominant one if the result, of any length, is a word of the corpus; else by Latin ones if that is.  A token beside a line
+end may be half a word, so it counts as a word also if it and its other half are one.  The vocabulary is joined: it is
+taken over all texts and reduced to the candidates by a semi join.
 
 Defined results: null stays null and is no case; empty and ASCII-only texts are unchanged; words written wholly in
 another script, units, powers, formula letters, emoji (with their joiners), typographic quotes and dashes are kept;
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 from specsift.llm.encoding_pages import repair
 from specsift.runtime import cut
 
+#: Letters from which on a key for comparisons takes a token of mixed script for a word.
 LONG = 4
 #: Letters that render as a Latin letter.
 CYRILLIC = dict(zip("аеорсухіѕјһԁѵԛԝӏАВЕКМНОРСТХІЅЈУԌԚԜӀ", "aeopcyxisjhdvqwlABEKMHOPCTXISJYGQWI", strict=True))
@@ -43,7 +43,10 @@ OTHER = re.compile("[\u0370-\u052f]")
 #: Words that hold a Greek or Cyrillic letter.
 MIXED = re.compile("[^\\W\\d_]*[\u0370-\u052f][^\\W\\d_]*")
 VOCABULARY_WORD = "[^A-Za-z\\u00c0-\\u024f]+"
-NATIVE_WORD = "(?<!\\p{L})(?:[\\u0370-\\u03ff]+|[\\u0400-\\u052f]+)(?!\\p{L})"
+ONE_SCRIPT = "(?<!\\p{L})(?:[A-Za-z\\u00c0-\\u024f]+|[\\u0370-\\u03ff]+|[\\u0400-\\u052f]+)(?!\\p{L})"
+#: What follows the first half of a word at a line end, and the second half; a first half at the end of a line.
+OTHER_HALF = re.compile("[-\u2010\u2011]?[^\\S\\n]*\\n\\s*([^\\W\\d_]+)")
+FIRST_HALF = re.compile("([^\\W\\d_]+)[-\u2010\u2011]?[^\\S\\n]*$")
 
 
 def _pictograph(c: str) -> bool:
@@ -104,34 +107,54 @@ def native(token: str) -> str | None:
     return out if len(out) == len(token) else None
 
 
-def forms(token: str) -> tuple[str | None, str | None]:
-    """The forms of a token of mixed script: the one to take as it stands, and another to take if it is a word."""
-    a, b = latin(token), native(token)
-    return (a, b) if a else (b, None)
+def dominant(token: str) -> str:
+    """The script of most letters of a token; Latin, if equally many."""
+    scripts = [_script(c) for c in token]
+    return max(("latin", "greek", "cyrillic"), key=scripts.count)
 
 
-def candidates(text: str) -> list[str]:
-    """First forms of the tokens of mixed script."""
-    return [x for m in MIXED.finditer(text) if (x := forms(m.group())[0])]
+@lru_cache(100_000)
+def forms(token: str) -> tuple[str, ...]:
+    """The forms of a token of mixed script: in its dominant script, then in Latin letters."""
+    a, b = latin(token), native(token) if dominant(token) != "latin" else None
+    return tuple(x for x in (b, a) if x)
+
+
+def folded(text: str) -> str:
+    """A key for comparisons: tokens of mixed script of at least ``LONG`` letters in one script, Latin if they can be, words or not."""
+    return MIXED.sub(lambda m: x if (x := latin(m.group()) or native(m.group())) and len(x) >= LONG else m.group(), text) if OTHER.search(text) else text
+
+
+def readings(text: str, m: re.Match) -> list[tuple[str, set[str]]]:
+    """Each form of a token of mixed script, in order, with the words of which one must be known: itself or, beside a line end, with its other half."""
+    halves = []
+    if (after := OTHER_HALF.match(text, m.end())) is not None:
+        halves.append(("", after.group(1)))
+    start = text.rfind("\n", 0, m.start())
+    if start > 0 and not text[start : m.start()].strip():
+        line = text[text.rfind("\n", 0, start) + 1 : start]
+        if (before := FIRST_HALF.search(line)) is not None:
+            halves.append((before.group(1), ""))
+    out = []
+    for x in forms(m.group()):
+        wholes = {(next(iter(forms(a)), a) + x + next(iter(forms(b)), b)).lower() for a, b in halves}
+        out.append((x, {x.lower()} | wholes))
+    return out
 
 
 def asked(text: str) -> set[str]:
-    """Forms of tokens of mixed script whose use depends on the vocabulary."""
-    both = {forms(m.group()) for m in MIXED.finditer(text)}
-    return {x.lower() for x, _ in both if x and len(x) < LONG} | {y.lower() for _, y in both if y}
+    """Words on which the repair of a text's tokens of mixed script depends."""
+    return {w for m in MIXED.finditer(text) for _, words in readings(text, m) for w in words} if OTHER.search(text) else set()
 
 
 def repaired(text: str, words: set[str]) -> str:
-    def one(m: re.Match) -> str:
-        x, y = forms(m.group())
-        if y and y.lower() in words:
-            return y
-        return x if x and (len(x) >= LONG or x.lower() in words) else m.group()
-
-    return MIXED.sub(one, text) if OTHER.search(text) else text
+    """The text with each token of mixed script in its first form that is known."""
+    if not OTHER.search(text):
+        return text
+    return MIXED.sub(lambda m: next((x for x, any_of in readings(text, m) if any_of & words), m.group()), text)
 
 
-SCAN = "tbl string, row_id bigint, garbled boolean, changed boolean, sure boolean, candidates array<string>"
+SCAN = "tbl string, row_id bigint, garbled boolean, changed boolean, candidates array<string>"
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,11 +163,11 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for tbl, k, text in zip(batch["tbl"], batch["row_id"], batch["text"], strict=True):
             out, changed = plain(text)
-            found = candidates(out)
-            if changed or found:
+            words = asked(out)
+            if changed or words:
                 garbled = tbl == "raw_pages" and fix.text(text)[1]
-                rows.append((tbl, k, garbled, changed, any(len(x) >= LONG for x in found), sorted(asked(out))))
-        yield pd.DataFrame(rows, columns=["tbl", "row_id", "garbled", "changed", "sure", "candidates"])
+                rows.append((tbl, k, garbled, changed, sorted(words)))
+        yield pd.DataFrame(rows, columns=["tbl", "row_id", "garbled", "changed", "candidates"])
 
 
 def texts(pages: DataFrame, stories: DataFrame) -> DataFrame:
@@ -159,9 +182,9 @@ def vocabulary(rows: DataFrame, of: DataFrame) -> DataFrame:
     Tokens are told apart as they stand; only the distinct ones are cut into words.
     """
     tokens = rows.select(F.explode(F.split(F.translate("text", "\n\t", "  "), " ")).alias("token")).distinct()
-    words = tokens.select(F.explode(F.split(F.lower("token"), VOCABULARY_WORD)).alias("word")).where(F.length("word").between(1, LONG - 1))
-    other = tokens.where(F.col("token").rlike(OTHER.pattern)).select(F.explode(F.regexp_extract_all(F.lower("token"), F.lit(NATIVE_WORD), F.lit(0))).alias("word"))
-    return of.select("word").distinct().join(words.unionByName(other).distinct(), "word", "left_semi")
+    low, other = F.lower("token"), F.col("token").rlike(OTHER.pattern)
+    words = F.when(other, F.regexp_extract_all(low, F.lit(ONE_SCRIPT), F.lit(0))).otherwise(F.split(low, VOCABULARY_WORD))
+    return of.select("word").distinct().join(tokens.select(F.explode(words).alias("word")), "word", "left_semi")
 
 
 def scanned(rows: DataFrame) -> DataFrame:
@@ -173,17 +196,17 @@ def found(pages: DataFrame, stories: DataFrame) -> DataFrame:
     """(tbl, row_id) of the texts that a consistent form changes."""
     rows = texts(pages, stories)
     seen = scanned(rows).where(~F.col("garbled"))
-    plainly = seen.where("changed or sure").select("tbl", "row_id")
-    short = seen.where("not (changed or sure)").select("tbl", "row_id", F.explode("candidates").alias("word"))
-    known = vocabulary(rows, short)
-    return plainly.unionByName(short.join(known, "word", "left_semi").select("tbl", "row_id")).distinct()
+    plainly = seen.where("changed").select("tbl", "row_id")
+    mixed = seen.where("not changed").select("tbl", "row_id", F.explode("candidates").alias("word"))
+    known = vocabulary(rows, mixed)
+    return plainly.unionByName(mixed.join(known, "word", "left_semi").select("tbl", "row_id")).distinct()
 
 
 def canonical(pages: DataFrame, stories: DataFrame) -> DataFrame:
-    """(tbl, row_id, text): every text in its consistent form; short tokens are repaired by the corpus vocabulary."""
+    """(tbl, row_id, text): every text in its consistent form, tokens of mixed script repaired by the corpus vocabulary."""
     rows = texts(pages, stories)
-    short = scanned(rows).select("tbl", "row_id", F.explode("candidates").alias("word"))
-    known = short.join(vocabulary(rows, short), "word", "left_semi").groupBy("tbl", "row_id").agg(F.collect_set("word").alias("words"))
+    mixed = scanned(rows).select("tbl", "row_id", F.explode("candidates").alias("word"))
+    known = mixed.join(vocabulary(rows, mixed), "word", "left_semi").groupBy("tbl", "row_id").agg(F.collect_set("word").alias("words"))
     joined = rows.join(known, ["tbl", "row_id"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

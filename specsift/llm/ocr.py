@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specsift.llm.encoding_pages import repair
-from specsift.llm.lookalikes import INVISIBLE, plain, repaired
+from specsift.llm.lookalikes import INVISIBLE, folded, plain
 from specsift.llm.perceptron import Editor, Perceptron, noises
 from specsift.llm.repeats import NO_LETTERS
 from specsift.runtime import cut
@@ -74,7 +74,7 @@ def bare(token: str) -> str:
 
 
 def normal(text: str) -> str:
-    return text.lower() if text.isascii() and "&" not in text else repaired(plain(repair().text(text)[0])[0], set()).lower()
+    return text.lower() if text.isascii() and "&" not in text else folded(plain(repair().text(text)[0])[0]).lower()
 
 
 Token = tuple[str, str | None, tuple[str, ...]]
@@ -373,7 +373,7 @@ def rebuilt(text: str | None, drop: set[int], fixes: list) -> str | None:
     """One page: corrections by line, broken words joined, lines run together up to a paragraph's end."""
     if text is None:
         return None
-    lines = dict(enumerate(repaired(plain(repair().text(text)[0])[0], set()).split("\n"), 1))
+    lines = dict(enumerate(folded(plain(repair().text(text)[0])[0]).split("\n"), 1))
     joins: dict[int, str] = {}
     for f in fixes:
         no, token, word, at = f["line_no"], f["token"], f["word"], f["at"]
