@@ -35,7 +35,7 @@ def queries() -> dict[str, Query]:
     }
 
 
-#: A line's letters, its frequent lines and the lines of pages, in SQL.
+#: Lines of pages, what tells them apart, and how many pages hold each, in SQL with the classes of the definition.
 _REPEATS = r"""
 with l as (
   select page_id, doc_id, page_num, 'raw_text' as place, unnest(string_split(raw_text, chr(10))) as line,
@@ -44,8 +44,8 @@ with l as (
   union all
   select page_id, doc_id, page_num, 'font_metadata', unnest(list_transform(font_metadata, lambda x: x.text)), unnest(range(1, len(font_metadata) + 1))
   from raw_pages where font_metadata is not null),
-k as (select page_id, doc_id, page_num, place, pos, regexp_replace(lower(line), '[^\p{L}]+', '', 'g') as key from l),
-f as (select doc_id, place, key, count(distinct page_num) as n from k where length(key) >= 3 group by all),
+k as (select page_id, doc_id, page_num, place, pos, regexp_replace(lower(line), '[\p{Nd}_\p{P}\p{S}\p{Z}\p{C}\p{M}]', '', 'g') as key from l),
+f as (select doc_id, place, key, count(distinct page_num) as n from k where length(regexp_replace(key, '\P{L}', '', 'g')) >= 3 group by all),
 s as (select doc_id, count(distinct page_num) as pages from raw_pages group by all)
 """
 

@@ -39,5 +39,18 @@ def test_cleaned_pages(spark):
     assert out[1] == ("line z", 1) and out[9] == (None, 0)
 
 
+def test_what_tells_lines_apart(spark):
+    forms = ["Total – m\u200bade", "total made", "TOTAL_made 7", "Total: made!", "to\u0301tal made"]
+    rows = [(i, "d", i, x, None) for i, x in enumerate(forms, 1)] + [(10 + i, "d", 10 + i, x, None) for i, x in enumerate(["total made²"] * 4 + ["total made ½"])]
+    assert {r.page_id for r in repeats.found(frame(spark, rows)).collect()} == {1, 2, 3, 4, 5}
+    assert repeats.found(frame(spark, [(i, "d", i, "a² b½", None) for i in range(9)])).count() == 0
+
+
+def test_cleaned_blocks(spark):
+    rows = [(i, "d", i, f"line {'z' * i}", [("Top notice", 1.0), ("own " + "y" * i, 2.0), (None, 1.0)]) for i in range(1, 7)] + [(9, "d", 9, "x", None)]
+    out = {r.page_id: (r.text, r.removed, r.blocks, r.removed_blocks) for r in repeats.cleaned(frame(spark, rows)).collect()}
+    assert out[1] == ("line z", 0, ["own y", None], 1) and out[9] == ("x", 0, None, 0)
+
+
 def test_empty(spark):
     assert repeats.found(frame(spark, [])).count() == 0
