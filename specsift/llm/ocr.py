@@ -1,16 +1,20 @@
 """Noise in the text of scanned pages: broken words, misread characters, running furniture, page numbers.
 
-Words.  The vocabulary is counted over all pages that weren't scanned.  Tokens of scanned pages that it doesn't hold, the
-two halves of words broken at a line end and neighbours that may be one word are put to a character editor, an averaged
-perceptron over characters that keeps, deletes, replaces or inserts; it is trained on words of the vocabulary noised by
-the known confusions of scanners.  A proposal counts if it is a word of the vocabulary and the known confusions explain
-the token.  Only distinct tokens are edited, and the answers are joined back to their lines.
+Words.  The vocabulary is counted over all pages that weren't scanned.  Tokens of scanned pages that it doesn't hold,
+all halves of words broken at a line end, with the break between them, and neighbours that may be one word are put to a
+character editor, an averaged perceptron over characters that keeps, deletes, replaces, inserts or joins lines: at a break
+it takes the break out or leaves a hyphen.  It is trained on words of the vocabulary, broken anywhere and noised by the
+known confusions of scanners.  A proposal counts if it is a word of the vocabulary and the known confusions explain the
+token; the best rated one is taken.  Only distinct tokens are edited, and the answers are joined back to their lines.
 
 Furniture.  Lines at the edges of a page are rated by an averaged perceptron over page-position and repetition features
 (position, pages of the document and documents with the same letters, share of edge lines among them, numbered first
-word, form).  It learns from what the partial cleaning already removed.
+word, form; of numbers their form, what stands above and whether they are the page's).  It learns what a running header
+and what a page number is from what the partial cleaning already removed; where nothing was cleaned it learns from
+``taught_by_repetition``.
 
 Bounds.  The editor is trained on at most ``EDITOR_WORDS`` frequent words and the line model on ``SAMPLE_PAGES`` pages.
+Furniture is looked for among the ``EDGE`` lines next to the top and bottom of a page (see the README for what lies deeper).
 The vocabulary is sent to the tasks as a filter only if it holds at most ``KNOWN_WORDS`` words; beyond that the tasks
 send all tokens on and joins apply the same conditions.
 
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from specsift.llm.encoding_pages import repair
 from specsift.llm.lookalikes import INVISIBLE, folded, plain
-from specsift.llm.perceptron import Editor, Perceptron, noises
+from specsift.llm.perceptron import BREAK, Editor, Perceptron, noises
 from specsift.llm.repeats import NO_LETTERS
 from specsift.runtime import cut
 
@@ -90,8 +94,8 @@ def token_of(token: str, known: frozenset[str] | None) -> Token:
 def suspects(text: str, known: frozenset[str] | None, seen: dict[str, Token]) -> Iterator[tuple[int, int, str, str, int, str]]:
     """(line_no, next_no, kind, token, at, compound) of words, halves broken at a line end and likely gaps.
 
-    kind w: a word; g: two neighbours as one word; h: the halves at a line end as one word, with their hyphened form as
-    compound; b: the second half as a word of its own, unless the compound is a word.
+    kind w: a word; g: two neighbours as one word; h: the halves at a line end with the break between them, and their
+    hyphened form as compound; b: the second half as a word of its own, unless the compound is a word.
     """
     lines = normal(text).split("\n")
     skip = False
@@ -105,7 +109,7 @@ def suspects(text: str, known: frozenset[str] | None, seen: dict[str, Token]) ->
                 a, b = PARTS.split(bare(m.group(1)))[-1], bare(second.group(1))
                 if a and b and READ.match(a + b):
                     whole = bare(line[: m.end(1)].split()[-1])
-                    yield no, nxt + 1, "h", a + b, len(a), f"{whole}-{b}"
+                    yield no, nxt + 1, "h", a + BREAK + b, len(a), f"{whole}-{b}"
                     if READ.match(b) and (known is None or (b not in known and a + b not in known)):
                         yield nxt + 1, nxt + 1, "b", b, 0, a + b
                     skip = True
@@ -140,26 +144,38 @@ def _scan(known: object) -> object:
 
 @lru_cache(2)
 def editor(words: tuple[str, ...]) -> Editor:
-    return Editor(list(words))
+    return Editor([w for w in words if "-" not in w], [w for w in words if "-" in w])
 
 
 def corrections(tokens: DataFrame, words: DataFrame, sample: tuple[str, ...]) -> DataFrame:
-    """(token, word, first, last) of the distinct tokens that the editor turns into words of the vocabulary."""
+    """(token, proposed, first, last, hyphened) of the distinct tokens that the editor turns into words of the vocabulary.
+
+    hyphened tells broken words that keep a hyphen at the break.
+    """
     model = tokens.sparkSession.sparkContext.broadcast(editor(sample)) if sample else None
 
+    def proposals(token: str) -> list[tuple[str, str, int, int, bool, int]]:
+        read = token.replace(BREAK, "")
+        most, at = (1 if len(read) <= 4 else 2), token.find(BREAK)
+        out = []
+        for k, (w, a, b) in enumerate(model.value.propose(token)):
+            # where lines were joined with a hyphen, both sides must be explained
+            dash = at > 0 and w.count("-") > read.count("-")
+            fits = any(noises(w[:i], token[:at], most) and noises(w[i + 1 :], token[at + 1 :], most) for i, c in enumerate(w) if c == "-") if dash else noises(w, read, most)
+            if len(w) > 1 and fits:
+                out.append((token, w, a, b, dash, k))
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for t in batch["token"]:
-                most = 1 if len(t) <= 4 else 2
-                rows += [(t, w, a, b, k) for k, (w, a, b) in enumerate(model.value.propose(t)) if len(w) > 1 and noises(w, t, most)] if len(t) > 2 else []
-            yield pd.DataFrame(rows, columns=["token", "proposed", "first", "last", "rank"])
+            rows = [x for t in batch["token"] if len(t) > 2 for x in proposals(t)]
+            yield pd.DataFrame(rows, columns=["token", "proposed", "first", "last", "hyphened", "rank"])
 
     if model is None:
-        return tokens.sparkSession.createDataFrame([], "token string, proposed string, first int, last int")
-    found = tokens.select("token").distinct().mapInPandas(run, "token string, proposed string, first int, last int, rank int")
+        return tokens.sparkSession.createDataFrame([], "token string, proposed string, first int, last int, hyphened boolean")
+    found = tokens.select("token").distinct().mapInPandas(run, "token string, proposed string, first int, last int, hyphened boolean, rank int")
     real = found.join(words.select(F.col("word").alias("proposed")), "proposed", "left_semi")
-    return real.groupBy("token").agg(F.min_by(F.struct("proposed", "first", "last"), "rank").alias("x")).select("token", "x.*")
+    return real.groupBy("token").agg(F.min_by(F.struct("proposed", "first", "last", "hyphened"), "rank").alias("x")).select("token", "x.*")
 
 
 def sifted(suspects: DataFrame, words: DataFrame) -> DataFrame:
@@ -182,13 +198,13 @@ def judged(raw: DataFrame, cleaned: DataFrame | None) -> DataFrame:
     """Suspects with their verdict: (tbl, page_id, line_no, next_no, kind, token, at, word, first, last)."""
     words = cut(vocabulary(raw))
     spark = raw.sparkSession
-    sample = tuple(r[0] for r in words.where("length(word) > 1 and not contains(word, '-')").orderBy(F.desc("n"), "word").limit(EDITOR_WORDS).collect())
+    sample = tuple(r[0] for r in words.where("length(word) > 1").orderBy(F.desc("n"), "word").limit(EDITOR_WORDS).collect())
     known = spark.sparkContext.broadcast(frozenset(r[0] for r in words.select("word").collect())) if words.count() <= KNOWN_WORDS else None
     rows = texts(raw, cleaned)
     all_suspects = rows.mapInPandas(_scan(known), SUSPECTS)
     all_suspects = cut(all_suspects if known is not None else sifted(all_suspects, words))
     unknown = all_suspects.join(words.select(F.col("word").alias("token")), "token", "left_anti")
-    fixed = corrections(unknown, words, sample).select(F.col("token").alias("t"), "proposed", "first", "last")
+    fixed = corrections(unknown, words, sample).where("not hyphened").select(F.col("token").alias("t"), "proposed", "first", "last")
     plainly = words.select(F.col("word").alias("v"))
     compounds = words.select(F.col("word").alias("c"))
     x = all_suspects.join(plainly, F.col("token") == F.col("v"), "left").where("not (kind in ('w', 'b') and v is not null)")
@@ -215,7 +231,7 @@ def _key(line: Column) -> Column:
 
 def page_lines(rows: DataFrame, edges_only: bool = False) -> DataFrame:
     """Every line that isn't blank, with its place among them from the top (i) and from the bottom (j)."""
-    numbered = F.transform(F.split("text", "\n"), lambda x, k: F.struct((k + 1).alias("line_no"), F.trim(x).alias("line")))
+    numbered = F.transform(F.split("text", "\n"), lambda x, k: F.struct((k + 1).alias("line_no"), stripped(x).alias("line")))
     full = F.filter(numbered, lambda x: x["line"] != "")
     one = rows.select("tbl", "page_id", "doc_id", "page_num", full.alias("full")).withColumn("n", F.size("full"))
     above = lambda k: F.when(k > 0, F.get("full", k - 1)["line"])
@@ -233,6 +249,28 @@ def _bucket(x: Column, *edges: float) -> Column:
     return F.coalesce(out, F.lit(0)).cast("string")
 
 
+#: The forms in which a line holds nothing but a number of up to four digits, or a Roman one.
+NUMBER_FORMS = (
+    ("plain", "^\\d{1,4}$"),
+    ("signs", "^(\\[ ?\\d{1,4} ?\\]|\\( ?\\d{1,4} ?\\)|[-–—~·•*] ?\\d{1,4} ?[-–—~·•*])$"),
+    ("of", "^\\d{1,4}( ?/ ?| of )\\d{1,4}$"),
+    ("word", "(?i)^(page|pages|p\\.|pg\\.?|seite|s\\.|página|sheet) ?\\d{1,4}( ?(/|of|von|de|sur) ?\\d{1,4})?$"),
+    ("roman", "^([ivxlc]{1,6}|[IVXLC]{1,6})$"),
+)
+
+
+def stripped(line: Column) -> Column:
+    """Without white space at both ends; a run of it inside is one space."""
+    return F.trim(F.regexp_replace(line, "[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}]+", " "))
+
+
+def number_form(line: Column) -> Column:
+    out = F.lit("none")
+    for name, pattern in reversed(NUMBER_FORMS):
+        out = F.when(line.rlike(pattern), name).otherwise(out)
+    return out
+
+
 def rated_lines(raw: DataFrame, rows: DataFrame) -> DataFrame:
     """Edge lines of scanned pages with their features."""
     pages = raw.select(F.lit("raw_pages").alias("tbl"), "page_id", "doc_id", "page_num", "extraction_method", F.col("raw_text").alias("text"))
@@ -262,74 +300,103 @@ def rated_lines(raw: DataFrame, rows: DataFrame) -> DataFrame:
         "shape": F.when(F.col("p").isNull(), "none").when(F.col("p_lines") < 5, "few").otherwise(_bucket(F.col("p_edge"), 0.5, 0.8, 0.95)), "start": start, "end": end,
         "words": _bucket(F.size(F.split("line", "\\s+")), 3, 5, 9, 13),
     }
+    form = number_form(F.col("line"))
+    label = F.col("above").rlike("^\\p{Lu}[\\p{L}]*( \\p{Ll}+){0,3}$") & (F.col("n") > 2)
+    under = F.when(label, "label").when(F.col("above").isNull(), "none").when(F.col("above").rlike("\\p{L}{3}"), "text").otherwise("other")
+    own = F.when(F.regexp_extract("line", "\\d+", 0) == F.col("page_num").cast("string"), "own").otherwise("other")
+    g = {"form": form, "pos": pos, "number": own, "under": under}
+    pairs = (("form", "pos"), ("form", "number"), ("pos", "number"), ("form", "under"), ("form", "under", "number"), ("form", "under", "pos"))
+    of_number = F.array(
+        F.lit("bias"), F.concat(F.lit("last="), F.when(F.col("j") == 0, under).otherwise("inside")), *[F.concat(F.lit(k + "="), v) for k, v in g.items()],
+        *(F.concat_ws("&", *(F.concat(F.lit(k + "="), g[k]) for k in pair)) for pair in pairs),
+    )
     names = [F.concat(F.lit(k + "="), v) for k, v in f.items()]
     both = [F.concat_ws("&", *(F.concat(F.lit(k + "="), f[k]) for k in pair)) for pair in (("edge", "start"), ("rep", "edge"), ("share", "edge"), ("rep", "start"), ("shape", "pos"), ("most", "start"), ("end", "words"), ("rep", "edge", "start"))]
     repeated = (F.coalesce("pages", F.lit(1)) > 1) | (F.coalesce("docs", F.lit(1)) > 1) | (F.coalesce("p_edge", F.lit(0.0)) > 0.9)
     letters = F.length(F.regexp_replace("line", NO_LETTERS, ""))
-    return x.withColumn("features", F.array(F.lit("bias"), *names, *both)).withColumn("repeated", repeated).withColumn("letters", letters)
-
-
-#: Lines of no page in particular, that the model knows from the start: features, whether furniture.
-KNOWN_LINES = (
-    ("T0", "5", "4", "4", "3", "4", "none", "upper", "open", "2", True), ("B0", "5", "4", "4", "3", "4", "none", "upper", "open", "2", True), ("B1", "3", "3", "2", "2", "3", "none", "upper", "open", "3", True),
-    ("T1", "4", "3", "3", "3", "4", "3", "numbered", "open", "1", True), ("T0", "2", "2", "4", "3", "4", "3", "numbered", "open", "1", True), ("T1", "1", "1", "4", "3", "3", "none", "heading", "open", "1", False),
-    ("T2", "2", "2", "4", "3", "4", "none", "heading", "open", "1", False), ("T0", "1", "1", "1", "0", "few", "none", "upper", "open", "3", False), ("B0", "1", "1", "1", "0", "few", "none", "lower", "stop", "2", False),
-    ("B1", "3", "2", "4", "2", "1", "none", "lower", "stop", "2", False), ("T3", "1", "1", "1", "0", "few", "none", "item", "open", "3", False), ("B2", "5", "4", "4", "3", "0", "none", "lower", "stop", "2", False),
-)
+    x = x.withColumn("form", form).withColumn("features", F.when(F.col("form") != "none", of_number).otherwise(F.array(F.lit("bias"), *names, *both)))
+    return x.withColumn("repeated", repeated).withColumn("letters", letters)
 
 
-def _of_known(line: tuple) -> list[str]:
-    f = dict(zip(("pos", "rep", "share", "docs", "most", "edge", "shape", "start", "end", "words"), line[:-1], strict=True))
-    both = ["&".join(f"{k}={f[k]}" for k in pair) for pair in (("edge", "start"), ("rep", "edge"), ("share", "edge"), ("rep", "start"), ("shape", "pos"), ("most", "start"), ("end", "words"), ("rep", "edge", "start"))]
-    return ["bias", *(f"{k}={v}" for k, v in f.items()), *both]
+HEADER, NUMBER_CLASS, BODY_CLASS = "header", "page_number", "body"
 
 
-def line_model(rated: DataFrame, raw: DataFrame, cleaned: DataFrame | None) -> dict[str, float]:
-    """Feature weights, learned from the edge lines of pages from which cleaning removed furniture.
+def taught_by_cleaning(rated: DataFrame, raw: DataFrame, cleaned: DataFrame) -> list[tuple[list[str], str, tuple[str, str]]]:
+    """Examples from the edge lines of pages from which cleaning removed furniture.
 
-    Cleaning was partial: a kind of line is taken for furniture if it is gone from at least the share ``REMOVED`` of
-    these pages and stands elsewhere too (a line that stands once is gone because a repair changed it).
+    Cleaning was partial: a kind of line is taken for a header if it is gone from at least the share ``REMOVED`` of
+    these pages and stands elsewhere too (a line that stands once is gone because a repair changed it).  A number is a
+    page number if it is gone from a page from which the page number was removed.
     """
-    examples = [(_of_known(k), k[-1], (True, False)) for k in KNOWN_LINES for _ in range(5)]
-    if cleaned is not None:
-        some = cleaned.where(F.array_contains("removed_elements", "header")).select(F.col("page_id").alias("c_page"), F.transform(F.split("cleaned_text", "\n"), lambda x: F.regexp_replace(x, NO_LETTERS, "")).alias("kept"))
-        sample = some.join(scanned(raw).select("page_id"), F.col("c_page") == F.col("page_id"), "left_semi").orderBy(F.xxhash64("c_page"), "c_page").limit(SAMPLE_PAGES)
-        lines = rated.where("tbl = 'raw_pages' and letters >= 3").join(sample, F.col("page_id") == F.col("c_page")).select("features", "repeated", F.coalesce("p", "h").alias("same"), ~F.array_contains("kept", F.regexp_replace("line", NO_LETTERS, "")).alias("gone"))
-        got = sorted((list(r[0]), r[1], r[2], r[3]) for r in lines.collect())
-        seen: dict[int, list[int]] = {}
-        for _, _, same, gone in got:
+    letters = lambda x: F.regexp_replace(x, NO_LETTERS, "")
+    lines = F.split("cleaned_text", "\n")
+    some = cleaned.where(F.arrays_overlap("removed_elements", F.array(F.lit(HEADER), F.lit(NUMBER_CLASS)))).select(
+        F.col("page_id").alias("c_page"), "removed_elements", F.transform(lines, letters).alias("kept"), F.transform(lines, lambda x: stripped(x)).alias("kept_lines")
+    )
+    sample = some.join(scanned(raw).select("page_id"), F.col("c_page") == F.col("page_id"), "left_semi").orderBy(F.xxhash64("c_page"), "c_page").limit(SAMPLE_PAGES)
+    x = rated.where("tbl = 'raw_pages'").join(sample, F.col("page_id") == F.col("c_page"))
+    of_number = F.col("form") != "none"
+    x = x.where(F.when(of_number, F.array_contains("removed_elements", NUMBER_CLASS)).otherwise((F.col("letters") >= 3) & F.array_contains("removed_elements", HEADER)))
+    gone = F.when(of_number, ~F.array_contains("kept_lines", F.col("line"))).otherwise(~F.array_contains("kept", letters(F.col("line"))))
+    got = sorted((list(r[0]), r[1], r[2], r[3], r[4]) for r in x.select("features", "repeated", F.coalesce("p", "h").alias("same"), gone.alias("gone"), of_number.alias("number")).collect())
+    seen: dict[int, list[int]] = {}
+    for _, _, same, gone_, number in got:
+        if not number:
             n = seen.setdefault(same, [0, 0])
-            n[0] += gone
+            n[0] += gone_
             n[1] += 1
-        examples += [(f, repeated and seen[same][0] >= REMOVED * seen[same][1], (True, False)) for f, repeated, same, _ in got]
-    model = Perceptron().fit(examples, epochs=8)
-    yes, no = model.weights.get(True, {}), model.weights.get(False, {})
-    return {f: yes.get(f, 0.0) - no.get(f, 0.0) for f in yes.keys() | no.keys()}
-
-
-NUMBER = "^(\\[ ?\\d{1,4} ?\\]|\\( ?\\d{1,4} ?\\)|[-–—~·•*] ?\\d{1,4} ?[-–—~·•*]|\\d{1,4}( ?/ ?| of )\\d{1,4}|(page|pages|p\\.|pg\\.?|seite|s\\.|página|sheet) ?\\d{1,4}( ?(/|of|von|de|sur) ?\\d{1,4})?|[ivxlc]{1,6}|[IVXLC]{1,6})$"
-PLAIN_NUMBER = "^\\d{1,4}$"
+    out = []
+    for f, repeated, same, gone_, number in got:
+        if number:
+            out.append((f, NUMBER_CLASS if gone_ else BODY_CLASS, (NUMBER_CLASS, BODY_CLASS)))
+        else:
+            out.append((f, HEADER if repeated and seen[same][0] >= REMOVED * seen[same][1] else BODY_CLASS, (HEADER, BODY_CLASS)))
+    return out
 
 
-def page_numbers(lines: DataFrame) -> DataFrame:
-    """Lines at the very edge of a page that hold only its number; a number under a short label is content."""
-    line = F.regexp_replace("line", "[\\s\\p{Z}]+", " ")
-    outer = (F.col("i") == 0) | (F.col("j") == 0)
-    label = (F.col("j") == 0) & F.col("above").rlike("^\\p{Lu}[\\p{L}]*( \\p{Ll}+){0,3}$") & (F.col("n") > 2)
-    sure = line.rlike(f"(?i){NUMBER}")
-    bare_number = line.rlike(PLAIN_NUMBER) & ~label
-    return lines.where(outer & (sure | bare_number)).select("tbl", "page_id", "line_no")
+def taught_by_repetition(rated: DataFrame) -> list[tuple[list[str], str, tuple[str, str]]]:
+    """Examples where nothing was cleaned: a header is a line on most pages of its document and nearly always at an edge,
+    body a line that stands once or elsewhere as often; a page number is a decorated or worded number at the very edge, a
+    bare one under a label is content.
+    """
+    label, outer = F.array_contains("features", "last=label"), (F.col("i") == 0) | (F.col("j") == 0)
+    number = F.when(F.col("form") == "none", None).when(outer & ~((F.col("form") == "plain") & label), NUMBER_CLASS).otherwise(BODY_CLASS)
+    line = F.when((F.col("form") != "none") | (F.col("letters") < 3), None).when((F.col("pages") * 2 >= F.col("of_pages")) & (F.col("edge") > 0.9), HEADER).when(~F.col("repeated") | (F.col("edge") < 0.5), BODY_CLASS)
+    marked = rated.where("tbl = 'raw_pages'").select("page_id", "line_no", "features", number.alias("n"), line.alias("l")).where("n is not null or l is not null")
+    rows = marked.orderBy(F.xxhash64("page_id", "line_no"), "page_id", "line_no").limit(SAMPLE_PAGES).collect()
+    return [(list(r.features), r.n or r.l, (NUMBER_CLASS if r.n else HEADER, BODY_CLASS)) for r in rows]
+
+
+def line_model(rated: DataFrame, raw: DataFrame, cleaned: DataFrame | None) -> dict[str, dict[str, float]]:
+    """Feature weights of headers and of page numbers against the body."""
+    examples = taught_by_cleaning(rated, raw, cleaned) if cleaned is not None else []
+    kinds = {k for _, k, _ in examples}
+    if not {HEADER, NUMBER_CLASS} <= kinds:
+        examples += [x for x in taught_by_repetition(rated) if x[2][0] not in kinds]
+    out = {}
+    for kind in (HEADER, NUMBER_CLASS):
+        w = Perceptron().fit([x for x in examples if x[2][0] == kind], epochs=8, strict=True).weights
+        yes, no = w.get(kind, {}), w.get(BODY_CLASS, {})
+        out[kind] = {f: yes.get(f, 0.0) - no.get(f, 0.0) for f in yes.keys() | no.keys()}
+    return out
 
 
 def furniture(raw: DataFrame, cleaned: DataFrame | None, rows: DataFrame) -> DataFrame:
     """(tbl, page_id, line_no, kind) of running headers and footers and of page numbers."""
-    rated = cut(rated_lines(raw, rows).select("tbl", "page_id", "line_no", "line", "above", "n", "i", "j", "features", "repeated", "letters", "h", "p"))
+    kept = ("tbl", "page_id", "line_no", "line", "i", "j", "features", "repeated", "letters", "form", "h", "p", "pages", "of_pages", "edge")
+    rated = cut(rated_lines(raw, rows).select(*kept))
     weights = line_model(rated, raw, cleaned)
-    table = F.create_map(*[F.lit(x) for kv in sorted(weights.items()) for x in kv])
-    score = F.aggregate("features", F.lit(0.0), lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(0.0)))
-    numbers = page_numbers(rated)
-    headers = rated.where((F.col("letters") >= 3) & F.col("repeated") & (score > 0)).join(numbers, ["tbl", "page_id", "line_no"], "left_anti").select("tbl", "page_id", "line_no")
-    return headers.withColumn("kind", F.lit("header")).unionByName(numbers.withColumn("kind", F.lit("page_number")))
+
+    def score(kind: str) -> Column:
+        pairs = [F.lit(x) for kv in sorted(weights[kind].items()) for x in kv]
+        if not pairs:
+            return F.lit(-1.0)
+        table = F.create_map(*pairs)
+        return F.aggregate("features", F.lit(0.0), lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(0.0)))
+
+    number = F.col("form") != "none"
+    kind = F.when(number & (score(NUMBER_CLASS) > 0), NUMBER_CLASS).when(~number & (F.col("letters") >= 3) & F.col("repeated") & (score(HEADER) > 0), HEADER)
+    return rated.select("tbl", "page_id", "line_no", kind.alias("kind")).where("kind is not null")
 
 
 def found(raw: DataFrame, cleaned: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ class Perceptron:
     def __init__(self) -> None:
         self.weights: dict[object, dict[str, float]] = {}
 
-    def fit(self, examples: list[tuple[list[str], object, tuple]], epochs: int = 4, seed: int = 3) -> Perceptron:
-        """examples: features, right class, classes allowed."""
+    def fit(self, examples: list[tuple[list[str], object, tuple]], epochs: int = 4, seed: int = 3, strict: bool = False) -> Perceptron:
+        """examples: features, right class, classes allowed; if strict, the right class must be ahead, a tie is a mistake."""
         now: dict = defaultdict(lambda: defaultdict(float))
         total: dict = defaultdict(lambda: defaultdict(float))
         stamp: dict = defaultdict(lambda: defaultdict(int))
@@ -32,7 +32,7 @@ class Perceptron:
             for k in order:
                 features, right, allowed = examples[k]
                 step += 1
-                best = max(allowed, key=lambda c: (sum(now[c][f] for f in features), str(c)))
+                best = max(allowed, key=lambda c: (sum(now[c][f] for f in features), strict and c != right, str(c)))
                 if best != right:
                     for c, sign in ((right, 1.0), (best, -1.0)):
                         for f in features:
@@ -53,13 +53,18 @@ def _features(word: str, i: int) -> list[str]:
     return [c, f"-1{at(i - 1)}{c}", f"+1{c}{at(i + 1)}", f"3{at(i - 1)}{c}{at(i + 1)}", f"-2{at(i - 2)}{at(i - 1)}{c}", f"+2{c}{at(i + 1)}{at(i + 2)}", f"5{at(i - 2)}{at(i - 1)}{c}{at(i + 1)}{at(i + 2)}"]
 
 
+#: A line break inside a word, as the editor reads it.
+BREAK = "\n"
+
+
 class Editor:
-    """For each character read: keep it, delete it, replace it or insert beside it, as learned from noised words."""
+    """For each character read: keep it, delete it, replace it, insert beside it or, at a line break, join the lines with or
+    without a hyphen, as learned from broken and noised words; compounds show where a hyphen stays."""
 
-    #: Noised words that training takes at most, dealt over the words.
-    EXAMPLES = 12_000
+    #: Noised words that training takes at most, dealt over the words; broken forms of each word.
+    EXAMPLES, BROKEN = 12_000, 2
 
-    def __init__(self, words: list[str], seed: int = 11) -> None:
+    def __init__(self, words: list[str], compounds: list[str] = (), seed: int = 11) -> None:
         rng = random.Random(seed)
         noised = min(15, max(2, self.EXAMPLES // max(1, len(words))))
         self.outputs: dict[str, set[str]] = defaultdict(set)
@@ -68,10 +73,19 @@ class Editor:
             examples.append((word, list(word)))
             for _ in range(noised):
                 examples.append(self._noise(word, rng))
+        apart = random.Random(seed + 1)
+        for word in words:
+            for k in range(self.BROKEN if len(word) > 1 else 0):
+                read, out = self._noise(word, apart) if k else (word, list(word))
+                at = apart.randrange(1, max(2, len(read)))
+                examples.append((read[:at] + BREAK + read[at:], [*out[:at], "", *out[at:]]))
+        for word in compounds:
+            for at in (i for i, c in enumerate(word) if c == "-"):
+                examples.append((word[:at] + BREAK + word[at + 1 :], list(word)))
         for read, out in examples:
             for c, o in zip(read, out, strict=True):
                 self.outputs[c].add(o)
-        allowed = {c: tuple(sorted(o | {c})) for c, o in self.outputs.items()}
+        allowed = {c: tuple(sorted(o | {c})) for c, o in self.outputs.items()} | {BREAK: ("", "-")}
         rows = [(_features(read, i), o, allowed[read[i]]) for read, out in examples for i, o in enumerate(out) if len(allowed[read[i]]) > 1]
         self.model = Perceptron().fit(rows, epochs=3, seed=seed)
         self.allowed = allowed
@@ -97,7 +111,11 @@ class Editor:
         return read, out
 
     def propose(self, token: str, beam: int = 24) -> list[tuple[str, int, int]]:
-        """(word, first edit, last edit) of the best rated edited forms, the token itself left out."""
+        """(word, first edit, last edit) of the best rated edited forms, the token itself left out.
+
+        Edits are counted without the join of lines, their places without the break.
+        """
+        past = token.find(BREAK) if BREAK in token else len(token)
         states: list[tuple[float, str, int, int, int]] = [(0.0, "", -1, -1, 0)]
         for i, c in enumerate(token):
             f = _features(token, i)
@@ -106,10 +124,11 @@ class Editor:
             new = []
             for s, text, first, last, n in states:
                 for w, o in options:
-                    if o == c:
+                    if o == c or c == BREAK:
                         new.append((s + w - top, text + o, first, last, n))
                     elif n < 5:
-                        new.append((s + w - top - 0.5, text + o, i if first < 0 else first, i, n + 1))
+                        at = i - (i > past)
+                        new.append((s + w - top - 0.5, text + o, at if first < 0 else first, at, n + 1))
             new.sort(key=lambda x: -x[0])
             states = new[:beam]
         seen, out = {token}, []
