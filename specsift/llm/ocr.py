@@ -261,7 +261,8 @@ NUMBER_FORMS = (
 
 def stripped(line: Column) -> Column:
     """Without white space at both ends; a run of it inside is one space."""
-    return F.trim(F.regexp_replace(line, "[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}]+", " "))
+    plain = (F.octet_length(line) == F.length(line)) & ~F.contains(line, F.lit("  ")) & ~line.rlike("[\\x00-\\x1f]")
+    return F.trim(F.when(plain, line).otherwise(F.regexp_replace(line, "[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}]+", " ")))
 
 
 def number_form(line: Column) -> Column:
@@ -288,34 +289,32 @@ def rated_lines(raw: DataFrame, rows: DataFrame) -> DataFrame:
     x = x.join(doc_pages.select(F.col("doc_id").alias("d2"), "of_pages"), F.col("doc_id").eqNullSafe(F.col("d2")), "left")
     x = x.join(docs.join(place, "h").select(F.col("h").alias("h3"), "docs", "most", "lines", "edge"), F.col("h") == F.col("h3"), "left")
     x = x.join(shapes.select(F.col("p").alias("p4"), "p_lines", "p_edge"), F.col("p") == F.col("p4"), "left")
-    pos = F.when(F.col("i") < EDGE, F.concat(F.lit("T"), F.col("i"))).otherwise(F.concat(F.lit("B"), F.col("j")))
+    repeated = (F.coalesce("pages", F.lit(1)) > 1) | (F.coalesce("docs", F.lit(1)) > 1) | (F.coalesce("p_edge", F.lit(0.0)) > 0.9)
+    x = x.withColumn("repeated", repeated).withColumn("letters", F.length(F.regexp_replace("line", NO_LETTERS, "")))
+    x = x.withColumn("form", number_form(F.col("line"))).withColumn("pos", F.when(F.col("i") < EDGE, F.concat(F.lit("T"), F.col("i"))).otherwise(F.concat(F.lit("B"), F.col("j"))))
+    label = F.col("above").rlike("^\\p{Lu}[\\p{L}]*( \\p{Ll}+){0,3}$") & (F.col("n") > 2)
+    under = F.when(label, "label").when(F.col("above").isNull(), "none").when(F.col("above").rlike("\\p{L}{3}"), "text").otherwise("other")
+    own = F.when(F.regexp_extract("line", "\\d+", 0) == F.col("page_num").cast("string"), "own").otherwise("other")
     start = (
         F.when(F.col("line").rlike("^\\d+(\\.\\d+)+ "), "heading").when(F.col("line").rlike("^[-•*+] ?\\S*\\d+:|^[-•+] "), "item").when(F.col("line").rlike("^\\W*\\p{Ll}"), "lower")
         .when(numbered, "numbered").when(F.col("line").rlike("^\\W*\\p{Lu}"), "upper").otherwise("other")
     )
-    end = F.when(F.col("line").rlike("[.!?:;,]$"), "stop").otherwise("open")
-    f = {
-        "pos": pos, "rep": _bucket(F.col("pages"), 1, 2, 3, 5, 8), "share": _bucket(F.col("pages") / F.col("of_pages"), 0.02, 0.1, 0.2, 0.4), "docs": _bucket(F.col("docs"), 1, 2, 5, 20),
-        "most": _bucket(F.col("most"), 2, 4, 8), "edge": F.when(F.col("lines") < 2, "few").otherwise(_bucket(F.col("edge"), 0.3, 0.6, 0.85, 0.97)),
-        "shape": F.when(F.col("p").isNull(), "none").when(F.col("p_lines") < 5, "few").otherwise(_bucket(F.col("p_edge"), 0.5, 0.8, 0.95)), "start": start, "end": end,
-        "words": _bucket(F.size(F.split("line", "\\s+")), 3, 5, 9, 13),
+    of_line = {
+        "rep": _bucket(F.col("pages"), 1, 2, 3, 5, 8), "share": _bucket(F.col("pages") / F.col("of_pages"), 0.02, 0.1, 0.2, 0.4), "docs": _bucket(F.col("docs"), 1, 2, 5, 20),
+        "most": _bucket(F.col("most"), 2, 4, 8), "edge_share": F.when(F.col("lines") < 2, "few").otherwise(_bucket(F.col("edge"), 0.3, 0.6, 0.85, 0.97)),
+        "shape": F.when(F.col("p").isNull(), "none").when(F.col("p_lines") < 5, "few").otherwise(_bucket(F.col("p_edge"), 0.5, 0.8, 0.95)), "start": start,
+        "end": F.when(F.col("line").rlike("[.!?:;,]$"), "stop").otherwise("open"), "words": _bucket(F.size(F.split("line", " ")), 3, 5, 9, 13),
     }
-    form = number_form(F.col("line"))
-    label = F.col("above").rlike("^\\p{Lu}[\\p{L}]*( \\p{Ll}+){0,3}$") & (F.col("n") > 2)
-    under = F.when(label, "label").when(F.col("above").isNull(), "none").when(F.col("above").rlike("\\p{L}{3}"), "text").otherwise("other")
-    own = F.when(F.regexp_extract("line", "\\d+", 0) == F.col("page_num").cast("string"), "own").otherwise("other")
-    g = {"form": form, "pos": pos, "number": own, "under": under}
-    pairs = (("form", "pos"), ("form", "number"), ("pos", "number"), ("form", "under"), ("form", "under", "number"), ("form", "under", "pos"))
-    of_number = F.array(
-        F.lit("bias"), F.concat(F.lit("last="), F.when(F.col("j") == 0, under).otherwise("inside")), *[F.concat(F.lit(k + "="), v) for k, v in g.items()],
-        *(F.concat_ws("&", *(F.concat(F.lit(k + "="), g[k]) for k in pair)) for pair in pairs),
-    )
-    names = [F.concat(F.lit(k + "="), v) for k, v in f.items()]
-    both = [F.concat_ws("&", *(F.concat(F.lit(k + "="), f[k]) for k in pair)) for pair in (("edge", "start"), ("rep", "edge"), ("share", "edge"), ("rep", "start"), ("shape", "pos"), ("most", "start"), ("end", "words"), ("rep", "edge", "start"))]
-    repeated = (F.coalesce("pages", F.lit(1)) > 1) | (F.coalesce("docs", F.lit(1)) > 1) | (F.coalesce("p_edge", F.lit(0.0)) > 0.9)
-    letters = F.length(F.regexp_replace("line", NO_LETTERS, ""))
-    x = x.withColumn("form", form).withColumn("features", F.when(F.col("form") != "none", of_number).otherwise(F.array(F.lit("bias"), *names, *both)))
-    return x.withColumn("repeated", repeated).withColumn("letters", letters)
+    of_number = {"number": own, "under": under}
+    no_number = F.col("form") == "none"
+    x = x.withColumns({k: F.when(no_number, v) for k, v in of_line.items()} | {k: F.when(~no_number, v) for k, v in of_number.items()})
+    joined = lambda *names: F.concat_ws("&", *(F.concat(F.lit(k + "="), F.col(k)) for k in names))
+    line_pairs = (("edge_share", "start"), ("rep", "edge_share"), ("share", "edge_share"), ("rep", "start"), ("shape", "pos"), ("most", "start"), ("end", "words"), ("rep", "edge_share", "start"))
+    number_pairs = (("form", "pos"), ("form", "number"), ("pos", "number"), ("form", "under"), ("form", "under", "number"), ("form", "under", "pos"))
+    last = F.concat(F.lit("last="), F.when(F.col("j") == 0, F.col("under")).otherwise("inside"))
+    line_features = F.array(F.lit("bias"), joined("pos"), *(joined(k) for k in of_line), *(joined(*names) for names in line_pairs))
+    number_features = F.array(F.lit("bias"), last, joined("form"), joined("pos"), *(joined(k) for k in of_number), *(joined(*names) for names in number_pairs))
+    return x.withColumn("features", F.when(no_number, line_features).otherwise(number_features))
 
 
 HEADER, NUMBER_CLASS, BODY_CLASS = "header", "page_number", "body"
