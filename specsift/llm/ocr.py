@@ -288,7 +288,9 @@ def rated_lines(raw: DataFrame, rows: DataFrame) -> DataFrame:
     x = x.join(per_doc.select(F.col("doc_id").alias("d1"), F.col("h").alias("h1"), "pages"), (F.col("h") == F.col("h1")) & F.col("doc_id").eqNullSafe(F.col("d1")), "left")
     x = x.join(doc_pages.select(F.col("doc_id").alias("d2"), "of_pages"), F.col("doc_id").eqNullSafe(F.col("d2")), "left")
     x = x.join(docs.join(place, "h").select(F.col("h").alias("h3"), "docs", "most", "lines", "edge"), F.col("h") == F.col("h3"), "left")
-    x = x.join(shapes.select(F.col("p").alias("p4"), "p_lines", "p_edge"), F.col("p") == F.col("p4"), "left")
+    # lines without a prefix, which are most, are spread over all tasks by a key of their own
+    x = x.withColumn("at", F.coalesce("p", F.xxhash64("page_id", "line_no", "tbl")))
+    x = x.join(shapes.select(F.col("p").alias("p4"), "p_lines", "p_edge"), (F.col("at") == F.col("p4")) & F.col("p").isNotNull(), "left")
     repeated = (F.coalesce("pages", F.lit(1)) > 1) | (F.coalesce("docs", F.lit(1)) > 1) | (F.coalesce("p_edge", F.lit(0.0)) > 0.9)
     x = x.withColumn("repeated", repeated).withColumn("letters", F.length(F.regexp_replace("line", NO_LETTERS, "")))
     x = x.withColumn("form", number_form(F.col("line"))).withColumn("pos", F.when(F.col("i") < EDGE, F.concat(F.lit("T"), F.col("i"))).otherwise(F.concat(F.lit("B"), F.col("j"))))
@@ -332,7 +334,8 @@ def taught_by_cleaning(rated: DataFrame, raw: DataFrame, cleaned: DataFrame) ->
     some = cleaned.where(F.arrays_overlap("removed_elements", F.array(F.lit(HEADER), F.lit(NUMBER_CLASS)))).select(
         F.col("page_id").alias("c_page"), "removed_elements", F.transform(lines, letters).alias("kept"), F.transform(lines, lambda x: stripped(x)).alias("kept_lines")
     )
-    sample = some.join(scanned(raw).select("page_id"), F.col("c_page") == F.col("page_id"), "left_semi").orderBy(F.xxhash64("c_page"), "c_page").limit(SAMPLE_PAGES)
+    ids = some.select("c_page").join(scanned(raw).select("page_id"), F.col("c_page") == F.col("page_id"), "left_semi").orderBy(F.xxhash64("c_page"), "c_page").limit(SAMPLE_PAGES)
+    sample = some.join(F.broadcast(ids), "c_page", "left_semi")
     x = rated.where("tbl = 'raw_pages'").join(sample, F.col("page_id") == F.col("c_page"))
     of_number = F.col("form") != "none"
     x = x.where(F.when(of_number, F.array_contains("removed_elements", NUMBER_CLASS)).otherwise((F.col("letters") >= 3) & F.array_contains("removed_elements", HEADER)))
