@@ -1,13 +1,17 @@
 """Text decoded with the wrong character encoding: detection and repair.
 
 A multinomial naive Bayes classifier over hashed byte bigrams is trained on synthetically garbled records and predicts
-the exact encoding chain of each non-ASCII run of a line (runs of one line share their evidence).  The predicted chain
-is inverted and the inversion is kept only if it decodes strictly.  Training needs no corpus rows: the records are drawn
-from the character inventory below with a fixed seed, so the model is the same on the driver and at every data size.
+the exact encoding chain of each non-ASCII run of a line (runs of one line share their evidence), or that it is sound.
+The predicted chain is inverted and the inversion is kept only if it decodes strictly; if it doesn't, the next chain is
+taken, down to the class of sound text, which ends the search.  Inverted text is put to the classifier again.
+
+Records.  ``records`` are sound runs with their neighbours, drawn from the corpus (a bounded sample, see
+``encoding_pages.trained``); characters that a small corpus lacks are drawn from the inventory below.  Each is garbled by
+every chain.  The classes' priors are estimated by expectation maximisation over runs of the corpus as they stand.
 
 Defined results: null text gives (no case, null); empty or ASCII-only text is unchanged and no case; repeated rows are
 judged one by one; a run that holds U+FFFD is a case that can't be inverted (it is refilled where its context in the
-rest of the inventory names one character, else left as it is).
+rest of the corpus names one character, else left as it is).
 """
 
 from __future__ import annotations
@@ -33,11 +37,11 @@ CHAINS: tuple[tuple[str, ...], ...] = (
     ("cp1252",), ("latin-1",), ("cp1250",), ("cp1251",), ("cp437",), ("cp850",), ("mac-roman",), ("cp866",), ("koi8-r",),
     ("iso8859-15",), ("cp1254",), ("cp1252", "cp1252"), ("latin-1", "latin-1"), ("latin-1", "cp1252"), ("cp1252", "latin-1"), ("cp437", "cp437"),
 )
-#: Log priors: readings as Windows or ISO Latin are the usual ones, the last code pages of the list rare.
-PRIOR = tuple(0.0 if c in (("cp1252",), ("latin-1",)) else -4.0 if c[0] in ("cp866", "koi8-r", "iso8859-15", "cp1254") else -2.0 if len(c) == 1 else -3.0 for c in CHAINS) + (0.0, 0.0)
-CLEAN, LOSSY = len(CHAINS), len(CHAINS) + 1
-#: Readings whose characters are also runs of sound text: they need more evidence than a strict inversion.
-FREQUENT_AS_TEXT = ("cp866", "koi8-r", "mac-roman", "cp437", "cp850")
+#: Classes beside the chains: sound text, text with U+FFFD, Windows readings that dropped bytes their code page leaves undefined.
+CLEAN, LOSSY, DROPPED = len(CHAINS), len(CHAINS) + 1, len(CHAINS) + 2
+CLASSES = len(CHAINS) + 3
+#: Share of each class before any run was seen, as a number of runs: sound text is usual, so are the two western readings.
+PRIOR_RUNS = tuple(200.0 if c in (("cp1252",), ("latin-1",)) else 2.0 for c in CHAINS) + (2000.0, 20.0, 20.0)
 #: Invisible marks and spaces that stand beside sound characters.
 MARKS = "\u00a0\u2007\u202f\u200b\u200c\u200d\u2060\ufeff\u00ad"
 BUCKETS = 1 << 13
@@ -80,41 +84,67 @@ def features(run: str) -> np.ndarray:
     return (pair * 0x9E3779B1 >> 7) % BUCKETS
 
 
+def sound(run: str) -> bool:
+    """Whether no part of a run can be inverted by any chain, so that it can teach what sound text is."""
+    return "\ufffd" not in run and refill(run) is None and not any(invert(run[i:j], c) is not None for c in CHAINS for i in range(len(run)) for j in range(i + 2, min(len(run), i + PIECE) + 1))
+
+
 @dataclass
 class Garble:
-    """The trained classifier. ``copies`` bounds the synthetic records of a class and word."""
+    """The trained classifier.
+
+    ``records`` are sound runs in their context, ``seen`` runs as they stand, for the priors; ``copies`` bounds the
+    synthetic records of a class and inventory word.
+    """
 
     copies: int = 12
     seed: int = 7
+    records: tuple[str, ...] = ()
+    seen: tuple[str, ...] = ()
     logp: np.ndarray = field(init=False, repr=False)
+    prior: np.ndarray = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         rng = random.Random(self.seed)
-        counts = np.full((len(CHAINS) + 2, BUCKETS), 0.02)
-        for word in INVENTORY:
-            for _ in range(self.copies):
-                text = rng.choice(" e\n“") + word + rng.choice(" s.,\n")
-                for k, chain in enumerate(CHAINS):
-                    np.add.at(counts[k], features(garble(text, chain)), 1)
-                np.add.at(counts[CLEAN], features(text), 1)
-                mark = rng.choice(MARKS)
-                np.add.at(counts[CLEAN], features(mark + text.strip() + mark), 0.2)
-                np.add.at(counts[LOSSY], features(RUN.sub("�", text)), 1)
+        counts = np.full((CLASSES, BUCKETS), 0.02)
+        texts = [rng.choice(" e\n“") + word + rng.choice(" s.,\n") for word in INVENTORY for _ in range(self.copies)]
+        for text in [*texts, *self.records]:
+            for k, chain in enumerate(CHAINS):
+                np.add.at(counts[k], features(garble(text, chain)), 1)
+            np.add.at(counts[CLEAN], features(text), 1)
+            np.add.at(counts[LOSSY], features(RUN.sub("\ufffd", text)), 1)
+            if (lost := garble(text, ("cp1252",)).translate(NO_UNDEFINED)) != garble(text, ("cp1252",)):
+                np.add.at(counts[DROPPED], features(lost), 1)
+        for text in texts:
+            mark = rng.choice(MARKS)
+            np.add.at(counts[CLEAN], features(mark + text.strip() + mark), 0.2)
         self.logp = np.log(counts / counts.sum(1, keepdims=True))
         self._cache: dict[str, np.ndarray] = {}
+        self.prior = np.log(np.array(PRIOR_RUNS) / sum(PRIOR_RUNS))
+        for _ in range(3 if self.seen else 0):
+            n = np.array(PRIOR_RUNS)
+            for run in self.seen:
+                s = self.logp[:, features(run)].sum(1) + self.prior
+                p = np.exp(s - s.max())
+                n += p / p.sum()
+            self.prior = np.log(n / n.sum())
 
     def scores(self, run: str) -> np.ndarray:
+        """Log likelihood and prior of each class."""
         got = self._cache.get(run)
         if got is None:
             if len(self._cache) > 50_000:
                 self._cache.clear()
-            got = self._cache[run] = self.logp[:, features(run)].sum(1) + PRIOR
+            got = self._cache[run] = self.logp[:, features(run)].sum(1) + self.prior
         return got
 
 
+#: The most characters that one character becomes: four bytes, of which each becomes three when read twice.
+PIECE = 12
 #: Characters whose last byte may have been dropped, likeliest first; and bytes that some decoders drop because their code page leaves them undefined.
 CLOSERS = "”‑‐"
-DROPPED = b"\x81\x8d\x8f\x90\x9d"
+UNDEFINED = b"\x81\x8d\x8f\x90\x9d"
+NO_UNDEFINED = dict.fromkeys(UNDEFINED)
 
 
 def refill(run: str, codec: str = "cp1252") -> str | None:
@@ -127,7 +157,7 @@ def refill(run: str, codec: str = "cp1252") -> str | None:
     if not (len(raw) >= 2 and raw[-2] in (0xE2, 0xE1, 0xE3) and 0x80 <= raw[-1] < 0xC0):
         return None
     fits = []
-    for extra in DROPPED:
+    for extra in UNDEFINED:
         try:
             text = (raw + bytes([extra])).decode("utf-8")
         except UnicodeDecodeError:
@@ -159,7 +189,7 @@ class Repair:
         if judged is None:
             if len(self._judged) > 100_000:
                 self._judged.clear()
-            total = sum((self.model.scores(x) for x in key), np.zeros(len(CHAINS) + 2))
+            total = sum((self.model.scores(x) for x in key), np.zeros(CLASSES))
             each = [self._run(m.group(), ctx, total) for m, ctx in zip(runs, key, strict=True)]
             judged = self._judged[key] = ([x for x, _ in each], any(b for _, b in each))
         fixed, bad = judged
@@ -171,49 +201,45 @@ class Repair:
             last = m.end()
         return "".join([*out, line[last:]]), True
 
-    def _run(self, run: str, ctx: str, total: np.ndarray) -> tuple[str, bool]:
-        own = self.model.scores(ctx)
-        if "�" in run:
+    def _run(self, run: str, ctx: str, total: np.ndarray, depth: int = 2) -> tuple[str, bool]:
+        """The run inverted by the likeliest class that can be, and whether one likelier than sound text could."""
+        if "\ufffd" in run:
             return run, True
-        by = own + 0.25 * (total - own)
-        for k in np.argsort(-by):
-            if k >= CLEAN or (by[k] < by[CLEAN] and CHAINS[k][0] in FREQUENT_AS_TEXT):
-                continue
-            got = invert(run, CHAINS[k])
-            if got is not None and plausible(got):
-                return self._again(got), True
-        if len(run) > 1:
-            if (got := refill(run)) is not None:
-                return got, True
-            if (got := self._parts(run)) is not None:
-                return got, True
-        return run, False
-
-    def _again(self, text: str) -> str:
-        """A reading that was itself garbled: inverted until no run of it can be."""
-        for _ in range(2):
-            fixed = RUN.sub(lambda m: next((g for c in CHAINS[:2] if len(m.group()) > 1 and (g := invert(m.group(), c)) is not None and plausible(g)), m.group()), text)
-            if fixed == text:
+        own = self.model.scores(ctx)
+        for k in np.argsort(-(own + 0.25 * (total - own)), kind="stable"):
+            if k == CLEAN:
                 break
-            text = fixed
-        return text
+            got = None if k == LOSSY else refill(run) if k == DROPPED else self._inverted(run, CHAINS[k])
+            if got is not None:
+                return (self._again(got, depth - 1) if depth else got), True
+        return run, False
 
-    def _parts(self, run: str) -> str | None:
-        """A run of garbled and sound characters side by side: the longest invertible pieces, from the left."""
+    def _inverted(self, run: str, chain: tuple[str, ...]) -> str | None:
+        """The run before a chain; if sound characters stand among garbled ones, they stay."""
+        got = invert(run, chain)
+        if got is not None:
+            return got if plausible(got) else None
         out, i, hit = [], 0, False
         while i < len(run):
-            for j in range(min(len(run), i + 12), i + 1, -1):
-                piece = run[i:j]
-                got = next((g for c in CHAINS[:2] + CHAINS[4:7] + CHAINS[2:4] + CHAINS[11:] if (g := invert(piece, c)) is not None and plausible(g)), None)
-                if got is not None:
-                    out.append(got)
-                    i, hit = j, True
-                    break
-            else:
+            piece = next((g for j in range(min(len(run), i + PIECE), i + 1, -1) if (g := invert(run[i:j], chain)) is not None and plausible(g)), None)
+            if piece is None:
                 out.append(run[i])
                 i += 1
+                continue
+            j = next(j for j in range(min(len(run), i + PIECE), i + 1, -1) if invert(run[i:j], chain) == piece)
+            out.append(piece)
+            i, hit = j, True
         return "".join(out) if hit else None
 
+    def _again(self, text: str, depth: int) -> str:
+        """A reading that was itself garbled is put to the classifier again."""
+
+        def one(m: re.Match) -> str:
+            ctx = text[max(0, m.start() - 1) : m.end() + 1]
+            return self._run(m.group(), ctx, self.model.scores(ctx), depth)[0]
+
+        return RUN.sub(one, text)
+
     def text(self, text: str | None) -> tuple[str | None, bool]:
         if not text or (text.isascii() and not ENTITY.search(text)):
             return text, False

@@ -17,13 +17,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specsift.llm.encoding_pages import repair
+from specsift.llm.encoding_pages import trained
 from specsift.runtime import cut
 
 #: Letters from which on a key for comparisons takes a token of mixed script for a word.
@@ -157,8 +158,8 @@ def repaired(text: str, words: set[str]) -> str:
 SCAN = "tbl string, row_id bigint, garbled boolean, changed boolean, candidates array<string>"
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    fix = repair()
+def _scan(batches: Iterator[pd.DataFrame], model: Broadcast) -> Iterator[pd.DataFrame]:
+    fix = model.value
     for batch in batches:
         rows = []
         for tbl, k, text in zip(batch["tbl"], batch["row_id"], batch["text"], strict=True):
@@ -189,7 +190,8 @@ def vocabulary(rows: DataFrame, of: DataFrame) -> DataFrame:
 
 def scanned(rows: DataFrame) -> DataFrame:
     """The texts that change or hold tokens of mixed script: few against all texts, so they are kept for their uses."""
-    return cut(rows.where(F.octet_length("text") > F.length("text")).mapInPandas(_scan, SCAN))
+    model = trained(rows.where("tbl = 'raw_pages'"), "text")
+    return cut(rows.where(F.octet_length("text") > F.length("text")).mapInPandas(partial(_scan, model=model), SCAN))
 
 
 def found(pages: DataFrame, stories: DataFrame) -> DataFrame:

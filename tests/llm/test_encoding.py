@@ -70,3 +70,17 @@ def test_cache_gives_same_answer():
     lines = [garble(TEXT, ("cp1252",)), TEXT] * 2
     assert [a.line(x) for x in lines] == [b.line(x) for x in reversed(lines)][::-1]
     assert encoding.RUN.search(F.__name__) is None
+
+
+def test_records_teach_what_the_inventory_lacks():
+    lines = ["пояснение к смете", "Prüfstände für Öfen", "λόγος και έργο", "l’œuvre – déjà vu", "señales añadidas", "±12 µm at 5 °C", "zażółć gęślą jaźń"]
+    contexts = tuple(sorted({m for x in lines for m in encoding_pages.re.findall(encoding_pages.CONTEXT_RUN, x)}))
+    taught = Repair(model=Garble(records=contexts, seen=contexts))
+    held_out = ["к пояснению сметы", "für Prüfer", "και λόγος", "déjà – l’eau", "añadidas ±9 °C"]
+    restored = [taught.text(garble(x, c)) == (x, True) for x in held_out for c in CHAINS]
+    assert sum(restored) / len(restored) >= 0.95
+    assert all(taught.text(x) == (x, False) for x in [*lines, *held_out])
+
+
+def test_sound_runs_are_told_from_garbled_ones():
+    assert encoding.sound("’") and encoding.sound("ü") and not encoding.sound("Ã©") and not encoding.sound("x�") and not encoding.sound("é" + garble("’", ("cp1252",)))
