@@ -30,8 +30,6 @@ EMPTY_WORDS = {"a", "an", "the", "role", "actor", "user", "as", "of", "our", "an
 #: Words up to this length must match letter for letter, longer ones within one edit, long ones within two, from 12 letters on three.
 EXACT_UP_TO, ONE_UP_TO = 3, 5
 MIN_SCORE = 0.75
-#: A value written as one word may differ from a name by edits up to this length; no name is as long.
-WHOLE_UP_TO = 60
 
 
 def key(value: str) -> str:
@@ -50,10 +48,13 @@ def tokens(value: str) -> list[str]:
     return [t for t in found if t.strip(".") not in EMPTY_WORDS] or found
 
 
-def deletions(word: str) -> list[str]:
-    """The word and its forms with up to as many letters deleted as it may differ by."""
+def deletions(word: str, longest: int | None = None) -> list[str]:
+    """The word and its forms with up to as many letters deleted as it may differ by.
+
+    A word that is longer than the longest one it may be compared with by more letters than that differs from all.
+    """
     forms = {word}
-    for _ in range(tolerance(word) if len(word) <= WHOLE_UP_TO else 0):
+    for _ in range(tolerance(word) if longest is None or len(word) <= longest + tolerance(word) else 0):
         forms |= {w[:i] + w[i + 1 :] for w in forms for i in range(len(w))}
     return sorted(forms)
 
@@ -104,7 +105,7 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def value_forms(values: DataFrame) -> DataFrame:
+def value_forms(values: DataFrame, longest: int) -> DataFrame:
     """(value, n, pos, token, whole, form) of each token of each distinct value, and of the value written as one word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,10 +115,10 @@ def value_forms(values: DataFrame) -> DataFrame:
                 t = tokens(v)
                 for i, x in enumerate(t):
                     bare = x.rstrip(".")
-                    forms = set(deletions(bare)) | ({bare + "."} if x.endswith(".") else set()) | ({bare[:-1]} if bare.endswith("s") else set()) | ({bare[:-2]} if bare.endswith("es") else set())
+                    forms = set(deletions(bare, longest)) | ({bare + "."} if x.endswith(".") else set()) | ({bare[:-1]} if bare.endswith("s") else set()) | ({bare[:-2]} if bare.endswith("es") else set())
                     rows += [(v, len(t), i, x, False, f) for f in sorted(forms)]
                 one = "".join(x.rstrip(".") for x in t)
-                rows += [(v, len(t), -1, one, True, f) for f in (deletions(one) if len(one) <= WHOLE_UP_TO else [one])]
+                rows += [(v, len(t), -1, one, True, f) for f in deletions(one, longest)]
             yield pd.DataFrame(rows, columns=["value", "n", "pos", "token", "whole", "form"])
 
     return dealt(values).mapInPandas(run, FORMS)
@@ -148,7 +149,8 @@ def name_forms(catalog: DataFrame) -> DataFrame:
 def mapped(values: DataFrame, catalog: DataFrame) -> DataFrame:
     """(value, meant) of the distinct values that mean an entry."""
     names = name_forms(catalog).select("actor_id", "variant", "code", F.col("n").alias("words"), "word", F.col("whole").alias("as_one"), F.col("form").alias("met"))
-    meet = value_forms(values).join(names, (F.col("form") == F.col("met")) & (F.col("whole") == F.col("as_one")))
+    longest = names.agg(F.max(F.length("word"))).first()[0] or 0
+    meet = value_forms(values, longest).join(names, (F.col("form") == F.col("met")) & (F.col("whole") == F.col("as_one")))
     pairs = meet.select("value", "n", "pos", "token", "whole", "actor_id", "variant", "words", "word", "code").distinct()
     pairs = dealt(pairs)
     near = F.pandas_udf(lambda a, b: pd.Series([similar(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")

@@ -7,7 +7,8 @@ at once; occurrences are located by walking to sampled suffix positions; and ove
 Words that no item holds are one symbol, and stretches of item words shorter than ``RUN`` can't hold a passage and are
 folded into it, so an index is small though every word of every text is read.
 
-The items are a stated evaluation set: their number is checked against ``MAX_ITEMS`` before they are sent to the tasks.
+The items are a stated evaluation set.  Their bytes are counted before they are sent to the tasks; sets of more than
+``ITEM_BYTES`` are dealt over several passes, each of which sends its share.
 
 Defined results: null and empty texts or items match nothing; items of fewer than ``RUN`` words match nothing; repeated
 documents are reported each; a passage that several items share is reported for each; a text of any length is searched
@@ -20,15 +21,18 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from specsift.llm.lookalikes import INVISIBLE, LATIN_OF
 
 RUN = 10
-MAX_ITEMS = 1_000_000
+#: Bytes of item texts that a pass sends to the tasks; windows and numbers take some 40 times as many there.
+ITEM_BYTES = 4_000_000
 SHARD_WORDS = 1_000_000
 SAMPLE = 8
 WORD = re.compile(r"[^\W_]+")
@@ -206,10 +210,15 @@ def search(shard: list[tuple[int, np.ndarray, np.ndarray]], items: Items) -> lis
 
 def spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, last_word): each passage of an item in a document, words counted from 0."""
-    rows = eval_items.select("item_id", "item_text").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items: search them in several sets")
-    items = Items(sorted((r[0], r[1]) for r in rows if r[1]))
+    told = eval_items.where("item_text is not null").select("item_id", "item_text")
+    parts = max(1, -(-(told.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0) // ITEM_BYTES))
+    passes = [_pass(documents, told.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(parts)) == p)) for p in range(parts)]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _pass(documents: DataFrame, told: DataFrame) -> DataFrame:
+    """The spans of a share of the items that may be sent to the tasks."""
+    items = Items(sorted((r[0], r[1]) for r in told.collect()))
     shared = documents.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

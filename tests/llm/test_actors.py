@@ -50,3 +50,16 @@ def test_long_words_within_three_edits(spark):
     assert A.tolerance("receptionist") == 3 and A.tolerance("technician") == 2
     got = {r.row_id: r.actor_id for r in A.found(*tables(spark, values)).collect()}
     assert got == {0: 1, 1: 1, 2: 0}
+
+
+def test_forms_of_values_longer_than_any_name():
+    assert A.deletions("a" * 30, 10) == ["a" * 30] and len(A.deletions("abcdefghijkl", 9)) > 200
+
+
+def test_long_names_are_met_within_their_edits(spark):
+    name = "Regional Coordinator of Harbour Maintenance Schedules and Equipment Returns"
+    catalog = spark.createDataFrame([(5, name, "RCH", None)], "actor_id bigint, actor_name string, short_form string, alt_names array<string>")
+    values = [name.replace(" ", "").replace("Maint", "Miant"), name.lower(), "x" * 200]
+    stories = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "story_uid bigint, role string")
+    models = spark.createDataFrame([], "model_id bigint, actors array<string>")
+    assert {r.row_id: r.actor_id for r in A.found(stories, models, catalog).collect()} == {0: 5, 1: 5, 2: 0}

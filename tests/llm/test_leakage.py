@@ -47,3 +47,11 @@ def test_index_equals_scan(text, phrase):
     w = L.WaveletMatrix(seq, 4)
     assert w.get(np.arange(len(seq))).tolist() == seq.tolist()
     assert [int(w.rank(np.array([2]), np.array([k]))[0]) for k in range(len(seq) + 1)] == [int((seq[:k] == 2).sum()) for k in range(len(seq) + 1)]
+
+
+def test_items_in_several_passes_give_the_same(spark, monkeypatch):
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(9)] + [(20, None), (21, "")]
+    docs = [(k, f"a {t} b" if t else t) for k, t in items] + [(30, " ".join(t for _, t in items if t))]
+    once = sorted(hits(spark, docs, items))
+    monkeypatch.setattr(L, "ITEM_BYTES", 100)
+    assert sorted(hits(spark, docs, items)) == once and len(once) == 18
