@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from specsift import lexicons as L
 
@@ -50,6 +53,17 @@ def fix_ligatures(c: Column | str) -> Column:
     return reduce(lambda x, p: F.replace(x, F.lit(chr(p[0])), F.lit(p[1])), pairs, col(c))
 
 
+@F.pandas_udf(StringType())
+def _nfc(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def fix_unicode(c: Column | str) -> Column:
+    """Composed characters and no ligatures; ASCII texts stay in the JVM's hands."""
+    c = col(c)
+    return fix_ligatures(F.when(F.octet_length(c) == F.length(c), c).otherwise(_nfc(c)))
+
+
 def count_tables(c: Column | str) -> Column:
     """A third of the lines with two or more bars or tabs."""
     rows = F.filter(lines(c), lambda x: (F.regexp_count(x, F.lit(r"\|")) >= 2) | (F.regexp_count(x, F.lit("\t")) >= 2))

@@ -10,6 +10,40 @@ VAGUE_TERMS = (
     ("etc.", "low"), ("e.g.", "low"), ("and/or", "low"), ("some", "low"), ("various", "low"), ("several", "low"), ("many", "low"),
 )
 WEAK_VERBS = ("should", "may", "could")
+#: Why a term is ambiguous and what to write instead, in scan order.
+ADVICE = {
+    "quickly": ("No measurable time constraint defined", "within [X] milliseconds/seconds"),
+    "fast": ("No measurable performance target defined", "with response time under [X]ms at the 95th percentile"),
+    "immediately": ("No specific time bound — 'immediately' is subjective", "within [X] seconds of the triggering event"),
+    "real-time": ("No latency bound defined for 'real-time'", "with updates pushed within [X] seconds"),
+    "large number": ("No specific quantity defined", "[specify exact count, e.g., 10,000 concurrent users]"),
+    "scalable": ("No scaling dimensions or limits defined", "supporting [X] to [Y] concurrent users with horizontal scaling"),
+    "user-friendly": ("Subjective usability claim without measurable criteria", "compliant with WCAG 2.1 AA, completable in [X] steps"),
+    "intuitive": ("Subjective UX claim — not testable", "new users complete [task] without training within [X] minutes"),
+    "appropriate": ("No criteria defining what 'appropriate' means", "[define specific validation rules or criteria]"),
+    "as needed": ("Trigger condition is undefined", "when [specific trigger condition occurs]"),
+    "if necessary": ("Decision criteria for necessity undefined", "when [specific condition] is met"),
+    "adequate": ("No measurable threshold for adequacy", "meeting [specific threshold or standard]"),
+    "sufficient": ("No quantitative sufficiency criteria", "at least [X] [units]"),
+    "reasonable": ("Subjective term without defined bounds", "within [X] to [Y] [units]"),
+    "easy to": ("Subjective ease-of-use claim", "completable in [X] steps or [Y] seconds"),
+    "easily": ("Subjective ease-of-use claim", "in [X] steps or fewer"),
+    "simple": ("Subjective complexity claim — not testable", "using a single [action/screen/step]"),
+    "flexible": ("No specific flexibility dimensions defined", "supporting [list specific configuration options]"),
+    "robust": ("No specific reliability/resilience criteria", "with [X]% uptime and automatic recovery from [failure types]"),
+    "seamless": ("Subjective integration/UX claim", "without requiring user re-authentication or data re-entry"),
+    "efficient": ("No measurable efficiency target", "completing [task] in under [X] seconds using [Y] resources"),
+    "etc.": ("Incomplete list — all items should be explicitly stated", "[list all remaining items explicitly]"),
+    "e.g.": ("Example given but exhaustive list may be needed", "[confirm if this is exhaustive or provide complete list]"),
+    "and/or": ("Ambiguous conjunction — unclear if both or either", "specify: 'A and B' or 'A or B' or 'A, B, or both'"),
+    "some": ("Vague quantifier", "[specify exact count or percentage]"),
+    "various": ("Vague quantifier — items not enumerated", "[list all specific items]"),
+    "several": ("Vague quantifier", "[specify exact count]"),
+    "many": ("Vague quantifier", "[specify exact count or range]"),
+    "should": ("'Should' implies optional — use 'shall' for mandatory requirements", "Replace 'should' with 'shall' if this is mandatory"),
+    "may": ("'May' implies optional permission — is this required?", "Replace 'may' with 'shall' if mandatory, or clarify as optional"),
+    "could": ("'Could' implies possibility, not requirement", "Replace 'could' with 'shall' if this is a requirement"),
+}
 NEGATIONS = ("not", "no", "never", "deny", "reject", "block", "restrict", "detain", "prohibit", "prevent", "absent", "fail", "cannot", "unauthorized", "prohibited", "restricted")
 CONTEXT_STOP = ("shall", "must", "will", "should", "system", "user", "permit", "allow", "authorize", "grant", "prohibit", "detain", "block", "deny", "reject", "restrict", "prevent")
 #: Groups of words for one concept; the first of a group stands for it.
@@ -23,9 +57,10 @@ VERB_CLASSES = {
     "present": "permit", "absent": "deny",
 }
 OBJECT_BOILERPLATE = (
-    "shall must will should system user automatically force ensure provide manage handle track support interface allow permit prohibit restrict be can remain valid for the and all with from after "
-    "before upon during that this have has its are not only"
-).split()
+    "shall", "must", "will", "should", "system", "user", "automatically", "force", "ensure", "provide", "manage", "handle", "track", "support", "interface", "allow", "permit",
+    "prohibit", "restrict", "be", "can", "remain", "valid", "for", "the", "and", "all", "with", "from", "after", "before", "upon", "during", "that", "this", "have", "has", "its",
+    "are", "not", "only",
+)
 ACTOR_ALIASES = (("cr", "Class Representative"), ("class representative", "Class Representative"), ("faculty member", "Faculty"), ("faculty", "Faculty"), ("admin", "Admin"), ("administrator", "Admin"))
 CONDITION_UNITS = "days|seconds|minutes|users|percent|ms|hours|transactions"
 CONDITION_VARIABLES = "attendance|marks|score|users|cpu|memory|storage|age|time|count|latency|delay|threshold|capacity"
@@ -59,6 +94,8 @@ REFERENCE = (r"^\s*\[\d+\]\s+\w", r"^\s*\d+\.\s+[A-Z][a-z]+")
 REFERENCE_HEAD = r"(?i)^\s*(references|bibliography)\s*$"
 TOC = r"^.{5,60}\.{4,}\s*\d+\s*$"
 FIGURE = r"(?i)fig(ure|\.)\s*\d+"
+PAGE_MARKER = r"<!-- (PAGE_\d+) -->"
+MARKDOWN_TABLE = r"(\n\|.*\|\n\|[-:| ]+\|\n(?:\|.*\|\n)+)"
 DECORATION = r"^[+\-=\s><|]+$"
 
 # Equation lines.
@@ -72,8 +109,13 @@ MATH = (
 )
 PHYSICS = "μεφηλρστα"
 OPERATORS = "=+-·*/^√"
-SUBSCRIPTS = "Vgs VGS V_GS Vth VT V_th Vt Id I_D IDS I_d Cox C_ox C_OX mueff mu_eff Vfb V_fb Vds VDS Vbs VBS gm gds Cgs Cgd NA ND".split()
-EQUATION_COMMON = "the is are was were has have been will can that which this with from into such also more".split()
+SUBSCRIPTS = (
+    "Vgs", "VGS", "V_GS", "Vth", "VT", "V_th", "Vt", "Id", "I_D", "IDS", "I_d", "Cox", "C_ox", "C_OX", "mueff", "mu_eff", "Vfb", "V_fb", "Vds", "VDS", "Vbs", "VBS", "gm", "gds",
+    "Cgs", "Cgd", "NA", "ND",
+)
+EQUATION_COMMON = (
+    "the", "is", "are", "was", "were", "has", "have", "been", "will", "can", "that", "which", "this", "with", "from", "into", "such", "also", "more",
+)
 EQUATION_PROSE_START = r"(?i)^(The|A|In|For|This|It|When|Note|If|Since|We|To|was|has|are|is)\b"
 EQUATION_NUMBER_END = r"\(\d+[\.\-]\d+\)\s*$"
 SYMBOLS = {

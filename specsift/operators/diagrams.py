@@ -20,10 +20,12 @@ def diagram_type(request: Column | str) -> Column:
 
 
 def parsed(answers: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, cell as JSON) of answers that hold an array of cells or an object with cells, fences set aside."""
+    """(key, pos, cell as JSON) of answers that hold an array of cells an object with cells, or one that holds such an object; fences set aside."""
     bare = F.regexp_replace(F.regexp_replace(text, r"(?i)```(json)?", ""), r"^\s+|\s+$", "")
     v = F.try_parse_json(bare)
-    cells = F.coalesce(F.try_variant_get(v, "$.cells", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
+    within = F.transform(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), lambda x: F.try_variant_get(x, "$.cells", "array<variant>"))
+    nested = F.get(F.filter(within, lambda x: x.isNotNull()), 0)
+    cells = F.coalesce(F.try_variant_get(v, "$.cells", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), nested)
     return answers.select(key, F.posexplode(cells).alias("pos", "v")).select(key, "pos", F.to_json("v").alias("cell"))
 
 
@@ -32,13 +34,21 @@ def is_link(type_: Column | str) -> Column:
 
 
 def violations(cells: DataFrame) -> DataFrame:
-    """(diagram_id, pos, problem) of cells(diagram_id, pos, id, type, x, y, width, height, source, target) that can't be drawn."""
-    link = is_link("type")
-    base = F.when(F.col("id").isNull() | F.col("type").isNull(), "no id or type").when(~link & (F.col("x").isNull() | F.col("width").isNull()), "no position or size").when(link & (F.col("source").isNull() | F.col("target").isNull()), "no end")
-    own = cells.select("diagram_id", "pos", base.alias("problem")).where("problem is not null")
-    ids = cells.where(~link).select(F.col("diagram_id").alias("d"), F.col("id").alias("i"))
-    lost = cells.where(link & F.col("target").isNotNull()).join(ids, (F.col("diagram_id") == F.col("d")) & (F.col("target") == F.col("i")), "left_anti")
-    return own.unionByName(lost.select("diagram_id", "pos", F.lit("end not in the diagram").alias("problem")))
+    """(diagram_id, pos, problem) of cells(diagram_id, pos, id, type, x, y, width, height) without what drawing needs."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    no_place = F.col("x").isNull() | F.col("y").isNull() | F.col("width").isNull() | F.col("height").isNull()
+    problem = F.when(empty("id") | empty("type"), "no id or type").when(~is_link("type") & no_place, "no position or size")
+    return cells.select("diagram_id", "pos", problem.alias("problem")).where("problem is not null")
+
+
+def connects(source: Column | str, target: Column | str) -> Column:
+    """Whether a link may be drawn: it has an end, which isn't its start."""
+    return col(target).isNotNull() & ~col(source).eqNullSafe(col(target))
+
+
+def label_of(attrs: Column | str) -> Column:
+    """A cell's label from its attributes as JSON: the label's text, else the body's, else empty."""
+    return F.coalesce(F.get_json_object(col(attrs), "$.label.text"), F.get_json_object(col(attrs), "$.body.text"), F.lit(""))
 
 
 def width(type_: Column | str, label: Column | str, given: Column | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specsift import lexicons as L
 from specsift.functions import equations as Q
 from specsift.functions import text as T
 
@@ -41,6 +42,44 @@ def equation_ids(pages: DataFrame) -> DataFrame:
     return n.select("doc_id", F.format_string("%s_p%d_eq%d", "doc_id", "page_num", "number").alias("eq_id"), "text")
 
 
+def every_equation(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_num, page_id, source, pos, text): LaTeX spans (source 0) and equation lines (1), each text at its first place in the document."""
+    latex = pages.select("doc_id", "page_num", "page_id", F.lit(0).alias("source"), F.posexplode(Q.latex_parts("raw_text")).alias("pos", "t")).select("doc_id", "page_num", "page_id", "source", "pos", T.strip("t").alias("text"))
+    lines = equations(pages).where(F.length("text") >= 3).select("doc_id", "page_num", "page_id", F.lit(1).alias("source"), F.col("line_no").alias("pos"), "text")
+    first = latex.unionByName(lines).groupBy("doc_id", "text").agg(F.min(F.struct("page_num", "page_id", "source", "pos")).alias("at"))
+    return first.select("doc_id", "at.*", "text")
+
+
+def every_equation_ids(pages: DataFrame) -> DataFrame:
+    """(doc_id, eq_id, kind, text): all equations numbered page by page, LaTeX before lines."""
+    from specsift.operators.ordered import numbered
+
+    n = numbered(every_equation(pages), "doc_id", ["page_num", "page_id", "source", "pos", "text"])
+    return n.select("doc_id", F.format_string("%s_p%d_eq%d", "doc_id", "page_num", "number").alias("eq_id"), F.when(F.col("source") == 0, "latex_embedded").otherwise("text_heuristic").alias("kind"), "text")
+
+
+def surroundings(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, context): up to five sentences of the 300 characters on each side of every LaTeX span, 500 at most."""
+    x = pages.select("page_id", "raw_text", F.posexplode(Q.latex_parts("raw_text")).alias("pos", "t")).withColumn("p", F.position(F.col("t"), F.col("raw_text")) - 1)
+    start = F.greatest(F.col("p") - 300, F.lit(0))
+    near = T.strip(F.substring("raw_text", start + 1, F.col("p") + F.length("t") + 300 - start))
+    five = F.slice(F.split(near, r"(?<=[.!?])\s+"), 1, 5)
+    return x.select("page_id", "pos", F.substring(F.array_join(five, " "), 1, 500).alias("context"))
+
+
+def math_stats(texts: DataFrame, key: str) -> DataFrame:
+    """(key, total_equations, unique_inline_vars, table_count) of Markdown texts(key, text).
+
+    Counts of the mathematics that a document's record holds: display equations, distinct inline expressions, tables.
+    """
+    merged = Q.merge_blocks("text")
+    display = F.size(F.regexp_extract_all(merged, F.lit(r"(?s)\$\$(.+?)\$\$"), 1))
+    tables = F.size(F.regexp_extract_all("text", F.lit("(?d)" + L.MARKDOWN_TABLE), 1))
+    counts = texts.groupBy(key).agg(F.sum(display).alias("total_equations"), F.sum(tables).alias("table_count"))
+    inline = inline_math(texts.select(key, F.lit(0).alias("page"), "text"), key).groupBy(F.col(key).alias("k_")).agg(F.count(F.lit(1)).alias("unique_inline_vars"))
+    return counts.join(inline, F.col(key).eqNullSafe(F.col("k_")), "left").select(key, "total_equations", F.coalesce("unique_inline_vars", F.lit(0)).cast("bigint").alias("unique_inline_vars"), "table_count")
+
+
 def equation_stats(pages: DataFrame) -> DataFrame:
     """(doc_id, total, with_variables, share) over the distinct equations of each document."""
     d = distinct_equations(pages).withColumn("v", F.size(Q.variables(Q.symbols("text"))) > 0)

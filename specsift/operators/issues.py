@@ -60,16 +60,23 @@ def ambiguities(stories: DataFrame) -> DataFrame:
     return n.select("doc_id", F.format_string("AMB-%03d", "number").alias("issue_id"), "story_id", "term", "category", "severity", "text")
 
 
+def explained(found: DataFrame) -> DataFrame:
+    """Ambiguities with why their term is one and what to write instead."""
+    advice = F.create_map(*[x for t, (why, instead) in L.ADVICE.items() for x in (F.lit(t), F.struct(F.lit(why).alias("why"), F.lit(instead).alias("instead")))])
+    a = F.element_at(advice, F.col("term"))
+    return found.select("*", a["why"].alias("explanation"), a["instead"].alias("rewrite"))
+
+
 def representatives(rules: DataFrame) -> DataFrame:
     """One rule for each (document, story id, condition, action), with how many rules it stands for."""
     keyed = rules.withColumn("cond_key", strip(F.replace(F.lower("condition"), F.lit("%"), F.lit(" percent")))).withColumn("core", R.core_action("action"))
-    return keyed.groupBy("doc_id", "story_id", "cond_key", "action").agg(F.min(F.struct("story_seq", "story_uid", "rule_pos")).alias("at"), F.first("core").alias("core"), F.min("condition").alias("condition"), F.min("actor").alias("actor"), F.count(F.lit(1)).alias("members"))
+    return keyed.groupBy("doc_id", "story_id", "cond_key", "action").agg(F.min(F.struct("story_seq", "story_uid", "rule_pos")).alias("at"), F.first("core").alias("core"), F.min("condition").alias("condition"), F.min("actor").alias("actor"), F.min_by("raw_text", F.struct("story_seq", "story_uid", "rule_pos")).alias("raw"), F.count(F.lit(1)).alias("members"))
 
 
 def classes(rules: DataFrame, *by: str) -> DataFrame:
     """One row for each (document, condition, class of action, action, and ``by``): its first rule, another story than the first's if there is one, and how many rules and stories share it."""
     r = representatives(rules).withColumn("module", R.module_of("story_id"))
-    c = r.groupBy("doc_id", "cond_key", "core", "action", *by).agg(F.min(F.struct("at", "story_id")).alias("first"), F.min("story_id").alias("least"), F.max("story_id").alias("most"), F.sum("members").alias("rules"), F.count(F.lit(1)).alias("stories"))
+    c = r.groupBy("doc_id", "cond_key", "core", "action", *by).agg(F.min(F.struct("at", "story_id", "raw")).alias("first"), F.min("story_id").alias("least"), F.max("story_id").alias("most"), F.sum("members").alias("rules"), F.count(F.lit(1)).alias("stories"))
     other = F.when(F.col("most") != F.col("first.story_id"), F.col("most")).when(F.col("least") != F.col("first.story_id"), F.col("least"))
     return c.withColumn("other", other).drop("least", "most")
 
@@ -111,15 +118,53 @@ def overlapping(rules: DataFrame) -> DataFrame:
     return n.where("stories > 1")
 
 
+def rule_pairs(rules: DataFrame) -> DataFrame:
+    """(doc_id, cond_key, rules, stories, pairs): how many pairs of rules of different stories share a condition.
+
+    Pairs aren't emitted: of n rules, n_s of each story, (n² - sum n_s²) / 2 pairs differ in their story.
+    """
+    r = representatives(rules).where("cond_key <> ''").groupBy("doc_id", "cond_key", "story_id").agg(F.sum("members").alias("n"))
+    n = r.groupBy("doc_id", "cond_key").agg(F.sum("n").alias("rules"), F.count(F.lit(1)).alias("stories"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    return n.select("doc_id", "cond_key", "rules", "stories", F.expr("(rules * rules - own) div 2").alias("pairs")).where("pairs > 0")
+
+
 def numeric_contradictions(rules: DataFrame) -> DataFrame:
-    """Conditions of one document under which actions name different numbers of one unit or variable.
+    """Conditions of one document under which actions of different stories name numbers that contradict each other.
 
-    (doc_id, cond_key, variable, stories, amounts, low, high), one row for each class of such actions.
+    (doc_id, cond_key, variable, stories, amounts, low, high), one row for each class of such actions.  Equal numbers
+    agree; of bounds, only an upper one below a lower one is no contradiction.
     """
     key = strip(F.replace(F.lower("condition"), F.lit("%"), F.lit(" percent")))
     a = rules.select("doc_id", "story_id", key.alias("cond_key"), R.condition_logic("action").alias("a")).where("a is not null and cond_key <> ''")
-    n = a.select("doc_id", "story_id", "cond_key", "a.variable", "a.value").distinct().groupBy("doc_id", "cond_key", "variable").agg(F.countDistinct("story_id").alias("stories"), F.countDistinct("value").alias("amounts"), F.min("value").alias("low"), F.max("value").alias("high"))
-    return n.where("stories > 1 and amounts > 1")
+    d = a.select("doc_id", "story_id", "cond_key", "a.variable", "a.operator", "a.value").distinct()
+    of = lambda op: F.col("operator") == op
+    n = d.groupBy("doc_id", "cond_key", "variable").agg(
+        F.countDistinct("story_id").alias("stories"), F.countDistinct("value").alias("amounts"), F.min("value").alias("low"), F.max("value").alias("high"), F.bool_and(of("==")).alias("equal"),
+        F.bool_and(of("<") | of(">")).alias("bounds"), F.max(F.when(of("<"), F.col("value"))).alias("most"), F.min(F.when(of(">"), F.col("value"))).alias("least"),
+        F.countDistinct(F.when(of("<"), F.col("story_id"))).alias("upper"), F.countDistinct(F.when(of(">"), F.col("story_id"))).alias("lower"),
+    )
+    # apart: one story gives all upper bounds, another all lower ones, and the upper lie below the lower
+    apart = F.col("bounds") & (F.col("upper") <= 1) & (F.col("lower") <= 1) & (F.col("most") < F.col("least"))
+    hit = F.when(F.col("equal"), F.col("amounts") > 1).otherwise(~F.coalesce(apart, F.lit(False)))
+    return n.where((F.col("stories") > 1) & hit).select("doc_id", "cond_key", "variable", "stories", "amounts", "low", "high")
+
+
+def explanation(cond: Column | str, action_a: Column | str, action_b: Column | str) -> Column:
+    return F.concat(F.lit("Condition '"), F.coalesce(col(cond), F.lit("None")), F.lit("' leads to conflicting actions: '"), col(action_a), F.lit("' vs '"), col(action_b), F.lit("'"))
+
+
+def conflict_issues(found: DataFrame) -> DataFrame:
+    """Conflicts as issues: the first of each pair of stories and condition, numbered CON-nnn within the document.
+
+    found(doc_id, cond_key, story_a, story_b, action_a, action_b, source, confidence).
+    """
+    turn = F.when(F.col("source") == "rule", 0).when(F.col("source") == "embedding", 1).otherwise(2)
+    x = found.select("*", turn.alias("turn"), F.least("story_a", "story_b").alias("one"), F.greatest("story_a", "story_b").alias("two"))
+    first = _first(x, ["doc_id", "one", "two", "cond_key"], ["turn", "action_a", "action_b"], ["story_a", "story_b", "source", "confidence"])
+    # the first bytes of the condition as a number lead, so that a document is numbered in many buckets
+    lead = F.conv(F.rpad(F.substring(F.hex("cond_key"), 1, 12), 12, "0"), 16, 10).cast("bigint")
+    n = numbered(first.withColumn("lead", lead), "doc_id", ["lead", "cond_key", "one", "two", "turn"])
+    return n.select("doc_id", F.format_string("CON-%03d", "number").alias("issue_id"), "story_a", "story_b", "source", "confidence", explanation("cond_key", "action_a", "action_b").alias("explanation"))
 
 
 def conditional(c: Column | str) -> Column:
@@ -152,7 +197,7 @@ def gaps(stories: DataFrame) -> DataFrame:
     kinds = [gap_no_logic(stories).select(*KEYS, "category", F.lit(0).alias("kind"), F.lit(0).alias("pos")), gap_no_errors(stories).select(*KEYS, "category", F.lit(1).alias("kind"), F.lit(0).alias("pos")), gap_duplicates(stories).select(*KEYS, "category", F.lit(2).alias("kind"), "pos")]
     every = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).withColumn("late", F.when(F.col("kind") == 2, 1).otherwise(0))
     first = _first(every, ["doc_id", "story_id", "category"], ["late", "story_seq", "story_uid", "kind", "pos"], [])
-    n = numbered(first.withColumn("turn", F.col("late") * 1_000_000_000 + F.col("story_seq")), "doc_id", ["turn", "story_uid", "kind", "pos"])
+    n = numbered(first.withColumn("turn", F.shiftleft(F.col("late").cast("bigint"), 62) + F.col("story_seq")), "doc_id", ["turn", "story_uid", "kind", "pos"])
     return n.select("doc_id", F.format_string("GAP-%03d", "number").alias("issue_id"), "story_id", "category")
 
 

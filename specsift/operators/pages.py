@@ -93,17 +93,32 @@ def token_losses(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.array_sort(T.lost_tokens("raw_text", T.clean_markdown("raw_text"))).alias("lost")).where(F.size("lost") > 0).select("page_id", F.array_join("lost", ",").alias("lost"))
 
 
-def columns(pages: DataFrame) -> DataFrame:
-    """(page_id, layout): two_column where neighbouring left edges lie further apart than the gap."""
+def _laid_out(pages: DataFrame) -> DataFrame:
     xs = F.array_sort(F.array_distinct(F.transform("font_metadata", lambda b: b["x0"])))
     gaps = F.transform(F.sequence(F.lit(1), F.greatest(F.size("xs") - 1, F.lit(1))), lambda i: F.coalesce(F.get("xs", i) - F.get("xs", i - 1), F.lit(0.0)))
-    return pages.where(F.size("font_metadata") > 0).select("page_id", xs.alias("xs")).select("page_id", F.when(F.array_max(gaps) > COLUMN_GAP * PAGE_WIDTH, "two_column").otherwise("single_column").alias("layout"))
+    return pages.where(F.size("font_metadata") > 0).select("page_id", "font_metadata", xs.alias("xs")).select("page_id", "font_metadata", F.when(F.array_max(gaps) > COLUMN_GAP * PAGE_WIDTH, "two_column").otherwise("single_column").alias("layout"))
+
+
+def columns(pages: DataFrame) -> DataFrame:
+    """(page_id, layout): two_column where neighbouring left edges lie further apart than the gap."""
+    return _laid_out(pages).select("page_id", "layout")
 
 
 def assembled(pages: DataFrame) -> DataFrame:
-    """(page_id, text): block texts in reading order, the left half of the page first, each half from the top."""
-    order = F.transform("font_metadata", lambda b: F.struct((b["x0"] >= PAGE_WIDTH / 2).alias("right"), b["y0"].alias("y0"), b["x0"].alias("x0"), b["text"].alias("text")))
-    return pages.where(F.size("font_metadata") > 0).select("page_id", F.array_join(F.transform(F.array_sort(order), lambda b: b["text"]), "\n").alias("text"))
+    """(page_id, text): block texts in reading order.
+
+    On pages of two columns the left half comes first, each half from the top; other pages are read from the top.
+    """
+    two = F.col("layout") == "two_column"
+    order = F.transform("font_metadata", lambda b: F.struct((two & (b["x0"] >= PAGE_WIDTH / 2)).alias("right"), b["y0"].alias("y0"), b["x0"].alias("x0"), b["text"].alias("text")))
+    return _laid_out(pages).select("page_id", F.array_join(F.transform(F.array_sort(order), lambda b: b["text"]), "\n").alias("text"))
+
+
+def pages_of_lines(texts: DataFrame) -> DataFrame:
+    """(doc_id, page_num, line_no, page): the page marker last seen on or before each line of texts(doc_id, page_num, text), PAGE_UNKNOWN before the first."""
+    each = texts.select("doc_id", "page_num", F.posexplode(T.lines("text")).alias("line_no", "line"))
+    marked = each.select("doc_id", "page_num", "line_no", F.nullif(F.regexp_extract("line", L.PAGE_MARKER, 1), F.lit("")).alias("mark"))
+    return last_seen(marked, "doc_id", ["page_num", "line_no"], "mark", "page").select("doc_id", "page_num", "line_no", F.coalesce("page", F.lit("PAGE_UNKNOWN")).alias("page"))
 
 
 def font_stats(pages: DataFrame) -> DataFrame:

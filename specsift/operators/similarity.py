@@ -18,6 +18,10 @@ from specsift.operators.issues import classes, opposed, representatives, stories
 
 #: Conditions of at least this ratio meet; the key of rules without a condition.
 ALIKE, GLOBAL = 0.85, "global"
+#: Objects more alike than this are of one domain.
+SAME_OBJECT = 0.78
+#: Actions under so many characters don't say what they are about.
+SHORT_ACTION = 15
 
 
 @F.pandas_udf(DoubleType())
@@ -73,8 +77,10 @@ def nearest(vectors: DataFrame, k: int = 15, every: int = 20, block: int = 2048)
 
     The stated queries are sent in blocks of bounded size; each block meets all rows in one pass of matrix products that
     keeps k rows of each batch, and the kept rows are merged.  Ties go to the smaller id, however many rows are tied.
+    Rows without an id or a vector are near to none.
     """
     spark = vectors.sparkSession
+    vectors = vectors.where("vec_id is not null and embedding is not null")
     queries = vectors.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
     n = queries.count()
     parts = max(1, -(-n // block))
@@ -158,6 +164,28 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
 
 
+def said(action: Column | str, raw: Column | str) -> Column:
+    """What names a rule's object: its action or, where that is short, the raw text."""
+    return F.coalesce(F.when(F.length(col(action)) < SHORT_ACTION, col(raw)), col(action), F.lit(""))
+
+
+def domain_gate(pairs: DataFrame) -> DataFrame:
+    """Pairs of rules(story_a, raw_a, action_a, story_b, raw_b, action_b) with whether they are of one domain.
+
+    One module is one domain; rules of other modules need alike objects, read from the raw text where the action is short.
+    """
+    module = lambda x: R.module_of("story_" + x)
+    same = (module("a") != "") & (module("a") == module("b"))
+    rated = pairs.select("*", same.alias("same_module"), ratio(R.primary_object(said("action_a", "raw_a")), R.primary_object(said("action_b", "raw_b"))).alias("alike"))
+    return rated.select(*pairs.columns, (F.col("same_module") | (F.col("alike") > SAME_OBJECT)).alias("same_domain"))
+
+
+def pairing(rules: DataFrame, least: int = 50) -> DataFrame:
+    """(doc_id, rules, plan): all rules of a document are compared below ``least``, nearest neighbours from there on."""
+    n = rules.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rules"))
+    return n.select("doc_id", "rules", F.when(F.col("rules") < least, "all pairs").otherwise("nearest").alias("plan"))
+
+
 def meetings(rules: DataFrame) -> DataFrame:
     """(doc_id, cond_key, meet): conditions of one document that share a ``meet`` apply together.
 
@@ -189,7 +217,7 @@ def alike_conflicts(rules: DataFrame) -> DataFrame:
     each = whole.unionByName(classes(rules, "module").where("module <> ''")).withColumn("cond_key", F.coalesce("cond_key", F.lit("")))
     m = meetings(rules).select(F.col("doc_id").alias("md"), F.col("cond_key").alias("mk"), "meet")
     placed = each.where("cond_key <> ''").join(m, each["doc_id"].eqNullSafe(m["md"]) & (each["cond_key"] == m["mk"])).drop("md", "mk").unionByName(each.where("cond_key = ''").withColumn("meet", F.lit(GLOBAL)))
-    c = placed.select("doc_id", "cond_key", "meet", "core", "action", "module", F.col("first.story_id").alias("story"), "other", R.polarity("action").alias("pol"), R.condition_logic("action").alias("num"), R.concept(R.context("action")).alias("ctx"), R.primary_object("action").alias("obj"))
+    c = placed.select("doc_id", "cond_key", "meet", "core", "action", "module", F.col("first.story_id").alias("story"), "other", R.polarity("action").alias("pol"), R.condition_logic("action").alias("num"), R.concept(R.context("action")).alias("ctx"), R.primary_object("action").alias("obj"), R.primary_object(said("action", "first.raw")).alias("gate"))
     a = c.select(*[F.col(x).alias("a_" + x) for x in c.columns])
     b = c.select(*[F.col(x).alias("b_" + x) for x in c.columns])
     likely = lambda x, least: 2 * F.least(F.length("a_" + x), F.length("b_" + x)) >= least * (F.length("a_" + x) + F.length("b_" + x))
@@ -203,8 +231,8 @@ def alike_conflicts(rules: DataFrame) -> DataFrame:
     pairs = a.join(b, F.col("a_doc_id").eqNullSafe(F.col("b_doc_id")) & met & (F.col("a_module") == F.col("b_module")) & (verbs | signs | numbers))
     same_module = F.col("a_module") != ""
     pairs = pairs.withColumn("s", stories_of("a_story", "a_other", "b_story", "b_other")).where("s is not null")
-    rated = pairs.withColumn("act", ratio("a_action", "b_action")).withColumn("ctx", ratio("a_ctx", "b_ctx")).withColumn("obj", ratio("a_obj", "b_obj"))
-    gated = rated.where(same_module | (F.col("obj") > 0.78))
+    rated = pairs.withColumn("act", ratio("a_action", "b_action")).withColumn("ctx", ratio("a_ctx", "b_ctx")).withColumn("obj", ratio("a_obj", "b_obj")).withColumn("gate", ratio("a_gate", "b_gate"))
+    gated = rated.where(same_module | (F.col("gate") > SAME_OBJECT))
     strong = (F.col("ctx") >= 0.75) & (F.col("act") >= F.when(F.col("ctx") > 0.92, 0.45).otherwise(0.70)) & (F.col("obj") >= 0.30)
     kind = F.when(verbs, "rule").when(signs & strong, "embedding").when(numbers & (F.col("act") >= 0.58), "numeric")
     conf = F.when(verbs, 0.95).when(signs & strong, F.round((F.col("ctx") + F.col("act")) / 2, 3)).otherwise(0.95)

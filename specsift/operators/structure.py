@@ -42,6 +42,23 @@ def criteria(stories: DataFrame) -> DataFrame:
     return stories.select("story_uid", "doc_id", "story_seq", "id", F.explode(R.criteria_tree(R.body("raw_text"))).alias("x")).select("story_uid", "doc_id", "story_seq", "id", "x.*")
 
 
+def criteria_lines(stories: DataFrame) -> DataFrame:
+    """(story_uid, pos, line) of the bullet lines after the line that announces acceptance criteria."""
+    return stories.select("story_uid", F.posexplode(R.criteria_lines(R.body("raw_text"))).alias("pos", "line"))
+
+
+def synthetic_criteria(stories: DataFrame) -> DataFrame:
+    """(story_uid, text, level, type, clauses): the criterion that stands for a valid story without any.
+
+    A story gets one if it has a condition, a clause or a known type; its clauses are the story's own, or the one made of
+    its condition and action.
+    """
+    s = structured(stories).where("valid").withColumn("l", F.size(R.logic_blocks("body"))).withColumn("t", F.size(R.criteria_tree("body")))
+    none = s.where((F.col("t") == 0) & ((F.coalesce("condition", F.lit("")) != "") | (F.col("l") > 0) | (F.col("type") != "unknown")))
+    own = F.when((F.col("l") == 0) & (F.coalesce("condition", F.lit("")) != "") & (F.coalesce("action", F.lit("")) != ""), F.lit(1)).otherwise(F.col("l"))
+    return none.select("story_uid", F.col("body").alias("text"), F.lit(0).alias("level"), F.lit("requirement").alias("type"), own.alias("clauses"))
+
+
 def inferred_ids(structured_: DataFrame) -> DataFrame:
     """(story_uid, id): stories without an id get INF-nnn, by how many valid stories of the document came before."""
     from specsift.operators.ordered import numbered

@@ -18,7 +18,7 @@ def story_rows(markdown: DataFrame) -> DataFrame:
     """
     key = F.struct("doc_id", "page_num")
     b = structure.blocks(markdown.select(key.alias("k"), "text"), "k", "text")
-    return b.select("k.doc_id", (F.col("k.page_num") * 1000 + F.col("block_no")).alias("story_seq"), F.xxhash64("k.doc_id", "k.page_num", "block_no").alias("story_uid"), F.col("block").alias("raw_text"))
+    return b.select("k.doc_id", (F.shiftleft(F.col("k.page_num").cast("bigint"), 32) + F.col("block_no")).alias("story_seq"), F.xxhash64("k.doc_id", "k.page_num", "block_no").alias("story_uid"), F.col("block").alias("raw_text"))
 
 
 def structured_stories(markdown: DataFrame) -> DataFrame:

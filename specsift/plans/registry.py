@@ -13,10 +13,10 @@ from specsift.functions import equations as Q
 from specsift.functions import requirements as R
 from specsift.functions import text as T
 from specsift.operators import diagrams, equations, ingest, issues, nested, overview, pages, similarity, structure
-from specsift.plans import oracle, synthetic
+from specsift.plans import independent, oracle, synthetic
 from specsift.runtime import spread, table
 
-FLAGSHIP = "conflict_rule_layer"
+FLAGSHIP = "issues_report_whole"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -60,6 +60,23 @@ def queries() -> dict[str, Query]:
     flow = lambda s, d: _with_views(s, d, synthetic.FLOW_NODES, ("supplier",))
     edges = lambda s, d: _with_views(s, d, synthetic.EDGES, ("supplier",))
     cells = lambda s, d: nodes(s, d).select("*", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target")).unionByName(edges(s, d).select("diagram_id", F.lit(0).cast("bigint").alias("pos"), "id", F.lit("standard.Link").alias("type"), "source", "target"), allowMissingColumns=True)
+    part = lambda sql: lambda s, d: _with_views(s, d, sql, ("part",))
+    supplier = lambda sql: lambda s, d: _with_views(s, d, sql, ("supplier",))
+    # blocks moved up on even pages and down on odd ones, so that both strips hold some
+    moved = lambda: F.when(F.col("page_num") % 2 == 0, -40.0).otherwise(640.0)
+    tall = lambda s, d: raw(s, d).withColumn("font_metadata", F.transform("font_metadata", lambda b: b.withField("y0", b["y0"] + moved()).withField("y1", b["y1"] + moved())))
+    # criteria added to every fifth story, some of them alike
+    more = lambda: F.concat("raw_text", F.lit("\nAcceptance Criteria:\n- The entry opens in two steps\n- The entry keeps number "), F.col("story_seq").cast("string"), F.lit("\n- A copy goes to the archive desk"))
+    listed = lambda s, d: stories(s, d).withColumn("raw_text", F.when(F.col("story_uid") % 5 == 0, more()).otherwise(F.col("raw_text")))
+    # LaTeX added to every page
+    maths = lambda: F.concat("raw_text", F.lit("\nHere $$E_"), (F.col("page_num") % 5).cast("string"), F.lit(" = m c^2$$ holds. It follows. For $x_"), (F.col("page_num") % 3).cast("string"), F.lit("$ too."))
+    mathematical = lambda s, d: raw(s, d).withColumn("raw_text", maths())
+    # pages of which every seventh is a tag that holds a token
+    tagged = lambda s, d: raw(s, d).withColumn("raw_text", F.when(F.col("page_id") % 7 == 0, "<Faculty board> opens").otherwise(F.col("raw_text")))
+    # Markdown with the markers of every third page only
+    marked = lambda s, d: pages.markdown_pages(raw(s, d)).withColumn("text", F.when(F.col("page_num") % 3 == 0, F.col("text")).otherwise("a\nb"))
+    lines = lambda s: s.createDataFrame([(k, "d", k, line) for k, line in enumerate(synthetic.CONFLICT_LINES)], "story_uid bigint, doc_id string, story_seq int, raw_text string")
+    tried = lambda s: structure.ledger(structure.structured(lines(s)).withColumn("raw_text", F.col("body")))
     return {
         "p3_found": lambda s, d: nested.links(spread(t(s, d, "requirements_models"))),
         "p3_stories": lambda s, d: nested.stories(nested.tagged(spread(t(s, d, "requirements_models")))),
@@ -79,6 +96,8 @@ def queries() -> dict[str, Query]:
         "inf_ids": lambda s, d: structure.inferred_ids(structure.structured(stories(s, d))),
         "actors_per_doc": lambda s, d: structure.actors(stories(s, d)).select("doc_id", F.array_join("actors", "|").alias("actors")),
         "req_blocks": lambda s, d: structure.blocks(t(s, d, "documents"), "doc_id", "text"),
+        "ac_lines": lambda s, d: structure.criteria_lines(stories(s, d)),
+        "synthetic_ac": lambda s, d: structure.synthetic_criteria(stories(s, d)),
         "ac_tree_parents": lambda s, d: structure.criteria(stories(s, d)).select("story_uid", "pos", "parent", "level", "type", "text"),
         "rule_ledger": lambda s, d: structure.ledger(stories(s, d)).select("story_uid", "rule_pos", "story_id", "condition", "action", "confidence"),
         "model_rule_ledger": lambda s, d: structure.model_ledger(models(s, d)).select(F.col("story_uid").alias("model_id"), F.col("rule_pos").alias("path"), "story_id", "condition", "action", "confidence"),
@@ -93,16 +112,23 @@ def queries() -> dict[str, Query]:
         "conflict_rule_layer": lambda s, d: issues.opposed(structure.model_ledger(models(s, d))).drop("cond_key_b"),
         "condition_overlap": lambda s, d: issues.overlapping(_with_views(s, d, synthetic.RULES, ("part",))),
         "conflict_numeric": lambda s, d: issues.numeric_contradictions(_with_views(s, d, synthetic.RULES, ("part",))),
+        "conflict_bounds": lambda s, d: issues.numeric_contradictions(part(synthetic.BOUNDS)(s, d)),
+        "rule_pairs": lambda s, d: issues.rule_pairs(ledger(s, d)),
+        "domain_gate": lambda s, d: similarity.domain_gate(part(synthetic.GATED)(s, d)).select("k", "same_domain"),
+        "pairing_policy": lambda s, d: similarity.pairing(ledger(s, d)),
+        "conflicts_dedup": lambda s, d: issues.conflict_issues(issues.opposed(ledger(s, d)).select("doc_id", "cond_key", "story_a", "story_b", F.col("permits").alias("action_a"), F.col("denies").alias("action_b"), F.lit("rule").alias("source"), F.lit(0.95).alias("confidence"))),
+        "conflict_lines": lambda s, d: issues.conflict_issues(similarity.conflicts(tried(s))).select("issue_id", "story_a", "story_b", "source"),
         "conflict_semantic": lambda s, d: similarity.alike_conflicts(structure.model_ledger(models(s, d))),
         # ambiguities, gaps, report
         "ambiguity_vague_terms": lambda s, d: issues.story_texts(stories(s, d)).select("story_uid", "src", F.explode(issues.vague_terms("text")).alias("x")).select("story_uid", "src", "x.term", "x.severity"),
         "ambiguity_weak_verbs": lambda s, d: issues.story_texts(stories(s, d)).select("story_uid", "src", F.explode(issues.weak_verbs("text")).alias("x")).select("story_uid", "src", "x.term"),
         "ambiguity_missing_reason": lambda s, d: issues.ambiguity_hits(stories(s, d)).where("category = 'missing_reason'").select("story_uid", "text"),
         "ambiguities_dedup": lambda s, d: issues.ambiguities(stories(s, d)),
+        "ambiguity_advice": lambda s, d: issues.explained(issues.ambiguities(stories(s, d))).select("doc_id", "issue_id", "explanation", "rewrite"),
         "gap_no_testable_ac": lambda s, d: issues.gap_no_logic(stories(s, d)).select("story_uid"),
-        "gap_missing_error_handling": lambda s, d: issues.gap_no_errors(stories(s, d), 2).select("story_uid"),
-        "gap_duplicate_ac": lambda s, d: issues.gap_duplicates(stories(s, d)).select("story_uid", "pos", "owner"),
-        "gaps_dedup": lambda s, d: issues.gaps(stories(s, d)),
+        "gap_missing_error_handling": lambda s, d: issues.gap_no_errors(listed(s, d)).select("story_uid"),
+        "gap_duplicate_ac": lambda s, d: issues.gap_duplicates(listed(s, d)).select("story_uid", "pos", "owner"),
+        "gaps_dedup": lambda s, d: issues.gaps(listed(s, d)),
         # their SQL counts the conflicts of the rule layer only; the whole ones count all
         "issues_report": lambda s, d: issues.report(stories(s, d), ledger(s, d), issues.opposed(ledger(s, d))),
         "documents_overview": lambda s, d: overview.documents(stories(s, d), ledger(s, d), issues.opposed(ledger(s, d))),
@@ -118,20 +144,22 @@ def queries() -> dict[str, Query]:
         "clean_references": page(lambda: pages.without_references("raw_text").alias("text")),
         "dehyphenate": page(lambda: T.dehyphenate("raw_text").alias("text")),
         "collapse_whitespace": page(lambda: T.collapse_whitespace("raw_text").alias("text")),
+        "fix_unicode": page(lambda: T.fix_unicode("raw_text").alias("text")),
         "fix_ligatures": page(lambda: T.fix_ligatures("raw_text").alias("text")),
         "count_tables": lambda s, d: t(s, d, "documents").where("text is not null").select("doc_id", T.count_tables("text").alias("tables")),
         "count_figures": lambda s, d: t(s, d, "documents").where("text is not null").select("doc_id", T.count_figures("text").alias("figures")),
         "page_cleaning": lambda s, d: pages.cleaned(raw(s, d)),
-        "repeated_headers": lambda s, d: pages.repeated_headers(raw(s, d), 1250.0),
-        "clean_running_headers": lambda s, d: pages.running_headers(raw(s, d), 1250.0),
-        "cleaning_stats": lambda s, d: pages.cleaning_stats(raw(s, d), 1250.0),
+        "repeated_headers": lambda s, d: pages.repeated_headers(tall(s, d)),
+        "clean_running_headers": lambda s, d: pages.running_headers(tall(s, d)),
+        "cleaning_stats": lambda s, d: pages.cleaning_stats(tall(s, d)),
+        "asof_page": lambda s, d: pages.pages_of_lines(marked(s, d)),
         "asof_section": lambda s, d: pages.sections(raw(s, d)),
         "html_strip": lambda s, d: markdown(s, d).select("k", T.strip_html("text").alias("text")),
         "md_symbols": lambda s, d: markdown(s, d).select("k", T.markdown_symbols("text").alias("text")),
         "md_line_filters": lambda s, d: markdown(s, d).select("k", T.markdown_lines("text").alias("text")),
         "md_rules": lambda s, d: markdown(s, d).select("k", T.markdown_rules("text").alias("text")),
         "md_math_protect": lambda s, d: latex(s, d).select("k", T.around_math(F.concat("text", F.lit(" -> $a -> b$ -> c")), T.markdown_symbols).alias("text")),
-        "token_loss_audit": lambda s, d: pages.token_losses(raw(s, d)),
+        "token_loss_audit": lambda s, d: pages.token_losses(tagged(s, d)),
         "markdown_assembly": lambda s, d: pages.markdown_pages(raw(s, d)),
         "detect_columns": lambda s, d: pages.columns(raw(s, d)),
         "page_text_assembly": lambda s, d: pages.assembled(raw(s, d)),
@@ -155,6 +183,9 @@ def queries() -> dict[str, Query]:
         "eq_preprocess": lambda s, d: equations.equations(raw(s, d)).select("page_id", "line_no", "ascii"),
         "eq_dedup": lambda s, d: equations.distinct_equations(raw(s, d)),
         "eq_ids": lambda s, d: equations.equation_ids(raw(s, d)),
+        "eq_union": lambda s, d: equations.every_equation_ids(mathematical(s, d)),
+        "eq_surroundings": lambda s, d: equations.surroundings(mathematical(s, d)),
+        "math_stats": lambda s, d: equations.math_stats(part(synthetic.MATH_TEXTS)(s, d), "k"),
         "eq_stats": lambda s, d: equations.equation_stats(raw(s, d)),
         "eq_assemble": lambda s, d: raw(s, d).select("page_id", F.posexplode(equations.assembled("raw_text")).alias("pos", "text")),
         "eq_latex": lambda s, d: latex(s, d).select("k", F.array_join(Q.latex_parts("text"), "|").alias("parts")),
@@ -166,7 +197,10 @@ def queries() -> dict[str, Query]:
         # diagrams
         "diagram_type": lambda s, d: _with_views(s, d, synthetic.REQUESTS, ("documents",)).select("doc_id", diagrams.diagram_type("request").alias("kind")),
         "diagram_parse": lambda s, d: diagrams.parsed(_with_views(s, d, synthetic.ANSWERS, ("supplier",)), "k", "text").select("k", "pos", F.get_json_object("cell", "$.id").alias("id")),
-        "diagram_validate": lambda s, d: diagrams.violations(cells(s, d)),
+        "diagram_validate": lambda s, d: diagrams.violations(supplier(synthetic.CELLS)(s, d)),
+        "diagram_parse_nested": lambda s, d: diagrams.parsed(supplier(synthetic.NESTED_ANSWERS)(s, d), "k", "text").select("k", "pos", F.get_json_object("cell", "$.id").alias("id")),
+        "cell_labels": lambda s, d: supplier(synthetic.ATTRIBUTES)(s, d).select("k", diagrams.label_of("attrs").alias("label")),
+        "link_valid": lambda s, d: supplier(synthetic.LINKS)(s, d).select("k", diagrams.connects("source", "target").alias("valid")),
         "diagram_split": lambda s, d: cells(s, d).groupBy("diagram_id").agg(F.count_if(diagrams.is_link("type")).alias("links"), F.count_if(~diagrams.is_link("type")).alias("shapes")),
         "shape_defaults": lambda s, d: diagrams.sized(nodes(s, d)).select("diagram_id", "id", "width", "height"),
         "shape_width": lambda s, d: diagrams.sized(nodes(s, d)).select("diagram_id", "id", diagrams.width("type", "label", "width").alias("width")),
@@ -186,4 +220,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql()
+    return oracle.sql() | independent.sql()

@@ -31,4 +31,5 @@ def test_every_sql_has_a_query():
 def test_entry(spark):
     import __spark_entry__
 
-    assert set(__spark_entry__.entry(spark).columns) >= {"doc_id", "permits", "denies"}
+    df = __spark_entry__.entry(spark)
+    assert set(df.columns) >= {"doc_id", "conflicts", "issues"} and df.count() > 0
