@@ -180,6 +180,27 @@ def links(models: DataFrame) -> DataFrame:
     return models.select("model_id", F.col("user_stories").cast("string")).mapInPandas(_keys, "model_id bigint, path string, parent_path string, kind string")
 
 
+RULE_BLOCKS = "model_id bigint, document_name string, path string, story_seq int, story map<string,string>, payload map<string,string>"
+
+
+def _emit_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for m, name, text in zip(batch["model_id"], batch["document_name"], batch["user_stories"], strict=True):
+            for tag, path, _, pos, _, payload in visit(text):
+                if tag == "story":
+                    seq, story = pos, {k: payload.get(k) for k in ("id", "type", "role", "raw_text")}
+                elif tag == "logic":
+                    rows.append((m, name, path, seq, story, payload))
+        if rows:
+            yield pd.DataFrame(rows, columns=["model_id", "document_name", "path", "story_seq", "story", "payload"])
+
+
+def owned_blocks(models: DataFrame) -> DataFrame:
+    """Every logic block with the position and fields of the story it stands in, from the same single pass."""
+    return models.select("model_id", "document_name", F.col("user_stories").cast("string")).mapInPandas(_emit_blocks, RULE_BLOCKS)
+
+
 def stories(records: DataFrame) -> DataFrame:
     p = lambda k: F.col("payload")[k]
     return records.where("tag = 'story'").select("model_id", "path", "pos", p("id").alias("id"), p("type").alias("type"), p("role").alias("role"), p("goal").alias("goal"), p("reason").alias("reason"), p("confidence").try_cast("double").alias("confidence"), p("raw_text").alias("raw_text"))

@@ -89,16 +89,15 @@ def ledger(stories: DataFrame) -> DataFrame:
 def model_ledger(models: DataFrame) -> DataFrame:
     """Rules of the structured models, from their nested logic blocks, in the ledger's form.
 
-    A logic block belongs to the story that its path begins with.  The document is document_name, story_seq the story's
-    position and story_uid the model's id; rule_pos is the block's path, so that the order is that of the model.
+    A logic block belongs to the story that it stands in.  The document is document_name, story_seq the story's position
+    and story_uid the model's id; rule_pos is the block's path, so that the order is that of the model.
     """
     from specsift.operators import nested
 
-    records = nested.tagged(models)
-    names = models.select(F.col("model_id").alias("n_id"), F.col("document_name").alias("doc_id"))
-    own = nested.stories(records).select(F.col("model_id").alias("s_id"), F.col("path").alias("root"), F.col("pos").alias("story_seq"), F.col("id").alias("story_id"), F.col("role").alias("actor"), F.col("type").alias("story_type"), "raw_text")
-    blocks = nested.logic_blocks(records).withColumn("at", F.regexp_extract("path", "^s[0-9]+", 0))
-    x = blocks.join(own, (F.col("model_id") == F.col("s_id")) & (F.col("at") == F.col("root"))).join(names, F.col("model_id") == F.col("n_id"))
-    kept = x.where("coalesce(story_type, '') <> 'contextual_information' and not startswith(coalesce(story_id, ''), 'INF-') and coalesce(type, 'conditional') = 'conditional'")
-    rules = kept.select("doc_id", "story_seq", F.col("model_id").alias("story_uid"), F.coalesce("story_id", F.lit("UNKNOWN")).alias("story_id"), F.trim("actor").alias("actor"), F.col("path").alias("rule_pos"), "condition", "action", "raw_text", F.coalesce("confidence", F.lit(0.85)).alias("confidence"))
+    own, block = (lambda k: F.col("story")[k]), (lambda k: F.col("payload")[k])
+    kept = nested.owned_blocks(models).where((F.coalesce(own("type"), F.lit("")) != "contextual_information") & ~F.coalesce(own("id"), F.lit("")).startswith("INF-") & (F.coalesce(block("type"), F.lit("conditional")) == "conditional"))
+    rules = kept.select(
+        F.col("document_name").alias("doc_id"), "story_seq", F.col("model_id").alias("story_uid"), F.coalesce(own("id"), F.lit("UNKNOWN")).alias("story_id"), F.trim(own("role")).alias("actor"), F.col("path").alias("rule_pos"),
+        block("condition").alias("condition"), F.get_json_object(block("action"), "$.description").alias("action"), own("raw_text").alias("raw_text"), F.coalesce(block("confidence").try_cast("double"), F.lit(0.85)).alias("confidence"),
+    )
     return rules.where("confidence >= 0.6 and action <> ''")
