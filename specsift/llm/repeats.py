@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 MIN_PAGES, SHARE = 5, 5  # at least 5 pages and a fifth of the document's pages
 NO_LETTERS = r"[^\p{L}]+"
 #: What doesn't tell lines apart beside letter case.
-SET_ASIDE = r"[^\p{L}\p{Nl}\p{No}]+"
+SET_ASIDE = r"[^a-z\p{L}\p{Nl}\p{No}]+"
+THREE_LETTERS = r"\p{L}[^\p{L}]*\p{L}[^\p{L}]*\p{L}"
 
 
 def rest(line: Column) -> Column:
-    """What tells a line from others; empty if under three letters are left."""
-    left = F.regexp_replace(F.lower(line), SET_ASIDE, "")
-    return F.when(F.length(left) < 3, "").when(left.rlike(r"(\p{L}[^\p{L}]*){3}"), left).otherwise("")
+    """What tells a line from others."""
+    return F.regexp_replace(F.lower(line), SET_ASIDE, "")
 
 
 def lines(pages: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def lines(pages: DataFrame) -> DataFrame:
     return (
         pages.select("page_id", "doc_id", "page_num", F.explode(both).alias("side"))
         .select("page_id", "doc_id", "page_num", "side.place", F.posexplode("side.keys").alias("at", "key"))
-        .where(F.col("key") != "")
+        .where((F.length("key") >= 3) & F.col("key").rlike(THREE_LETTERS))
         .select("page_id", "doc_id", "page_num", "place", (F.col("at") + 1).cast("int").alias("pos"), F.xxhash64("doc_id", "place", "key").alias("h1"), F.hash("key", "place", "doc_id").alias("h2"))
     )
 
