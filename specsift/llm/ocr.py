@@ -316,13 +316,15 @@ def rated_lines(raw: DataFrame, rows: DataFrame) -> DataFrame:
     last = F.concat(F.lit("last="), F.when(F.col("j") == 0, F.col("under")).otherwise("inside"))
     line_features = F.array(F.lit("bias"), joined("pos"), *(joined(k) for k in of_line), *(joined(*names) for names in line_pairs))
     number_features = F.array(F.lit("bias"), last, joined("form"), joined("pos"), *(joined(k) for k in of_number), *(joined(*names) for names in number_pairs))
-    return x.withColumn("features", F.when(no_number, line_features).otherwise(number_features))
+    # features are kept by their hashes: rows of lines are written once and scored from there
+    features = F.transform(F.when(no_number, line_features).otherwise(number_features), lambda f: F.hash(f))
+    return x.withColumn("features", features).withColumn("labelled", (F.col("j") == 0) & F.coalesce(F.col("under") == "label", F.lit(False)))
 
 
 HEADER, NUMBER_CLASS, BODY_CLASS = "header", "page_number", "body"
 
 
-def taught_by_cleaning(rated: DataFrame, raw: DataFrame, cleaned: DataFrame) -> list[tuple[list[str], str, tuple[str, str]]]:
+def taught_by_cleaning(rated: DataFrame, raw: DataFrame, cleaned: DataFrame) -> list[tuple[list[int], str, tuple[str, str]]]:
     """Examples from the edge lines of pages from which cleaning removed furniture.
 
     Cleaning was partial: a kind of line is taken for a header if it is gone from at least the share ``REMOVED`` of
@@ -356,12 +358,12 @@ def taught_by_cleaning(rated: DataFrame, raw: DataFrame, cleaned: DataFrame) ->
     return out
 
 
-def taught_by_repetition(rated: DataFrame) -> list[tuple[list[str], str, tuple[str, str]]]:
+def taught_by_repetition(rated: DataFrame) -> list[tuple[list[int], str, tuple[str, str]]]:
     """Examples where nothing was cleaned: a header is a line on most pages of its document and nearly always at an edge,
     body a line that stands once or elsewhere as often; a page number is a decorated or worded number at the very edge, a
     bare one under a label is content.
     """
-    label, outer = F.array_contains("features", "last=label"), (F.col("i") == 0) | (F.col("j") == 0)
+    label, outer = F.col("labelled"), (F.col("i") == 0) | (F.col("j") == 0)
     number = F.when(F.col("form") == "none", None).when(outer & ~((F.col("form") == "plain") & label), NUMBER_CLASS).otherwise(BODY_CLASS)
     line = F.when((F.col("form") != "none") | (F.col("letters") < 3), None).when((F.col("pages") * 2 >= F.col("of_pages")) & (F.col("edge") > 0.9), HEADER).when(~F.col("repeated") | (F.col("edge") < 0.5), BODY_CLASS)
     marked = rated.where("tbl = 'raw_pages'").select("page_id", "line_no", "features", number.alias("n"), line.alias("l")).where("n is not null or l is not null")
@@ -369,7 +371,7 @@ def taught_by_repetition(rated: DataFrame) -> list[tuple[list[str], str, tuple[s
     return [(list(r.features), r.n or r.l, (NUMBER_CLASS if r.n else HEADER, BODY_CLASS)) for r in rows]
 
 
-def line_model(rated: DataFrame, raw: DataFrame, cleaned: DataFrame | None) -> dict[str, dict[str, float]]:
+def line_model(rated: DataFrame, raw: DataFrame, cleaned: DataFrame | None) -> dict[str, dict[int, float]]:
     """Feature weights of headers and of page numbers against the body."""
     examples = taught_by_cleaning(rated, raw, cleaned) if cleaned is not None else []
     kinds = {k for _, k, _ in examples}
@@ -385,7 +387,7 @@ def line_model(rated: DataFrame, raw: DataFrame, cleaned: DataFrame | None) -> d
 
 def furniture(raw: DataFrame, cleaned: DataFrame | None, rows: DataFrame) -> DataFrame:
     """(tbl, page_id, line_no, kind) of running headers and footers and of page numbers."""
-    kept = ("tbl", "page_id", "line_no", "line", "i", "j", "features", "repeated", "letters", "form", "h", "p", "pages", "of_pages", "edge")
+    kept = ("tbl", "page_id", "line_no", "line", "i", "j", "features", "repeated", "letters", "form", "h", "p", "pages", "of_pages", "edge", "labelled")
     rated = cut(rated_lines(raw, rows).select(*kept))
     weights = line_model(rated, raw, cleaned)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_PAGES, SHARE = 5, 5  # at least 5 pages and a fifth of the document's pages
-NO_LETTERS = r"[^\p{L}]+"
+NO_LETTERS = r"[^A-Za-z\p{L}]+"
 #: What doesn't tell lines apart beside letter case.
 SET_ASIDE = r"[^a-z\p{L}\p{Nl}\p{No}]+"
 THREE_LETTERS = r"\p{L}[^\p{L}]*\p{L}[^\p{L}]*\p{L}"
