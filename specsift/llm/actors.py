@@ -18,7 +18,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ def tokens(value: str) -> list[str]:
     return [t for t in found if t.strip(".") not in EMPTY_WORDS] or found
 
 
-def deletions(word: str, longest: int | None = None) -> list[str]:
+def deletions(word: str, longest: int | None = None) -> set[str]:
     """The word and its forms with up to as many letters deleted as it may differ by.
 
     A word that is longer than the longest one it may be compared with by more letters than that differs from all.
@@ -56,7 +58,7 @@ def deletions(word: str, longest: int | None = None) -> list[str]:
     forms = {word}
     for _ in range(tolerance(word) if longest is None or len(word) <= longest + tolerance(word) else 0):
         forms |= {w[:i] + w[i + 1 :] for w in forms for i in range(len(w))}
-    return sorted(forms)
+    return forms
 
 
 def tolerance(word: str) -> int:
@@ -105,10 +107,28 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def value_forms(values: DataFrame, longest: int) -> DataFrame:
-    """(value, n, pos, token, whole, form) of each token of each distinct value, and of the value written as one word."""
+#: Bits of the filter of the names' forms: a fixed size, whatever the reference list.
+SLOTS = 1 << 22
+
+
+def filter_of(names: DataFrame) -> np.ndarray:
+    """Which slots the names' forms fall into; a form in no such slot meets no name."""
+    taken = names.select((F.crc32(F.col("met").cast("binary")) % SLOTS).alias("slot")).distinct()
+    bits = np.zeros(SLOTS, dtype=bool)
+    bits[[r.slot for r in taken.collect()]] = True
+    return np.packbits(bits)
+
+
+def value_forms(values: DataFrame, longest: int, taken: np.ndarray) -> DataFrame:
+    """(value, n, pos, token, whole, form) of each token of each distinct value, and of the value written as one word.
+
+    Forms that the filter knows to meet no name aren't emitted; the join decides on the others.
+    """
+    shared = values.sparkSession.sparkContext.broadcast(taken)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.unpackbits(shared.value).tobytes()
+        met = lambda forms: sorted(f for f in forms if bits[crc32(f.encode()) % SLOTS])
         for batch in batches:
             rows = []
             for v in batch["value"]:
@@ -116,9 +136,9 @@ def value_forms(values: DataFrame, longest: int) -> DataFrame:
                 for i, x in enumerate(t):
                     bare = x.rstrip(".")
                     forms = set(deletions(bare, longest)) | ({bare + "."} if x.endswith(".") else set()) | ({bare[:-1]} if bare.endswith("s") else set()) | ({bare[:-2]} if bare.endswith("es") else set())
-                    rows += [(v, len(t), i, x, False, f) for f in sorted(forms)]
+                    rows += [(v, len(t), i, x, False, f) for f in met(forms)]
                 one = "".join(x.rstrip(".") for x in t)
-                rows += [(v, len(t), -1, one, True, f) for f in deletions(one, longest)]
+                rows += [(v, len(t), -1, one, True, f) for f in met(deletions(one, longest))]
             yield pd.DataFrame(rows, columns=["value", "n", "pos", "token", "whole", "form"])
 
     return dealt(values).mapInPandas(run, FORMS)
@@ -140,7 +160,7 @@ def name_forms(catalog: DataFrame) -> DataFrame:
                         rows += [(actor, name, code, len(words), w, False, f) for f in sorted(forms)]
                     if not code:
                         one = "".join(words)
-                        rows += [(actor, name, code, len(words), one, True, f) for f in deletions(one)]
+                        rows += [(actor, name, code, len(words), one, True, f) for f in sorted(deletions(one))]
             yield pd.DataFrame(rows, columns=["actor_id", "variant", "code", "n", "word", "whole", "form"])
 
     return named.mapInPandas(run, NAMES)
@@ -150,7 +170,7 @@ def mapped(values: DataFrame, catalog: DataFrame) -> DataFrame:
     """(value, meant) of the distinct values that mean an entry."""
     names = name_forms(catalog).select("actor_id", "variant", "code", F.col("n").alias("words"), "word", F.col("whole").alias("as_one"), F.col("form").alias("met"))
     longest = names.agg(F.max(F.length("word"))).first()[0] or 0
-    meet = value_forms(values, longest).join(names, (F.col("form") == F.col("met")) & (F.col("whole") == F.col("as_one")))
+    meet = value_forms(values, longest, filter_of(names)).join(names, (F.col("form") == F.col("met")) & (F.col("whole") == F.col("as_one")))
     pairs = meet.select("value", "n", "pos", "token", "whole", "actor_id", "variant", "words", "word", "code").distinct()
     pairs = dealt(pairs)
     near = F.pandas_udf(lambda a, b: pd.Series([similar(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
