@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from specsift import lexicons as L
-from specsift.functions.text import any_match, col, strip
+from specsift.functions.text import col, strip
 
 
 def _hits(c: Column, patterns: tuple[str, ...]) -> Column:
@@ -113,7 +113,3 @@ def number_after(text: Column | str) -> Column:
     """The number in brackets within 30 characters after the first display block."""
     after = F.regexp_extract(col(text), r"(?s)\$\$.+?\$\$(.{0,30})", 1)
     return F.nullif(F.regexp_extract(after, r"\((\d+\.\d+[a-z]?)\)", 1), F.lit(""))
-
-
-def has_prose_match(c: Column) -> Column:
-    return any_match(c, L.PROSE)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from specsift import lexicons as L
 from specsift.functions import requirements as R
-from specsift.functions.text import contains_any
 from specsift.operators import issues, structure
 
 
@@ -58,8 +57,3 @@ def history(events: DataFrame, keep: int = 10) -> DataFrame:
 def pseudo_stories(documents_: DataFrame) -> DataFrame:
     """(doc_id, goal): any text as one story, whose goal is its first 1,200 characters."""
     return documents_.where("text is not null").select("doc_id", F.substring("text", 1, 1200).alias("goal"))
-
-
-def suspicious(stories: DataFrame) -> DataFrame:
-    """(story_uid) of the stories whose text holds error words."""
-    return stories.where(contains_any(F.lower("raw_text"), L.ERROR_WORDS)).select("story_uid")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from specsift import schemas
 from specsift.functions import text as T
 
 MARKER = re.compile(r"^--- PAGE (\d+) ---$", re.M)
@@ -129,6 +128,3 @@ def models_json(stories: DataFrame) -> DataFrame:
     """(doc_id, json): the structured stories of each document as one JSON text, nested only here at the sink."""
     item = F.struct("story_seq", "id", "type", "role", "goal", "reason", "confidence", F.col("body").alias("raw_text"))
     return stories.groupBy("doc_id").agg(F.to_json(F.struct(F.first("doc_id").alias("document_name"), F.array_sort(F.collect_list(item)).alias("user_stories"))).alias("json"))
-
-
-STAGE_SCHEMAS = {"manifest": schemas.MANIFEST, "raw_pages": schemas.RAW_PAGE, "cleaned_pages": schemas.CLEANED_PAGE, "equations": schemas.EQUATION, "models": schemas.MODEL}
