@@ -10,6 +10,7 @@ from specsift.functions import requirements as R
 from specsift.functions.text import col, contains_any, strip
 from specsift.operators.ordered import numbered
 from specsift.operators.structure import criteria
+from specsift.runtime import cut
 
 KEYS = ("doc_id", "story_seq", "story_uid", "story_id")
 
@@ -73,9 +74,9 @@ def representatives(rules: DataFrame) -> DataFrame:
     return keyed.groupBy("doc_id", "story_id", "cond_key", "action").agg(F.min(F.struct("story_seq", "story_uid", "rule_pos")).alias("at"), F.first("core").alias("core"), F.min("condition").alias("condition"), F.min("actor").alias("actor"), F.min_by("raw_text", F.struct("story_seq", "story_uid", "rule_pos")).alias("raw"), F.count(F.lit(1)).alias("members"))
 
 
-def classes(rules: DataFrame, *by: str) -> DataFrame:
-    """One row for each (document, condition, class of action, action, and ``by``): its first rule, another story than the first's if there is one, and how many rules and stories share it."""
-    r = representatives(rules).withColumn("module", R.module_of("story_id"))
+def classes(reps: DataFrame, *by: str) -> DataFrame:
+    """Of representatives, one row for each (document, condition, class of action, action, and ``by``): its first rule, another story than the first's if there is one, and how many rules and stories share it."""
+    r = reps.withColumn("module", R.module_of("story_id"))
     c = r.groupBy("doc_id", "cond_key", "core", "action", *by).agg(F.min(F.struct("at", "story_id", "raw")).alias("first"), F.min("story_id").alias("least"), F.max("story_id").alias("most"), F.sum("members").alias("rules"), F.count(F.lit(1)).alias("stories"))
     other = F.when(F.col("most") != F.col("first.story_id"), F.col("most")).when(F.col("least") != F.col("first.story_id"), F.col("least"))
     return c.withColumn("other", other).drop("least", "most")
@@ -88,17 +89,19 @@ def stories_of(first_a: Column | str, other_a: Column | str, first_b: Column | s
     return F.when(first_a != first_b, pair(first_a, first_b)).when(other_b.isNotNull(), pair(first_a, other_b)).when(other_a.isNotNull(), pair(other_a, first_b))
 
 
-def opposed(rules: DataFrame) -> DataFrame:
+def opposed(rules: DataFrame, reps: DataFrame | None = None) -> DataFrame:
     """Pairs of action classes of one document that one condition, or two that meet, permit and deny.
 
     Rules with one condition and action are one class, so that copies aren't paired with each other; a pair of classes
     names two different stories, the first ones if these differ, and a class's members are its rules.  cond_key is the
-    condition of the permitting class, cond_key_b that of the denying one.
+    condition of the permitting class, cond_key_b that of the denying one.  ``reps`` are the rules' representatives, if
+    they are at hand; else they are kept here, since classes and the conditions that meet both come from them.
     """
     from specsift.operators.similarity import meetings
 
-    c = classes(rules).where("cond_key <> '' and core in ('permit', 'deny')")
-    m = meetings(rules).select(F.col("doc_id").alias("md"), F.col("cond_key").alias("mk"), "meet")
+    reps = cut(representatives(rules)) if reps is None else reps
+    c = classes(reps).where("cond_key <> '' and core in ('permit', 'deny')")
+    m = meetings(reps).select(F.col("doc_id").alias("md"), F.col("cond_key").alias("mk"), "meet")
     c = c.join(m, c["doc_id"].eqNullSafe(m["md"]) & (c["cond_key"] == m["mk"]))
     a = c.where("core = 'permit'").select("doc_id", "cond_key", "meet", F.col("action").alias("permits"), F.col("first.story_id").alias("first_a"), F.col("other").alias("other_a"), F.col("rules").alias("rules_a"))
     b = c.where("core = 'deny'").select(F.col("doc_id").alias("d"), F.col("cond_key").alias("cond_key_b"), F.col("meet").alias("met"), F.col("action").alias("denies"), F.col("first.story_id").alias("first_b"), F.col("other").alias("other_b"), F.col("rules").alias("rules_b"))

@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType
 from specsift.functions import requirements as R
 from specsift.functions.text import col
 from specsift.operators.issues import classes, opposed, representatives, stories_of
+from specsift.runtime import cut
 
 #: Conditions of at least this ratio meet; the key of rules without a condition.
 ALIKE, GLOBAL = 0.85, "global"
@@ -186,14 +187,14 @@ def pairing(rules: DataFrame, least: int = 50) -> DataFrame:
     return n.select("doc_id", "rules", F.when(F.col("rules") < least, "all pairs").otherwise("nearest").alias("plan"))
 
 
-def meetings(rules: DataFrame) -> DataFrame:
-    """(doc_id, cond_key, meet): conditions of one document that share a ``meet`` apply together.
+def meetings(reps: DataFrame) -> DataFrame:
+    """(doc_id, cond_key, meet), of representatives: conditions of one document that share a ``meet`` apply together.
 
     A condition meets itself (=), those that compare the same variable in the same direction (#) and, unless both are
     numeric, those at least ALIKE to it (~, one key for each such pair).  Texts of that likeness differ in length by a
     bounded factor, so only texts of one or neighbouring classes of length are compared.
     """
-    r = representatives(rules).where("cond_key <> ''").groupBy("doc_id", "cond_key").agg(F.min("condition").alias("condition"))
+    r = reps.where("cond_key <> ''").groupBy("doc_id", "cond_key").agg(F.min("condition").alias("condition"))
     r = r.select("doc_id", "cond_key", R.condition_logic("condition").alias("num"), F.floor(F.log(F.length("cond_key").cast("double")) / math.log(1.001 * (2 - ALIKE) / ALIKE)).alias("size"))
     own = r.select("doc_id", "cond_key", F.concat(F.lit("="), "cond_key").alias("meet"))
     classed = r.where("num.operator in ('<', '<=', '>', '>=')").select("doc_id", "cond_key", F.concat(F.lit("#"), "num.variable", F.substring("num.operator", 1, 1)).alias("meet"))
@@ -205,7 +206,7 @@ def meetings(rules: DataFrame) -> DataFrame:
     return own.unionByName(classed).unionByName(both)
 
 
-def alike_conflicts(rules: DataFrame) -> DataFrame:
+def alike_conflicts(rules: DataFrame, reps: DataFrame | None = None) -> DataFrame:
     """Pairs of rule classes of one document that oppose each other by verb, polarity or number under conditions that meet.
 
     Rules without a condition meet each other, but don't oppose by verb alone.  Cheap gates come first (conditions that
@@ -213,9 +214,10 @@ def alike_conflicts(rules: DataFrame) -> DataFrame:
     that are left.  Classes meet as a whole and by module, as any two different stories of one module pass the domain
     gate; a pair of classes is named once.
     """
-    whole = classes(rules).withColumn("module", F.lit(""))
-    each = whole.unionByName(classes(rules, "module").where("module <> ''")).withColumn("cond_key", F.coalesce("cond_key", F.lit("")))
-    m = meetings(rules).select(F.col("doc_id").alias("md"), F.col("cond_key").alias("mk"), "meet")
+    reps = cut(representatives(rules)) if reps is None else reps
+    whole = classes(reps).withColumn("module", F.lit(""))
+    each = whole.unionByName(classes(reps, "module").where("module <> ''")).withColumn("cond_key", F.coalesce("cond_key", F.lit("")))
+    m = meetings(reps).select(F.col("doc_id").alias("md"), F.col("cond_key").alias("mk"), "meet")
     placed = each.where("cond_key <> ''").join(m, each["doc_id"].eqNullSafe(m["md"]) & (each["cond_key"] == m["mk"])).drop("md", "mk").unionByName(each.where("cond_key = ''").withColumn("meet", F.lit(GLOBAL)))
     c = placed.select("doc_id", "cond_key", "meet", "core", "action", "module", F.col("first.story_id").alias("story"), "other", R.polarity("action").alias("pol"), R.condition_logic("action").alias("num"), R.concept(R.context("action")).alias("ctx"), R.primary_object("action").alias("obj"), R.primary_object(said("action", "first.raw")).alias("gate"))
     a = c.select(*[F.col(x).alias("a_" + x) for x in c.columns])
@@ -249,5 +251,6 @@ def conflicts(rules: DataFrame) -> DataFrame:
 
     (doc_id, cond_key, cond_key_b, story_a, story_b, action_a, action_b, source, confidence)
     """
-    o = opposed(rules).select("doc_id", "cond_key", "cond_key_b", "story_a", "story_b", F.col("permits").alias("action_a"), F.col("denies").alias("action_b"), F.lit("rule").alias("source"), F.lit(0.95).alias("confidence"))
-    return o.unionByName(alike_conflicts(rules).where("source <> 'rule'"))
+    reps = cut(representatives(rules))
+    o = opposed(rules, reps).select("doc_id", "cond_key", "cond_key_b", "story_a", "story_b", F.col("permits").alias("action_a"), F.col("denies").alias("action_b"), F.lit("rule").alias("source"), F.lit(0.95).alias("confidence"))
+    return o.unionByName(alike_conflicts(rules, reps).where("source <> 'rule'"))
