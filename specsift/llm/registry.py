@@ -54,4 +54,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": r"select distinct chunk_id from knowledge_chunks where len(regexp_extract_all(text, '[^\s\p{Z}\x{85}\x{1c}-\x{1f}]+')) > 256",
         "p7_found": _REPEATS + "select k.page_id, k.place, cast(k.pos as integer) as pos from k join f using (doc_id, place, key) join s using (doc_id) where f.n >= 5 and f.n * 5 >= s.pages",
+        "p7_cleaned": _REPEATS + """, h as (select k.page_id, list(k.pos) filter (where k.place = 'raw_text') as t, list(k.pos) filter (where k.place = 'font_metadata') as b from k join f using (doc_id, place, key) join s using (doc_id) where f.n >= 5 and f.n * 5 >= s.pages group by 1)
+select r.page_id, case when h.t is null then r.raw_text else array_to_string(list_filter(string_split(r.raw_text, chr(10)), lambda x, i: not list_contains(h.t, i)), chr(10)) end as text, coalesce(len(h.t), 0) as removed,
+  case when h.b is null then list_transform(r.font_metadata, lambda x: x.text) else list_filter(list_transform(r.font_metadata, lambda x: x.text), lambda x, i: not list_contains(h.b, i)) end as blocks, coalesce(len(h.b), 0) as removed_blocks
+from raw_pages r left join h using (page_id)""",
     }
