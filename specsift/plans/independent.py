@@ -10,6 +10,8 @@ from specsift.plans import synthetic as Y
 TALL = "(select * replace (list_transform(font_metadata, lambda b: {'text': b.text, 'font_size': b.font_size, 'is_heading': b.is_heading, 'x0': b.x0, 'y0': b.y0 + case when page_num % 2 = 0 then -40 else 640 end, 'x1': b.x1, 'y1': b.y1 + case when page_num % 2 = 0 then -40 else 640 end}) as font_metadata) from raw_pages)"
 LISTED = "(select * replace (case when story_uid % 5 = 0 then raw_text || chr(10) || 'Acceptance Criteria:' || chr(10) || '- The entry opens in two steps' || chr(10) || '- The entry keeps number ' || story_seq || chr(10) || '- A copy goes to the archive desk' else raw_text end as raw_text) from user_stories)"
 MATHS = "(select * replace (raw_text || chr(10) || 'Here $$E_' || (page_num % 5) || ' = m c^2$$ holds. It follows. For $x_' || (page_num % 3) || '$ too.' as raw_text) from raw_pages)"
+VAGUE = "(select * replace (goal || case story_uid % 3 when 0 then ' quickly, as needed' when 1 then ' in real-time etc.' else '' end as goal) from user_stories)"
+NAMELESS = "(select * replace (case when story_uid % 6 = 0 then 'The operator shall confirm record ' || story_seq || ' before the shift ends' else raw_text end as raw_text) from user_stories)"
 SPANS = r"""list_concat(list_concat(regexp_extract_all(raw_text, '(?s)\\\((.+?)\\\)', 1), regexp_extract_all(regexp_replace(raw_text, '(?s)\$\$.+?\$\$', chr(2), 'g'), '\$([^$]+?)\$', 1)), regexp_extract_all(raw_text, '(?s)\$\$(.+?)\$\$', 1))"""
 #: Conflicts that the tried lines hold by the verbs' classes: same condition or nested bounds; other verbs have no class, and their objects aren't alike enough to be of one domain.
 TRIED = (("CON-001", "FR-903", "FR-904", "rule"), ("CON-002", "FR-912", "FR-911", "rule"), ("CON-003", "FR-901", "FR-902", "rule"))
@@ -48,6 +50,8 @@ def sql() -> dict[str, str]:
       select story_uid, row_number() over (partition by story_uid order by n) - 1 as pos, line from l join h using (story_uid) where n > h and line not like '%Acceptance Criteria%' and regexp_matches(line, '^\s*(-|\*|[0-9]+\.)')"""
     q["synthetic_ac"] = f"""with {O.READ}, {O.AC}, c as (select *, {O.strip(O.found('b', L.CONDITION, 1))} as cond, {O.ACTION} as act, len({O.LOGIC_LIST}) as n from r where {O.VALID})
       select story_uid, b as text, 0 as level, 'requirement' as type, case when n = 0 and cond <> '' and act <> '' then 1 else n end as clauses from c where not exists (select 1 from acb where acb.story_uid = c.story_uid) and (cond <> '' or n > 0 or t <> 'unknown')"""
+    q["ambiguity_vague_terms"] = _over(O.sql()["ambiguity_vague_terms"], "user_stories", VAGUE)
+    q["inf_ids"] = _over(O.sql()["inf_ids"], "user_stories", NAMELESS)
     q["fix_unicode"] = "select page_id, replace(replace(replace(replace(replace(nfc_normalize(raw_text), chr(64257), 'fi'), chr(64258), 'fl'), chr(64256), 'ff'), chr(64259), 'ffi'), chr(64260), 'ffl') as text from raw_pages"
     q["eq_union"] = _over(rf"""with {O.EQ_LINES}, sp as (select doc_id, page_num, page_id, {SPANS} as t from raw_pages),
       every as (select doc_id, page_num, page_id, 0 as source, pos, {O.strip('x')} as text from (select doc_id, page_num, page_id, unnest(range(0, len(t))) as pos, unnest(t) as x from sp) union all select doc_id, page_num, page_id, 1, line_no, text from ee where length(text) >= 3),

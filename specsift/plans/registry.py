@@ -68,6 +68,9 @@ def queries() -> dict[str, Query]:
     # criteria added to every fifth story, some of them alike
     more = lambda: F.concat("raw_text", F.lit("\nAcceptance Criteria:\n- The entry opens in two steps\n- The entry keeps number "), F.col("story_seq").cast("string"), F.lit("\n- A copy goes to the archive desk"))
     listed = lambda s, d: stories(s, d).withColumn("raw_text", F.when(F.col("story_uid") % 5 == 0, more()).otherwise(F.col("raw_text")))
+    # vague words added to the goals, and stories without an id
+    vague = lambda s, d: stories(s, d).withColumn("goal", F.concat("goal", F.when(F.col("story_uid") % 3 == 0, " quickly, as needed").when(F.col("story_uid") % 3 == 1, " in real-time etc.").otherwise("")))
+    nameless = lambda s, d: stories(s, d).withColumn("raw_text", F.when(F.col("story_uid") % 6 == 0, F.concat(F.lit("The operator shall confirm record "), F.col("story_seq").cast("string"), F.lit(" before the shift ends"))).otherwise(F.col("raw_text")))
     # LaTeX added to every page
     maths = lambda: F.concat("raw_text", F.lit("\nHere $$E_"), (F.col("page_num") % 5).cast("string"), F.lit(" = m c^2$$ holds. It follows. For $x_"), (F.col("page_num") % 3).cast("string"), F.lit("$ too."))
     mathematical = lambda s, d: raw(s, d).withColumn("raw_text", maths())
@@ -93,7 +96,7 @@ def queries() -> dict[str, Query]:
         "req_validity": story("valid", lambda: R.is_requirement(body()).alias("valid")),
         "extract_logic": lambda s, d: structure.logic(stories(s, d)),
         "story_structuring": lambda s, d: structure.structured(stories(s, d)).select("story_uid", "id", "type", "goal", "reason"),
-        "inf_ids": lambda s, d: structure.inferred_ids(structure.structured(stories(s, d))),
+        "inf_ids": lambda s, d: structure.inferred_ids(structure.structured(nameless(s, d))),
         "actors_per_doc": lambda s, d: structure.actors(stories(s, d)).select("doc_id", F.array_join("actors", "|").alias("actors")),
         "req_blocks": lambda s, d: structure.blocks(t(s, d, "documents"), "doc_id", "text"),
         "ac_lines": lambda s, d: structure.criteria_lines(stories(s, d)),
@@ -120,7 +123,7 @@ def queries() -> dict[str, Query]:
         "conflict_lines": lambda s, d: issues.conflict_issues(similarity.conflicts(tried(s))).select("issue_id", "story_a", "story_b", "source"),
         "conflict_semantic": lambda s, d: similarity.alike_conflicts(structure.model_ledger(models(s, d))),
         # ambiguities, gaps, report
-        "ambiguity_vague_terms": lambda s, d: issues.story_texts(stories(s, d)).select("story_uid", "src", F.explode(issues.vague_terms("text")).alias("x")).select("story_uid", "src", "x.term", "x.severity"),
+        "ambiguity_vague_terms": lambda s, d: issues.story_texts(vague(s, d)).select("story_uid", "src", F.explode(issues.vague_terms("text")).alias("x")).select("story_uid", "src", "x.term", "x.severity"),
         "ambiguity_weak_verbs": lambda s, d: issues.story_texts(stories(s, d)).select("story_uid", "src", F.explode(issues.weak_verbs("text")).alias("x")).select("story_uid", "src", "x.term"),
         "ambiguity_missing_reason": lambda s, d: issues.ambiguity_hits(stories(s, d)).where("category = 'missing_reason'").select("story_uid", "text"),
         "ambiguities_dedup": lambda s, d: issues.ambiguities(stories(s, d)),

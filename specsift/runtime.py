@@ -39,7 +39,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not shared:
         if now:
             return now
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         shared = os.path.join(tempfile.gettempdir(), "specsift-checkpoints")
     if not now:
