@@ -22,6 +22,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -229,8 +230,8 @@ def _pass(documents: DataFrame, told: DataFrame) -> DataFrame:
         columns = ["doc_id", "item_id", "first_word", "last_word"]
         for batch in batches:
             for d, text in zip(batch["doc_id"], batch["text"], strict=True):
-                numbers = np.array([get(w, 2) for w in words(text)], dtype=np.int64)
-                seq, at = compact(numbers)
+                said = words(text)
+                seq, at = compact(np.fromiter(map(get, said, repeat(2)), np.int64, len(said)))
                 if len(seq):
                     shard.append((d, seq, at))
                     held += len(seq) + 1
