@@ -54,7 +54,7 @@ select p_brand as doc_id, concat('FR-', cast(p_partkey % 100 as varchar(10))) as
 from part
 """
 
-#: Rules on which the layers of conflicts are tried: a pair of requirement lines each, conditions the same or nested.
+#: Rules on which the layers of conflicts are tried, a pair of requirement lines each, conditions the same or nested.
 CONFLICT_LINES = (
     "FR-901: If role is guest, the system shall allow access.", "FR-902: If role is guest, the system shall restrict access.", "FR-903: If API fails, system shall enable fallback.",
     "FR-904: If API fails, system shall block fallback.", "FR-905: If user is deactivated, system shall permit login.", "FR-906: If user is deactivated, system shall detain login.",
